@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +24,17 @@ def remainder(id_col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder.
-
-    The folder is the one that spark.checkpoint.dir names; only where that is
-    unset (local tests) a temporary one is taken.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares: what spark.checkpoint.dir names, or a temporary one in local tests."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -56,3 +59,11 @@ def bounded_sample(df: DataFrame, id_col: str, limit: int, seed: str) -> DataFra
         .orderBy(F.xxhash64(F.lit(seed), F.col("_id").cast("string")), "_id")
         .limit(limit)
     )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table written to the shared checkpoint folder: smaller there than a checkpoint."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -51,6 +51,65 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return sizes.withColumn("target", target).drop("_w", "_cap", "_total", "_level", "_open", "_fill", "_lambda")
 
 
+def random_unit(id_col: str, seed: str) -> Column:
+    """44 bits of a portable hash of the id's text, strictly inside (0, 1)."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    return (F.conv(F.substring(key, 1, 11), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**44))
+
+
+def ranked(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """Join (doc_id, source, size, ...) to its source's target and add whole copies and the Pareto rank `_z`."""
+    rows = rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
+    rows = (
+        rows.withColumn("_whole", whole)
+        .withColumn("_wanted", F.col("target") - F.col("_whole") * F.col("source_size"))
+        .withColumn("_p", F.least(F.col("_wanted") / F.greatest("source_size", F.lit(1)), F.lit(1 - 1e-12)))
+        .withColumn("_mean", F.greatest("source_size", F.lit(1)) / F.col("_n"))
+        .withColumn("_u", random_unit("doc_id", seed))
+        .withColumn("_source_odds", F.col("_p") / (F.lit(1.0) - F.col("_p")))
+        .withColumn("_odds", F.col("_source_odds") * F.sqrt(F.col("size") / F.col("_mean")))
+    )
+    z = F.col("_u") / (F.lit(1.0) - F.col("_u")) / F.greatest("_odds", F.lit(1e-300))
+    return rows.withColumn("_z", F.when(F.col("_odds") > 0, z).otherwise(F.lit(1e300)))
+
+
+def draw(slim: DataFrame, weights: tuple[int, ...], cap: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with copies, source targets) of (doc_id, source, size) rows."""
+    slim = cut(slim)  # read twice below; texts are read once
+    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
+    targets = source_targets(sizes, weights, cap)
+    if sizes.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
+    # the rank without the source's own odds is spread evenly; rows that cannot be drawn are spread by u
+    even = F.when(F.col("_odds") > 0, F.col("_z") * F.col("_source_odds")).otherwise(F.col("_u") / (F.lit(1.0) - F.col("_u")))
+    rows = ranked(slim, targets, seed).withColumn("_bucket", F.floor(even / (F.lit(1.0) + even) * BUCKETS).cast("int"))
+    before = Window.partitionBy("_nth").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        rows.groupBy("_nth", "_bucket").agg(F.sum("size").alias("_words"))
+        .withColumn("_base", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+        .drop("_words")
+    )
+    inside = Window.partitionBy("_nth", "_bucket").orderBy("_z", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = (
+        rows.withColumn("_upto", F.sum("size").over(inside))
+        .join(starts, ["_nth", "_bucket"])
+        .withColumn("_middle", F.col("_base") + F.col("_upto") - F.col("size") / F.lit(2.0))
+        .withColumn("_drawn", (F.col("size") > 0) & (F.col("_middle") <= F.col("_wanted")))
+        .withColumn("copies", (F.col("_whole") + F.col("_drawn").cast("int")).cast("long"))
+    )
+    return rows, targets
+
+
+def slim_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size) of documents."""
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -75,55 +134,33 @@ def mix_sources(
     a null id hashes as empty text, ties go by id and size; an empty table
     gives no rows. Other columns are not read.
     """
-    slim = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-    )
-    return sample_mix(slim, weights, cap, seed)
-
+    rows, _ = draw(slim_rows(docs, id_col, text_col, source_col), weights, cap, seed)
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
-def random_unit(id_col: str, seed: str) -> Column:
-    """44 bits of a portable hash of the id's text, strictly inside (0, 1)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    return (F.conv(F.substring(key, 1, 11), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**44))
 
+def mixed_rows(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (1, 2, 3),
+    cap: float = 3.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as mix_sources takes it.
 
-def sample_mix(slim: DataFrame, weights: tuple[int, ...], cap: float, seed: str) -> DataFrame:
-    """mix_sources over (doc_id, source, size) rows."""
-    slim = cut(slim)  # read twice below; texts are read once
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    targets = source_targets(sizes, weights, cap)
-    if sizes.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    rows = slim.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
-    rows = (
-        rows.withColumn("_whole", whole)
-        .withColumn("_wanted", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumn("_p", F.least(F.col("_wanted") / F.greatest("source_size", F.lit(1)), F.lit(1 - 1e-12)))
-        .withColumn("_mean", F.greatest("source_size", F.lit(1)) / F.col("_n"))
-        .withColumn("_u", random_unit("doc_id", seed))
-    )
-    source_odds = F.col("_p") / (F.lit(1.0) - F.col("_p"))
-    rows = (
-        rows.withColumn("_odds", source_odds * F.sqrt(F.col("size") / F.col("_mean")))
-        .withColumn("_z", F.when(F.col("_odds") > 0, F.col("_u") / (F.lit(1.0) - F.col("_u")) / F.greatest("_odds", F.lit(1e-300))).otherwise(F.lit(1e300)))
-        # the rank without the source's own odds is spread evenly; rows that cannot be drawn are spread by u
-        .withColumn("_even", F.when(F.col("_odds") > 0, F.col("_z") * source_odds).otherwise(F.col("_u") / (F.lit(1.0) - F.col("_u"))))
-        .withColumn("_bucket", F.floor(F.col("_even") / (F.lit(1.0) + F.col("_even")) * BUCKETS).cast("int"))
-    )
-    before = Window.partitionBy("_nth").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        rows.groupBy("_nth", "_bucket").agg(F.sum("size").alias("_words"))
-        .withColumn("_base", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-        .drop("_words")
-    )
-    inside = Window.partitionBy("_nth", "_bucket").orderBy("_z", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        rows.withColumn("_upto", F.sum("size").over(inside))
-        .join(starts, ["_nth", "_bucket"])
-        .withColumn("_middle", F.col("_base") + F.col("_upto") - F.col("size") / F.lit(2.0))
-        .withColumn("copies", (F.col("_whole") + F.when((F.col("size") > 0) & (F.col("_middle") <= F.col("_wanted")), 1).otherwise(0)).cast("long"))
+    What was drawn is a prefix of each source's ranks, so one highest rank per
+    source says it all and texts are not shuffled.
+    """
+    rows, targets = draw(slim_rows(docs, id_col, text_col, source_col), weights, cap, seed)
+    last = rows.where("_drawn").groupBy("_nth").agg(F.max("_z").alias("_last"))
+    limits = cut(targets.join(last, "_nth", "left"))  # one row per source
+    if limits.count() <= BROADCAST_SOURCES:
+        limits = F.broadcast(limits)
+    whole = docs.select(F.struct("*").alias("_row")).select(
+        "_row", *[F.expr(e).alias(c) for c, e in (("doc_id", f"_row.`{id_col}`"), ("source", f"cast(_row.`{source_col}` as string)"), ("_text", f"cast(_row.`{text_col}` as string)"))]
     )
-    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    whole = whole.withColumn("size", F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(WORD)).cast("long")).drop("_text")
+    drawn = (F.col("size") > 0) & F.coalesce(F.col("_z") <= F.col("_last"), F.lit(False))
+    copies = (F.col("_whole") + drawn.cast("int")).cast("int")
+    return ranked(whole, limits, seed).select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import langid, mixing, quality, rules, sharding, simhash, toxicity
+from evidex.llm import langid, lm, media, mixing, packing, quality, rules, sharding, simhash, toxicity
 from evidex.llm._shared import table
 
 
@@ -29,6 +29,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.word_vocabulary)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,5 +49,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality, op3_language, op4_quality_rules, op5_sharding, op9_simhash, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_quality,
+        op3_language,
+        op4_quality_rules,
+        op5_sharding,
+        op6_context_mixing,
+        op7_media,
+        op8_packing,
+        op9_simhash,
+        op10_mixing,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.llm._shared import cut
@@ -138,3 +138,18 @@ def near_duplicates(
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their component: those of its smallest id, once.
+
+    Null ids count as one document with an empty id, which stays only where no
+    other id is in its component.
+    """
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    found = near_duplicates(docs, id_col, text_col, max_bits)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = first.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
+    once = Window.partitionBy("_key").orderBy("_key")
+    kept = docs.withColumn("_key", key).join(first, "_key", "left_semi").withColumn("_nth", F.row_number().over(once))
+    return kept.where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

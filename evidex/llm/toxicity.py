@@ -69,8 +69,9 @@ def train_nnpu(
     positive: list[np.ndarray],
     unlabelled: list[np.ndarray],
     prior: float,
-    min_docs: int = 3,
-    min_ratio: float = 3.0,
+    min_docs: int = 5,
+    min_ratio: float = 4.0,
+    min_excess: float = 5.0,
     steps: int = 400,
     rate: float = 0.05,
     decay: float = 1e-4,
@@ -78,9 +79,10 @@ def train_nnpu(
 ) -> PuModel:
     """Fit the model by full-batch Adam on the non-negative risk.
 
-    Features are those in at least `min_docs` positives and `min_ratio` times
-    as frequent there as in unlabelled text. Without positives, unlabelled
-    text or features the model gives the prior everywhere.
+    Features are those in at least `min_docs` positives, `min_ratio` times as
+    frequent there as in unlabelled text, and `min_excess` Poisson standard
+    deviations above what that text makes expected. Without positives,
+    unlabelled text or features the model gives the prior everywhere.
     """
     prior = min(max(prior, 1e-3), 0.999)
     empty = PuModel({}, float(np.log(prior / (1 - prior))))
@@ -93,7 +95,9 @@ def train_nnpu(
     if len(other):
         rate_other = np.where(other[at] == ids, n_other[at], 0)
     ratio = (n_pos + 0.5) / (len(positive) + 1) / ((rate_other + 0.5) / (len(unlabelled) + 1))
-    vocab = ids[(n_pos >= min_docs) & (ratio >= min_ratio)]
+    expected = len(positive) * (rate_other + 0.5) / (len(unlabelled) + 1)
+    excess = (n_pos - expected) / np.sqrt(expected + 0.5)
+    vocab = ids[(n_pos >= min_docs) & (ratio >= min_ratio) & (excess >= min_excess)]
     if not len(vocab):
         return empty
 
