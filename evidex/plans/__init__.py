@@ -1,0 +1,4 @@
+"""Registered queries; importing this package fills the registry."""
+
+from evidex.plans import metric_queries, retrieval_queries, risk_queries, text_queries  # noqa: F401
+from evidex.plans.registry import ORACLES, QUERIES  # noqa: F401
