@@ -95,7 +95,7 @@ def expand(text: Column, most: int = 12) -> Column:
 def phrases(*parts: Column) -> Column:
     """Distinct, trimmed, non-empty phrases in order, joined by a space; parts are strings or arrays of strings, null for none."""
     flat = F.flatten(F.array(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts]))
-    clean = F.array_distinct(F.filter(F.transform(F.filter(flat, lambda x: x.isNotNull()), F.trim), lambda x: x != ""))
+    clean = F.array_distinct(F.filter(F.transform(F.filter(flat, lambda x: x.isNotNull()), lambda x: F.trim(x)), lambda x: x != ""))
     return F.array_join(clean, " ")
 
 

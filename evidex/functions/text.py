@@ -64,7 +64,7 @@ def page_number(chunk_id: Column) -> Column:
 
 def joined_ids(col: Column) -> Column:
     """Comma-joined ids as a sorted set of trimmed, non-empty ids."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(col, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def without_fences(col: Column) -> Column:

@@ -80,8 +80,12 @@ SECTION_TYPES = ("FirstLineAntibiotics", "Monitoring", "StoppingCriteria", "Risk
 
 
 def assessments(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as assessments of encounters."""
-    e, k = table(spark, sf, "events"), F.col("event_id")
+    return assessment_rows(table(spark, sf, "events"))
+
+
+def assessment_rows(e: DataFrame) -> DataFrame:
+    """Events, in a batch or stream, as assessments of encounters."""
+    k = F.col("event_id")
     kind = F.col("event_type")
     return e.select(
         k,
