@@ -67,3 +67,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def wrapped(docs: DataFrame, **names: str) -> DataFrame:
+    """Whole rows as one struct `_row`, and the named columns beside it, so that no column of the table clashes."""
+    return docs.select(F.struct("*").alias("_row"), *[F.col(f"`{c}`").alias(n) for n, c in names.items()])

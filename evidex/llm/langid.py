@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm._shared import remainder, slices
+from evidex.llm._shared import remainder, slices, wrapped
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -202,6 +202,5 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", floor: float = 0.5) -> DataFrame:
     """The rows of `docs`, all columns, with a language predicted at `floor` or more."""
-    tagged = add_language(docs, fit(docs, id_col, text_col, lang_col), text_col)
-    sure = (F.col("_lid.lang_pred") != UNKNOWN) & (F.col("_lid.score") >= floor)
-    return tagged.where(sure).select(*[F.col(f"`{c}`") for c in docs.columns])
+    tagged = add_language(wrapped(docs, _text=text_col), fit(docs, id_col, text_col, lang_col), "_text")
+    return tagged.where((F.col("_lid.lang_pred") != UNKNOWN) & (F.col("_lid.score") >= floor)).select("_row.*")

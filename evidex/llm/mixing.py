@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm._shared import WORD, cut
+from evidex.llm._shared import WORD, cut, wrapped
 
 #: Buckets of the rank value in each source.
 BUCKETS = 1024
@@ -157,10 +157,9 @@ def mixed_rows(
     limits = cut(targets.join(last, "_nth", "left"))  # one row per source
     if limits.count() <= BROADCAST_SOURCES:
         limits = F.broadcast(limits)
-    whole = docs.select(F.struct("*").alias("_row")).select(
-        "_row", *[F.expr(e).alias(c) for c, e in (("doc_id", f"_row.`{id_col}`"), ("source", f"cast(_row.`{source_col}` as string)"), ("_text", f"cast(_row.`{text_col}` as string)"))]
-    )
-    whole = whole.withColumn("size", F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(WORD)).cast("long")).drop("_text")
+    whole = wrapped(docs, doc_id=id_col, source=source_col, _text=text_col).withColumn("source", F.col("source").cast("string"))
+    words = F.regexp_count(F.coalesce(F.col("_text").cast("string"), F.lit("")), F.lit(WORD))
+    whole = whole.withColumn("size", words.cast("long")).drop("_text")
     drawn = (F.col("size") > 0) & F.coalesce(F.col("_z") <= F.col("_last"), F.lit(False))
     copies = (F.col("_whole") + drawn.cast("int")).cast("int")
     return ranked(whole, limits, seed).select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")

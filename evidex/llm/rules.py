@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidex.llm._shared import cut, slices
+from evidex.llm._shared import cut, slices, wrapped
 
 #: Bands of length, by words: the strata within which false rejections are limited.
 BANDS = (50, 200, 1000)
@@ -187,4 +187,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, whose verdict is to keep. Texts are measured again rather than shuffled."""
     _, cuts = certify(docs, labels, id_col, text_col)
-    return verdict(measure(docs, text_col), cuts).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return verdict(measure(wrapped(docs, _text=text_col), "_text"), cuts).where("kept").select("_row.*")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm._shared import cut
+from evidex.llm._shared import cut, wrapped
 
 MAX_BITS = 3
 SHINGLE = 3
@@ -146,10 +146,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids count as one document with an empty id, which stays only where no
     other id is in its component.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     found = near_duplicates(docs, id_col, text_col, max_bits)
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = first.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
+    rows = wrapped(docs, _key=id_col).withColumn("_key", F.coalesce(F.col("_key").cast("string"), F.lit("")))
     once = Window.partitionBy("_key").orderBy("_key")
-    kept = docs.withColumn("_key", key).join(first, "_key", "left_semi").withColumn("_nth", F.row_number().over(once))
-    return kept.where("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(first, "_key", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select("_row.*")
