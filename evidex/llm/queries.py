@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidex.llm import langid, lm, media, mixing, packing, quality, rules, sharding, simhash, toxicity
 from evidex.llm._shared import table
+from evidex.llm.oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,4 +65,3 @@ QUERIES = {
         op10_mixing,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
