@@ -28,7 +28,7 @@ END_OF_DOCUMENT = 2
 WINDOW_COST, SENTENCE_COST, FREE_COST = 24, 12, 96
 #: Places within long sentences at which a cut is considered, and tokens solved at a time.
 FREE_STEP, STRETCH = 256, 400_000
-CACHE = 500_000
+CACHE = 800_000
 SENTENCE_ENDS = (".", "!", "?")
 MARKS = b".,;:!?#$%&*|"
 
