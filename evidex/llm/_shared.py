@@ -65,7 +65,7 @@ def written(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the shared checkpoint folder: smaller there than a checkpoint."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
