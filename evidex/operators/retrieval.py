@@ -28,13 +28,18 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk
     return toks.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def term_weights(posts: DataFrame, n_chunks: DataFrame) -> DataFrame:
-    """(term, df, idf) over all terms.
+def document_frequencies(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
+    """(term, df): chunks with each term; counted before the shuffle, so that no (chunk, term) row crosses it."""
+    return chunks.select(F.explode(F.array_distinct(tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def term_weights(frequencies: DataFrame, n_chunks: DataFrame) -> DataFrame:
+    """(term, df, idf) over all terms of `frequencies` (term, df).
 
     Okapi: ln(N - df + 0.5) - ln(df + 0.5); where that is negative, a quarter
     of the mean over the vocabulary. `n_chunks` is one row (n, avgdl).
     """
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_chunks))
+    df = frequencies.crossJoin(F.broadcast(n_chunks))
     df = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = df.agg(F.avg("raw").alias("mean_raw"))
     return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"), "avgdl")
@@ -51,9 +56,12 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
-    """(qid, chunk_id, score) of every pair that shares a term; postings are cut to the queries' terms before they are joined."""
+    """(qid, chunk_id, score) of every pair that shares a term; postings are cut to the queries' terms before they are joined.
+
+    Chunk ids are unique.
+    """
     posts = postings(chunks, text_col=text_col)
-    weights = term_weights(posts, corpus_size(chunks, text_col))
+    weights = term_weights(document_frequencies(chunks, text_col), corpus_size(chunks, text_col))
     terms = query_terms(queries)
     wanted = terms.select("term").distinct()
     few = posts.join(wanted, "term", "left_semi")

@@ -34,7 +34,7 @@ BMTOP = f"v_top AS ({ranked_sql('SELECT * FROM v_bm', 10)})"
 @query("bm25_index", f"WITH {POSTINGS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM v_idf WHERE df >= 20")
 def bm25_index(spark, sf):
     c = V.chunks(spark, sf)
-    return R.term_weights(R.postings(c), R.corpus_size(c)).where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(R.document_frequencies(c), R.corpus_size(c)).where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25}, {BMTOP} SELECT qid, chunk_id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM v_top WHERE score > 0")
@@ -198,7 +198,7 @@ def pair_scores(spark, sf):
     """Share of the query's idf weight that the chunk covers, for fused candidates."""
     q, c = V.queries(spark, sf), V.chunks(spark, sf)
     posts = R.postings(c)
-    weights = R.term_weights(posts, R.corpus_size(c)).select("term", "idf")
+    weights = R.term_weights(R.document_frequencies(c), R.corpus_size(c)).select("term", "idf")
     cand = X.rrf(lists(spark, sf)).select("qid", "chunk_id", "rank")
     full = cand.join(R.query_terms(q), "qid").join(weights, "term").join(posts.select("chunk_id", "term", F.lit(True).alias("has")), ["chunk_id", "term"], "left")
     return full.groupBy("qid", "chunk_id", "rank").agg((F.sum(F.when(F.col("has"), F.col("idf")).otherwise(0.0)) / F.sum("idf")).alias("rel"))

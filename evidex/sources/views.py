@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions.text import tokens
-from evidex.sources.tables import table
+from evidex.sources.tables import spread, table
 
 WINDOW_TOKENS, STEP = 200, 180
 
@@ -44,7 +44,7 @@ def chunk_rows(docs: DataFrame, width: int = WINDOW_TOKENS, step: int = STEP) ->
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("source"), F.col("source").alias("subsection"), "text")
-    return chunk_rows(docs)
+    return chunk_rows(spread(docs, "doc_id"))
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
