@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.llm._shared import cut, wrapped
@@ -114,6 +114,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def grouped(prints: DataFrame, max_bits: int, **picks: Column) -> DataFrame:
+    """(fp, root, picks) of every distinct fingerprint of `prints`: its component and an aggregate of its rows for each pick."""
+    groups = cut(prints.groupBy("fp").agg(*[c.alias(n) for n, c in picks.items()]))
+    roots = components(links(groups.select("fp"), max_bits))
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, shingle: int = SHINGLE
 ) -> DataFrame:
@@ -130,9 +137,7 @@ def near_duplicates(
     large group of copies costs one row in the index.
     """
     prints = cut(fingerprint(docs, id_col, text_col, shingle))
-    groups = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(groups.select("fp"), max_bits))
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = grouped(prints, max_bits, least=F.min("doc_id"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
@@ -141,14 +146,20 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs`, all columns, that stand for their component: those of its smallest id, once.
+    """One row of `docs`, all columns, of each component: that of its smallest id.
 
-    Null ids count as one document with an empty id, which stays only where no
-    other id is in its component.
+    A null id comes after all others. Rows are told apart by id and a 128-bit
+    hash of the text, so that texts under null or repeated ids each stand for
+    their own component; of equal texts under one id the row of the smallest
+    hash stays.
     """
-    found = near_duplicates(docs, id_col, text_col, max_bits)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = first.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key")).distinct()
-    rows = wrapped(docs, _key=id_col).withColumn("_key", F.coalesce(F.col("_key").cast("string"), F.lit("")))
-    once = Window.partitionBy("_key").orderBy("_key")
-    return rows.join(first, "_key", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select("_row.*")
+    text = F.col("_text").cast("string")
+    told = {"_id": F.coalesce(F.concat(F.lit("="), F.col("_key").cast("string")), F.lit("")), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)}
+    rows = wrapped(docs, _key=id_col, _text=text_col).withColumns(told)
+    prints = fingerprint(rows.withColumn("_doc", F.struct("_key", *told)), "_doc", "_text")
+    prints = cut(prints.select("fp", F.struct(F.col("doc_id._key").isNull().alias("none"), "doc_id._key", "fp", *[f"doc_id.{n}" for n in told]).alias("doc")))
+    first = grouped(prints, max_bits, least=F.min("doc")).groupBy("root").agg(F.min("least").alias("least"))
+    rows = rows.join(first.select(*[f"least.{n}" for n in told]), list(told), "left_semi")
+    whole = [F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind]
+    once = Window.partitionBy(*told).orderBy(F.xxhash64(*whole))
+    return rows.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").select("_row.*")

@@ -84,3 +84,10 @@ def test_certified_rules_need_enough_labels(spark):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     got = rules.quality_rules(docs, none).collect()
     assert all(r.kept == (not r.base_failed) for r in got)
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a, 1), (None, b, 1), (None, b, 2), (None, c, 1), (1, c, 1), (2, d, 1), (2, e, 1), (2, e, 2), (1, e, 1)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, part int")).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", a), ("None", b), ("1", c), ("2", d), ("1", e)])
