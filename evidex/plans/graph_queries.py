@@ -107,7 +107,7 @@ def candidates(spark, sf):
     """Recommendations of the query's guideline with a baseline point and word overlap."""
     from evidex.functions.text import words_at_least
 
-    r = V.recommendations(spark, sf).where("guideline_id = 'EN' and page < 208").select("rec_id", "section_type", words_at_least("text_summary", 4, True).alias("rw"))
+    r = V.recommendations(spark, sf).where("guideline_id = 'EN'").select("rec_id", "section_type", words_at_least("text_summary", 4, True).alias("rw"))
     q = V.queries(spark, sf).select("qid", words_at_least("text", 4, True).alias("qw"))
     base = F.col("section_type").isin(*BASELINE_KINDS)
     c = r.crossJoin(F.broadcast(q)).withColumn("baseline", base).withColumn("score", (5 * base.cast("int") + F.size(F.array_intersect("qw", "rw"))).cast("double"))
