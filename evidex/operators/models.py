@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.operators.metrics import average_ranks
+from evidex.operators.retrieval import kept
 
 
 def leakage(rows: DataFrame, label: str, flag: str) -> DataFrame:
@@ -26,9 +26,17 @@ def strat_splits(rows: DataFrame, id_col: str, label: str, splits: int = 5, trai
 
 
 def auc_brier(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank-sum AUC and Brier score of (label, score) per key."""
-    ranked = average_ranks(scores, keys, "score")
-    a = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("label") == 1, F.col("avg_rank"))).alias("rs"), F.sum("label").alias("p"), F.count("*").alias("n"), F.avg(F.pow(F.col("score") - F.col("label"), 2)).alias("brier"))
+    """Rank-sum AUC and Brier score of (label, score) per key; ranks are prefix sums of the counts of distinct scores over range partitions."""
+    square = F.pow(F.col("score") - F.col("label"), 2)
+    tied = scores.groupBy(*keys, "score").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 1).alias("ones"), F.sum("label").alias("p"), F.sum(square).alias("sq"), F.count(square).alias("n_sq"))
+    tied = kept(tied.repartitionByRange(*keys, "score").withColumn("_part", F.spark_partition_id()).withColumn("_key", F.struct("_part", *keys)))
+    parts = tied.groupBy("_key", "_part", *keys).agg(F.sum("n").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition and key
+    parts = parts.select("_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"))
+    here = Window.partitionBy("_key").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tied.withColumn("_upto", F.sum("n").over(here)).join(parts, "_key")
+    rank = F.col("_n0") + F.col("_upto") - (F.col("n") - 1) / 2.0  # ties share their mean
+    a = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("ones") > 0, F.col("ones") * rank)).alias("rs"), F.sum("p").alias("p"), F.sum("n").alias("n"), (F.sum("sq") / F.sum("n_sq")).alias("brier"))
     pos, neg = F.col("p"), F.col("n") - F.col("p")
     ok = (pos > 0) & (neg > 0)
     return a.select(*keys, F.when(ok, (F.col("rs") - pos * (pos + 1) / 2.0) / F.when(ok, pos * neg)).alias("auc"), "brier", "n")

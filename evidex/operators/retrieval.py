@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from evidex.functions.text import tokens
 K1, B = 1.5, 0.75
 #: Query terms are broadcast up to this count, which is checked.
 SMALL_TERMS = 200_000
+#: Cells of one matrix product of queries and vectors.
+SMALL_MATRIX = 1 << 24
 
 
 def top_k(scored: DataFrame, k: int | Column, by: tuple[str, ...] = ("qid",), score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -90,32 +95,54 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, limit: int = 100_000) -> DataFrame:
     """The k nearest vectors of each query by cosine, exactly.
 
-    queries (qid, vec) are read in blocks of `limit` at most, and each block is
-    held against all vectors (id, vec) by matrix products next to the data;
-    every partition keeps k rows a query, so what is shuffled is k rows per
-    query and partition.
+    queries (qid, vec), qid unique, are read in blocks of `limit` at most, and
+    each block is held against all vectors (id, vec) by matrix products next to
+    the data; every partition keeps k rows a query, so what is shuffled is k
+    rows per query and partition. With several blocks each result is cut with a
+    checkpoint, so that the driver holds one block at a time.
     """
-    q = queries.orderBy("qid").limit(limit + 1).collect()
-    if len(q) > limit:
-        raise ValueError("more queries than fit a block; call in blocks")
-    if not q:
+    rows = queries.select("qid", "vec").orderBy("qid").toLocalIterator()
+    part, out = list(islice(rows, limit)), None
+    if not part:
         return vectors.select(F.lit(0).cast("long").alias("qid"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    while part:
+        after = list(islice(rows, limit))
+        best, sent = dense_block(part, vectors, k, block)
+        if after or out is not None:
+            best = kept(best)
+            sent.destroy()
+        out = best if out is None else out.unionByName(best)
+        part = after
+    return out
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint; local tests get a temporary folder for it."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def dense_block(q: list, vectors: DataFrame, k: int, block: int) -> tuple[DataFrame, Broadcast]:
+    """dense_topk of the query rows `q`, and the broadcast that it reads; a step's matrix has SMALL_MATRIX cells or one column."""
     ids = np.array([r["qid"] for r in q])
     mat = np.array([r["vec"] for r in q], dtype=np.float64)
     qn = np.sqrt((mat * mat).sum(axis=1))
-    sent = queries.sparkSession.sparkContext.broadcast((ids, mat, qn))
+    sent = vectors.sparkSession.sparkContext.broadcast((ids, mat, qn))
+    step = max(1, min(block, SMALL_MATRIX // len(ids)))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, mat, qn = sent.value
         top_s, top_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
         for pdf in batches:
-            for lo in range(0, len(pdf), block):
-                x = np.array(pdf["vec"].iloc[lo : lo + block].tolist(), dtype=np.float64)
+            for lo in range(0, len(pdf), step):
+                x = np.array(pdf["vec"].iloc[lo : lo + step].tolist(), dtype=np.float64)
                 if not len(x):
                     continue
                 norm = qn[:, None] * np.sqrt((x * x).sum(axis=1))[None]
                 s = np.round(mat @ x.T / np.where(norm == 0, 1e-10, norm), 9)
-                i = np.broadcast_to(pdf["id"].iloc[lo : lo + block].to_numpy(), s.shape)
+                i = np.broadcast_to(pdf["id"].iloc[lo : lo + step].to_numpy(), s.shape)
                 top_s, top_i = np.concatenate((top_s, s), axis=1), np.concatenate((top_i, i), axis=1)
                 order = np.lexsort((top_i, -top_s), axis=1)[:, :k]
                 top_s, top_i = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_i, order, 1)
@@ -124,7 +151,7 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int =
             yield pd.DataFrame({"qid": np.repeat(ids, n), "vec_id": top_i.ravel(), "score": top_s.ravel()})
 
     local = vectors.select("id", "vec").mapInPandas(best, "qid bigint, vec_id bigint, score double")
-    return top_k(local, k, tie="vec_id")
+    return top_k(local, k, tie="vec_id"), sent
 
 
 def ann_index(vectors: DataFrame, lists: int, sample: int = 20_000, seed: int = 7):

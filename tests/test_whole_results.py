@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -42,3 +43,33 @@ def test_forced_candidates_of_all_documents(spark, late):
     assert len(own) == 8 and len(pairs) == len(set(pairs))
     for q in V.queries(spark, late).collect():
         assert own <= {c for qid, c in pairs if qid == q.qid}
+
+
+def test_dense_topk_over_several_blocks(spark):
+    from evidex.operators import retrieval as R
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6)).round(3)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, vec array<double>")
+    queries = vectors.where("id % 4 = 0").withColumnRenamed("id", "qid")
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    s = np.round(unit @ unit.T, 9)
+    want = {(q, i, n) for q in range(0, 90, 4) for n, i in enumerate(sorted(range(90), key=lambda i: (-s[q, i], i))[:3], 1)}
+    for limit in (1, 7, 23, 100):
+        got = R.dense_topk(queries, vectors, 3, limit=limit).collect()
+        assert len(got) == len(want) and {(r.qid, r.vec_id, r["rank"]) for r in got} == want
+
+
+def test_auc_ranks_leave_no_task_with_all_rows(spark):
+    from evidex.operators import models
+
+    rng = np.random.default_rng(3)
+    rows = [(g, int(y), float(s)) for g in ("a", None) for y, s in zip(rng.integers(0, 2, 400), rng.integers(0, 60, 400) / 60)]
+    out = models.auc_brier(spark.createDataFrame(rows, "g string, label int, score double").repartition(5), ["g"])
+    assert "rank(score" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: r for r in out.collect()}
+    for g in ("a", None):
+        one, zero = ([s for k, y, s in rows if k == g and y == label] for label in (1, 0))
+        wins = sum((a > b) + (a == b) / 2 for a in one for b in zero)
+        assert got[g].auc == pytest.approx(wins / len(one) / len(zero)) and got[g].n == 400
+        assert got[g].brier == pytest.approx(np.mean([(s - y) ** 2 for k, y, s in rows if k == g]))
