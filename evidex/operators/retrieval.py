@@ -1,24 +1,32 @@
-"""Retrieval for a whole table of queries at once: BM25, dense and keyword search."""
+"""Retrieval for a whole table of queries at once: BM25, dense and keyword search.
+
+Every search reads the queries in blocks and holds a block against all rows,
+next to the data: a partition keeps its k best rows of each query, and only
+those are shuffled. Pairs of query and row are never laid out.
+"""
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
-from itertools import islice
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.functions.text import tokens
+from evidex.functions.text import tokens, words_at_least
+from evidex.sources.tables import checkpoint_folder
 
 K1, B = 1.5, 0.75
-#: Query terms are broadcast up to this count, which is checked.
-SMALL_TERMS = 200_000
-#: Cells of one matrix product of queries and vectors.
-SMALL_MATRIX = 1 << 24
+#: Queries of a block, and cells of a block's table of terms and queries (one query at least).
+BLOCK_QUERIES, BLOCK_CELLS = 1_024, 1 << 23
+#: Cells of one matrix of rows and queries.
+SMALL_MATRIX = 1 << 21
+TOKEN = re.compile("[a-z0-9]+")
 
 
 def top_k(scored: DataFrame, k: int | Column, by: tuple[str, ...] = ("qid",), score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -27,12 +35,6 @@ def top_k(scored: DataFrame, k: int | Column, by: tuple[str, ...] = ("qid",), sc
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "chunk_text") -> DataFrame:
-    """(chunk_id, term, tf, dl): how often each chunk has each term, and the chunk's length."""
-    toks = chunks.select(F.col(id_col).alias("chunk_id"), tokens(text_col).alias("t"))
-    return toks.select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-
-
 def document_frequencies(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
     """(term, df): chunks with each term; counted before the shuffle, so that no (chunk, term) row crosses it."""
     return chunks.select(F.explode(F.array_distinct(tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -60,170 +62,436 @@ def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     return queries.select("qid", F.explode(tokens(text_col)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
-    """(qid, chunk_id, score) of every pair that shares a term; postings are cut to the queries' terms before they are joined.
+# blocks of queries against all rows -----------------------------------------------------------
+
+
+@dataclass
+class Block:
+    """Queries of one block: ids, guidelines, and a table of term weights, one row a term and one column a query."""
+
+    ids: list
+    guidelines: list
+    places: dict[str, int]
+    table: np.ndarray
+
+
+def blocks_of(queries: DataFrame, weighted: DataFrame) -> Iterator[Block]:
+    """Blocks of `queries` (qid unique, guideline) with the terms of `weighted` (qid, term, w); one block is on the driver at a time."""
+    listed = weighted.groupBy("qid").agg(F.collect_list(F.struct("term", "w")).alias("terms"))  # as long as the query's text
+    rows = queries.select("qid", "guideline").join(listed, "qid", "left").orderBy("qid").toLocalIterator()
+    held, terms = [], set()
+
+    def made() -> Block:
+        places = {t: i for i, t in enumerate(sorted(terms))}
+        table = np.zeros((len(places), len(held)))
+        for j, r in enumerate(held):
+            for t in r["terms"] or ():
+                table[places[t["term"]], j] += t["w"]
+        return Block([r["qid"] for r in held], [r["guideline"] for r in held], places, table)
+
+    for r in rows:
+        grown = terms | {t["term"] for t in r["terms"] or ()}
+        if held and (len(held) == BLOCK_QUERIES or len(grown) * (len(held) + 1) > BLOCK_CELLS):
+            yield made()
+            held, grown = [], {t["term"] for t in r["terms"] or ()}
+        held.append(r)
+        terms = grown
+    if held:
+        yield made()
+
+
+class Best:
+    """The k best rows of each of n queries seen so far, ties by id; minus infinity is no row."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.kept = k, pd.DataFrame({"q": np.zeros(0, np.int64), "id": [], "key": np.zeros(0), "score": np.zeros(0)})
+        self.floor, self.last = np.full(n, -np.inf), [None] * n
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows `ids` with their `scores` (rows, queries)."""
+        order = np.argsort(ids, kind="stable")
+        ids, scores = ids[order], scores[order]
+        key = np.round(scores, 9)
+        cell = key > self.floor
+        place = np.array([0 if x is None else np.searchsorted(ids, x) for x in self.last])
+        cell |= (key == self.floor) & np.isfinite(key) & (np.arange(len(ids))[:, None] < place)
+        if len(ids) > 4 * self.k:  # of many candidates, none beyond the batch's own k best can stay
+            many = np.flatnonzero(cell.sum(axis=0) > 4 * self.k)
+            if len(many):
+                first = np.argsort(np.where(cell[:, many], -key[:, many], np.inf), axis=0, kind="stable")[: self.k]
+                only = np.zeros((len(ids), len(many)), dtype=bool)
+                np.put_along_axis(only, first, True, axis=0)
+                cell[:, many] &= only
+        row, q = np.nonzero(cell)
+        if not len(row):
+            return
+        new = pd.DataFrame({"q": q, "id": ids[row], "key": key[row, q], "score": scores[row, q]})
+        both = pd.concat([self.kept, new], ignore_index=True) if len(self.kept) else new
+        both = both.sort_values(["q", "key", "id"], ascending=[True, False, True], kind="stable")
+        nth = both.groupby("q").cumcount()
+        self.kept = both[nth < self.k].reset_index(drop=True)
+        full = both[nth == self.k - 1]
+        for j, x, s in zip(full["q"], full["id"], full["key"]):
+            self.floor[j], self.last[j] = s, x
 
-    Chunk ids are unique.
-    """
-    posts = postings(chunks, text_col=text_col)
-    weights = term_weights(document_frequencies(chunks, text_col), corpus_size(chunks, text_col))
-    terms = query_terms(queries)
-    wanted = terms.select("term").distinct()
-    few = posts.join(wanted, "term", "left_semi")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return few.join(terms, "term").join(weights, "term").groupBy("qid", "chunk_id").agg(F.sum(F.col("qtf") * F.col("idf") * tf).alias("score"))
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-def normalised(ranked: DataFrame) -> DataFrame:
-    """Scores over the query's best, where that is positive; rows at or below zero go."""
-    best = F.max("score").over(Window.partitionBy("qid"))
-    return ranked.where("score > 0").withColumn("score", F.round(F.col("score") / best, 6))
 
+def in_blocks(blocks: Iterator, run: Callable, empty: DataFrame) -> DataFrame:
+    """Union of run(block) -> (DataFrame, broadcast); with several blocks each result is cut, and its block let go."""
+    out, after = None, next(blocks, None)
+    while after is not None:
+        part, after = after, next(blocks, None)
+        best, sent = run(part)
+        if after is not None or out is not None:
+            best = kept(best)
+            sent.destroy()
+        out = best if out is None else out.unionByName(best)
+    return empty if out is None else out
+
+
+def bm25_rows(block: Block, avgdl: float, texts: list[str]) -> np.ndarray:
+    """Scores (texts, queries) by BM25; zero where nothing is shared."""
+    out = np.zeros((len(texts), len(block.ids)))
+    for i, text in enumerate(texts):
+        found = TOKEN.findall(text)
+        tf = Counter(x for x in map(block.places.get, found) if x is not None)
+        if tf:
+            n = np.fromiter(tf.values(), dtype=np.float64, count=len(tf))
+            out[i] = (n * (K1 + 1) / (n + K1 * (1 - B + B * len(found) / avgdl))) @ block.table[list(tf)]
+    return out
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """The k best chunks of each query, scores relative to the best."""
-    return normalised(top_k(bm25_scores(queries, chunks), k)).select("qid", "chunk_id", "rank", "score")
 
+def automaton_of(block: Block) -> ahocorasick.Automaton:
+    """Finds every term of the block inside a text in one pass."""
+    found = ahocorasick.Automaton()
+    for term, place in block.places.items():
+        if term:
+            found.add_word(term, place)
+    found.make_automaton()
+    return found
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays; zero norms count as 1e-10."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return dot(a, b) / F.when(norm == 0, 1e-10).otherwise(norm)
 
+def contained(found: ahocorasick.Automaton, text: str) -> list[int]:
+    """Places of the terms that the text contains."""
+    return list({p for _, p in found.iter(text)}) if len(found) else []
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, block: int = 4096, limit: int = 100_000) -> DataFrame:
-    """The k nearest vectors of each query by cosine, exactly.
 
-    queries (qid, vec), qid unique, are read in blocks of `limit` at most, and
-    each block is held against all vectors (id, vec) by matrix products next to
-    the data; every partition keeps k rows a query, so what is shuffled is k
-    rows per query and partition. With several blocks each result is cut with a
-    checkpoint, so that the driver holds one block at a time.
-    """
-    rows = queries.select("qid", "vec").orderBy("qid").toLocalIterator()
-    part, out = list(islice(rows, limit)), None
-    if not part:
-        return vectors.select(F.lit(0).cast("long").alias("qid"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    while part:
-        after = list(islice(rows, limit))
-        best, sent = dense_block(part, vectors, k, block)
-        if after or out is not None:
-            best = kept(best)
-            sent.destroy()
-        out = best if out is None else out.unionByName(best)
-        part = after
-    return out
+def searched(queries: DataFrame, weighted: DataFrame, chunks: DataFrame, k: int, scorer: Callable, *more: Column) -> DataFrame:
+    """top_k of every query by scorer(block) -> (texts, sources, *more) -> scores, minus infinity where a chunk is no candidate."""
+    spark = chunks.sparkSession
+    kind = queries.schema["qid"].dataType.simpleString()
+    schema = f"qid {kind}, chunk_id string, score double"
+    slim = chunks.select("chunk_id", "source", F.lower(F.coalesce("chunk_text", F.lit(""))).alias("low"), *more)
 
+    def run(block: Block):
+        sent = spark.sparkContext.broadcast(block)  # BLOCK_CELLS weights
+        step = max(1, SMALL_MATRIX // len(block.ids))
 
-def kept(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint; local tests get a temporary folder for it."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block, top = sent.value, Best(len(sent.value.ids), k)
+            score = scorer(block)
+            for pdf in batches:
+                for lo in range(0, len(pdf), step):
+                    part = pdf.iloc[lo : lo + step]
+                    rest = [part[c].tolist() for c in part.columns[1:]]
+                    top.add(part["chunk_id"].to_numpy(dtype=str), score(rest[1], rest[0], *rest[2:]))
+            got = top.kept
+            yield pd.DataFrame({"qid": [block.ids[j] for j in got["q"]], "chunk_id": got["id"], "score": got["score"]})
 
+        return top_k(slim.mapInPandas(best, schema), k).select("qid", "chunk_id", "score", "rank"), sent
 
-def dense_block(q: list, vectors: DataFrame, k: int, block: int) -> tuple[DataFrame, Broadcast]:
-    """dense_topk of the query rows `q`, and the broadcast that it reads; a step's matrix has SMALL_MATRIX cells or one column."""
-    ids = np.array([r["qid"] for r in q])
-    mat = np.array([r["vec"] for r in q], dtype=np.float64)
-    qn = np.sqrt((mat * mat).sum(axis=1))
-    sent = vectors.sparkSession.sparkContext.broadcast((ids, mat, qn))
-    step = max(1, min(block, SMALL_MATRIX // len(ids)))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, mat, qn = sent.value
-        top_s, top_i = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0)
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                x = np.array(pdf["vec"].iloc[lo : lo + step].tolist(), dtype=np.float64)
-                if not len(x):
-                    continue
-                norm = qn[:, None] * np.sqrt((x * x).sum(axis=1))[None]
-                s = np.round(mat @ x.T / np.where(norm == 0, 1e-10, norm), 9)
-                i = np.broadcast_to(pdf["id"].iloc[lo : lo + step].to_numpy(), s.shape)
-                top_s, top_i = np.concatenate((top_s, s), axis=1), np.concatenate((top_i, i), axis=1)
-                order = np.lexsort((top_i, -top_s), axis=1)[:, :k]
-                top_s, top_i = np.take_along_axis(top_s, order, 1), np.take_along_axis(top_i, order, 1)
-        n = top_s.shape[1]
-        if n:
-            yield pd.DataFrame({"qid": np.repeat(ids, n), "vec_id": top_i.ravel(), "score": top_s.ravel()})
-
-    local = vectors.select("id", "vec").mapInPandas(best, "qid bigint, vec_id bigint, score double")
-    return top_k(local, k, tie="vec_id"), sent
-
-
-def ann_index(vectors: DataFrame, lists: int, sample: int = 20_000, seed: int = 7):
-    """Centroids by k-means over a bounded sample, normalised so that distance orders like cosine."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.feature import Normalizer
+    empty = queries.select("qid", F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return in_blocks(blocks_of(queries, weighted), run, empty)
 
-    rows = vectors.orderBy(F.xxhash64("id")).limit(sample).select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(rows)
-    return np.array(KMeans(k=lists, seed=seed, maxIter=15).fit(unit).clusterCenters())
 
+def bm25_weights(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, float]:
+    """((qid, term, w), mean chunk length): idf over the whole corpus times how often the query has the term."""
+    size = corpus_size(chunks)
+    weights = term_weights(document_frequencies(chunks), size)
+    terms = query_terms(queries).join(weights.select("term", "idf"), "term")
+    return terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w")), float(size.first()["avgdl"] or 1.0)
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, lists: int = 16, probes: int = 6) -> DataFrame:
-    """Approximate dense_topk: each vector is filed under its nearest centroid, each query looks into `probes` lists, and cosine ranks what it finds."""
-    centres = ann_index(vectors, lists)
-    sent = vectors.sparkSession.sparkContext.broadcast(centres)
 
-    def nearest(n: int):
-        @F.pandas_udf("array<int>")
-        def run(v: pd.Series) -> pd.Series:
-            if not len(v):
-                return pd.Series([], dtype=object)
-            x = np.array(v.tolist(), dtype=np.float64)
-            x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-            d = ((sent.value**2).sum(axis=1))[None] - 2 * x @ sent.value.T
-            return pd.Series(np.argsort(d, axis=1)[:, :n].tolist())
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, own_guideline: bool = False) -> DataFrame:
+    """(qid, chunk_id, score, rank): the k best chunks of each query among those that share a term.
+
+    With `own_guideline` only chunks of the query's guideline count, before
+    the cut, unless that guideline has no chunks. Chunk ids are unique.
+    """
+    weighted, avgdl = bm25_weights(queries, chunks)
+    asked = queries.select("qid", F.lit(None).cast("string").alias("guideline"))
+    if own_guideline:
+        has = chunks.select(F.col("source").alias("guideline")).distinct()
+        asked = queries.join(has, "guideline", "left_semi").select("qid", "guideline").unionByName(queries.join(has, "guideline", "left_anti").select("qid", F.lit(None).cast("string").alias("guideline")))
+
+    def scorer(block: Block):
+        guideline = np.array([g or "" for g in block.guidelines], dtype=object)
+
+        def run(texts: list, sources: list) -> np.ndarray:
+            s = bm25_rows(block, avgdl, texts)
+            s[s == 0] = -np.inf
+            if own_guideline:
+                other = {x: (guideline != "") & (guideline != x) for x in set(sources)}
+                for i, x in enumerate(sources):
+                    s[i, other[x]] = -np.inf
+            return s
 
         return run
 
-    filed = vectors.select("id", "vec", F.explode(nearest(1)("vec")).alias("list"))
-    asked = queries.select("qid", F.col("vec").alias("qvec"), F.explode(nearest(probes)("vec")).alias("list"))
-    found = asked.join(filed, "list").select("qid", F.col("id").alias("vec_id"), cosine(F.col("qvec"), F.col("vec")).alias("score"))
-    return top_k(found, k, tie="vec_id")
+    return searched(asked, weighted, chunks, k, scorer)
+
+
+def bm25_counts(queries: DataFrame, chunks: DataFrame, floors: dict[int, float]) -> DataFrame:
+    """(qid, attempt, n): how many chunks score above the floor of each attempt, where there are any."""
+    weighted, avgdl = bm25_weights(queries, chunks)
+    kind = queries.schema["qid"].dataType.simpleString()
+    slim = chunks.select(F.lower(F.coalesce("chunk_text", F.lit(""))).alias("low"))
+
+    def run(block: Block):
+        sent = chunks.sparkSession.sparkContext.broadcast(block)  # BLOCK_CELLS weights
+        step = max(1, SMALL_MATRIX // len(block.ids))
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            block = sent.value
+            n = np.zeros((len(floors), len(block.ids)), dtype=np.int64)
+            for pdf in batches:
+                for lo in range(0, len(pdf), step):
+                    s = bm25_rows(block, avgdl, pdf["low"].iloc[lo : lo + step].tolist())
+                    for a, x in enumerate(floors.values()):
+                        n[a] += (s > x).sum(axis=0)
+            a, q = np.nonzero(n)
+            yield pd.DataFrame({"qid": [block.ids[j] for j in q], "attempt": np.array(list(floors))[a], "n": n[a, q]})
+
+        part = slim.mapInPandas(count, f"qid {kind}, attempt int, n bigint")
+        return part.groupBy("qid", "attempt").agg(F.sum("n").alias("n")), sent
+
+    empty = queries.select("qid", F.lit(0).alias("attempt"), F.lit(0).cast("long").alias("n")).limit(0)
+    return in_blocks(blocks_of(queries.select("qid", F.lit(None).cast("string").alias("guideline")), weighted), run, empty)
+
+
+def normalised(ranked: DataFrame) -> DataFrame:
+    """Scores over the query's best, where that is positive; rows at or below zero go."""
+    best = F.max("score").over(Window.partitionBy("qid"))
+    return ranked.where("score > 0").withColumn("score", F.round(F.col("score") / best, 6))
 
 
-def guideline_first(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """top_k among the query's own guideline only; queries whose guideline has no chunks see all."""
-    has = chunks.groupBy(F.col("source").alias("guideline")).agg(F.lit(True).alias("_has"))
-    q = queries.select("qid", "guideline").join(F.broadcast(has), "guideline", "left")
-    s = scored.join(chunks.select("chunk_id", "source"), "chunk_id").join(F.broadcast(q), "qid")
-    return top_k(s.where(F.col("_has").isNull() | (F.col("source") == F.col("guideline"))), k).drop("_has")
+def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """The k best chunks of each query, scores relative to the best."""
+    return normalised(bm25_search(queries, chunks, k)).select("qid", "chunk_id", "rank", "score")
 
 
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, least: int = 4) -> DataFrame:
     """One point per query word of `least` letters or more that the text contains, two for the guideline; the best k above zero.
 
     Queries without any hit get the first k chunks at 0.5. Scores are tenths.
-    The queries' words are the small side and are broadcast once counted.
+    A word that a query repeats counts repeatedly; words are found anywhere in
+    the text, inside other words too.
     """
-    words = queries.select("qid", "guideline", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where(F.length("w") >= least)
-    if words.limit(SMALL_TERMS + 1).count() <= SMALL_TERMS:
-        words = F.broadcast(words)
-    low = chunks.select("chunk_id", "source", F.lower("chunk_text").alias("low"))
-    hits = low.join(words, F.col("low").contains(F.col("w"))).groupBy("qid", "chunk_id").agg(F.count("*").alias("points"))
-    bonus = chunks.select("chunk_id", "source").join(F.broadcast(queries.select("qid", "guideline")), F.col("source") == F.col("guideline")).select("qid", "chunk_id", F.lit(2).alias("bonus"))
-    both = hits.join(bonus, ["qid", "chunk_id"], "full").select("qid", "chunk_id", (F.coalesce("points", F.lit(0)) + F.coalesce("bonus", F.lit(0))).cast("double").alias("score"))
-    found = top_k(both.where("score > 0"), k)
+    words = queries.select("qid", F.explode(F.split(F.lower("text"), r"\s+")).alias("term")).where(F.length("term") >= least)
+    weighted = words.groupBy("qid", "term").agg(F.count("*").cast("double").alias("w"))
+
+    def scorer(block: Block):
+        found, guideline = automaton_of(block), np.array([g or "" for g in block.guidelines], dtype=object)
+
+        def run(texts: list, sources: list) -> np.ndarray:
+            bonus = {x: 2.0 * ((guideline == x) & (guideline != "")) for x in set(sources)}
+            s = np.stack([block.table[contained(found, t)].sum(axis=0) + bonus[x] for t, x in zip(texts, sources)])
+            s[s <= 0] = -np.inf
+            return s
+
+        return run
+
+    found = searched(queries, weighted, chunks, k, scorer)
     missed = queries.select("qid").join(found.select("qid").distinct(), "qid", "left_anti")
-    first = chunks.select("chunk_id").orderBy("chunk_id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy("chunk_id")))
+    first = chunks.select("chunk_id").orderBy("chunk_id").limit(k)  # k rows
+    first = first.withColumn("rank", F.row_number().over(Window.orderBy("chunk_id")))
     rest = missed.crossJoin(F.broadcast(first)).select("qid", "chunk_id", F.lit(0.5).alias("score"), "rank")
-    return found.select("qid", "chunk_id", "score", "rank").unionByName(rest).withColumn("score", F.round(F.col("score") / 10, 4))
+    return found.unionByName(rest).withColumn("score", F.round(F.col("score") / 10, 4))
 
 
 def keyword_boost(terms: DataFrame, chunks: DataFrame, guideline: str, k: int = 4) -> DataFrame:
     """Best chunks for keyword sets.
 
-    terms (qid, term); chunks (chunk_id, source, chunk_text, keywords). A point
-    for each pair of term and keyword that are equal or whose text contains the
-    term; the guideline's own chunks count 2.5 times plus 2, others 0.8 times.
+    terms (qid, term), distinct; chunks (chunk_id, source, chunk_text,
+    keywords). A point for each pair of term and keyword that are equal or
+    whose text contains the term; the guideline's own chunks count 2.5 times
+    plus 2, even without a point, others 0.8 times.
+    """
+    weighted = terms.select("qid", "term", F.lit(1.0).alias("w"))
+    asked = terms.select("qid", F.lit(guideline).alias("guideline")).distinct()
+
+    def scorer(block: Block):
+        found = automaton_of(block)
+
+        def run(texts: list, sources: list, keywords: list) -> np.ndarray:
+            s = np.zeros((len(texts), len(block.ids)))
+            for i, (text, words) in enumerate(zip(texts, keywords)):
+                inside = contained(found, text)
+                n = dict.fromkeys(inside, len(words))
+                for w in words:
+                    p = block.places.get(w)
+                    if p is not None and p not in n:
+                        n[p] = sum(x == w for x in words)
+                s[i] = np.array(list(n.values()), dtype=np.float64) @ block.table[list(n)] if n else 0.0
+            own = np.array([x == guideline for x in sources])[:, None]
+            s = np.where(own, s * 2.5 + 2, s * 0.8)
+            return np.where(s > 0, s, -np.inf)
+
+        return run
+
+    return searched(asked, weighted, chunks, k, scorer, "keywords").select("qid", "chunk_id", "rank", "score")
+
+
+def term_share(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """`pairs` (qid, chunk_id, ...) with `rel`: the share of the query's idf weight that the chunk's terms cover."""
+    weights = term_weights(document_frequencies(chunks), corpus_size(chunks))
+    terms = query_terms(queries).join(weights.select("term", "idf"), "term")
+    listed = terms.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("_terms"))  # as long as the query's text
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["idf"])
+    both = pairs.join(listed, "qid").join(chunks.select("chunk_id", tokens("chunk_text").alias("_toks")), "chunk_id")
+    here = F.filter("_terms", lambda x: F.array_contains("_toks", x["term"]))
+    return both.withColumn("rel", add(here) / add(F.col("_terms"))).drop("_terms", "_toks")
+
+
+# dense vectors --------------------------------------------------------------------------------
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; zero norms count as 1e-10."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return dot(a, b) / F.when(norm == 0, 1e-10).otherwise(norm)
+
+
+def vector_blocks(queries: DataFrame, limit: int) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, vectors) of `limit` queries at most."""
+    held = []
+    for r in queries.select("qid", "vec").orderBy("qid").toLocalIterator():
+        held.append(r)
+        if len(held) == limit:
+            yield [x["qid"] for x in held], np.array([x["vec"] for x in held], dtype=np.float64)
+            held = []
+    if held:
+        yield [x["qid"] for x in held], np.array([x["vec"] for x in held], dtype=np.float64)
+
+
+def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Cosines (rows of x, rows of q); zero norms count as 1e-10."""
+    norm = np.sqrt((x * x).sum(axis=1))[:, None] * np.sqrt((q * q).sum(axis=1))[None]
+    return x @ q.T / np.where(norm == 0, 1e-10, norm)
+
+
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, limit: int = BLOCK_QUERIES, index: Index | None = None) -> DataFrame:
+    """The k nearest vectors of each query by cosine; exactly, or by the lists of `index`.
+
+    queries (qid, vec), qid unique, are read in blocks of `limit`; each block
+    is held against all vectors (id, vec) by matrix products next to the data.
+    With an index, a vector is compared with the queries that probe its list.
+    """
+    spark, sent_index = vectors.sparkSession, None
+    if index is not None:
+        sent_index = spark.sparkContext.broadcast(index)  # centres: a bounded number of lists
+        vectors = vectors.withColumn("list", index.nearest_list(sent_index)("vec"))
+    slim = vectors.select("id", "vec", *(["list"] if index else []))
+
+    def run(part):
+        ids, mat = part
+        sent = spark.sparkContext.broadcast((ids, mat, index.probed(mat) if index else None))  # `limit` vectors
+        step = max(1, SMALL_MATRIX // len(ids))
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, mat, probed = sent.value
+            top = Best(len(ids), k)
+            for pdf in batches:
+                for lo in range(0, len(pdf), step):
+                    x = np.array(pdf["vec"].iloc[lo : lo + step].tolist(), dtype=np.float64)
+                    if not len(x):
+                        continue
+                    name = pdf["id"].iloc[lo : lo + step].to_numpy()
+                    if probed is None:
+                        top.add(name, cosines(mat, x))
+                        continue
+                    at, s = pdf["list"].iloc[lo : lo + step].to_numpy(), np.full((len(x), len(ids)), -np.inf)
+                    for c in np.unique(at):
+                        asks, rows = np.flatnonzero(probed[:, c]), np.flatnonzero(at == c)
+                        if len(asks):
+                            s[np.ix_(rows, asks)] = cosines(mat[asks], x[rows])
+                    top.add(name, s)
+            got = top.kept
+            yield pd.DataFrame({"qid": [ids[j] for j in got["q"]], "vec_id": got["id"], "score": got["key"]})
+
+        return top_k(slim.mapInPandas(best, "qid bigint, vec_id bigint, score double"), k, tie="vec_id"), sent
+
+    empty = queries.select(F.col("qid").cast("long").alias("qid"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return in_blocks(vector_blocks(queries, limit), run, empty)
+
+
+@dataclass
+class Index:
+    """Inverted lists: unit centres, and how many lists a query looks into."""
+
+    centres: np.ndarray
+    probes: int
+
+    def distances(self, x: np.ndarray) -> np.ndarray:
+        x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
+        return (self.centres**2).sum(axis=1)[None] - 2 * x @ self.centres.T
+
+    def probed(self, x: np.ndarray, probes: int | None = None) -> np.ndarray:
+        """(queries, lists): whether a query looks into a list."""
+        near = np.argsort(self.distances(x), axis=1, kind="stable")[:, : probes or self.probes]
+        out = np.zeros((len(x), len(self.centres)), dtype=bool)
+        np.put_along_axis(out, near, True, axis=1)
+        return out
+
+    @staticmethod
+    def nearest_list(sent):
+        @F.pandas_udf("int")
+        def run(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype="int32")
+            return pd.Series(sent.value.distances(np.array(v.tolist(), dtype=np.float64)).argmin(axis=1).astype(np.int32))
+
+        return run
+
+
+def ann_index(vectors: DataFrame, k: int = 10, recall: float = 0.97, lists: int | None = None, sample: int = 20_000, seed: int = 7) -> Index:
+    """Centres by k-means over a bounded sample, about the square root of the number of vectors (1,024 at most).
+
+    The number of probes is the least with which 200 sampled vectors find
+    `recall` of their k nearest in the sample; in a larger table the nearest lie
+    nearer, so this errs to the safe side.
     """
-    pairs = chunks.select("chunk_id", "source", F.lower("chunk_text").alias("low"), F.explode("keywords").alias("kw"))
-    points = pairs.join(F.broadcast(terms), (F.col("kw") == F.col("term")) | F.col("low").contains(F.col("term"))).groupBy("qid", "chunk_id", "source").agg(F.count("*").alias("n"))
-    own = F.col("source") == guideline
-    return top_k(points.withColumn("score", F.when(own, F.col("n") * 2.5 + 2).otherwise(F.col("n") * 0.8)), k).select("qid", "chunk_id", "score", "rank")
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.feature import Normalizer
+
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("raw"))
+    unit = kept(Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(rows).select("id", "features"))
+    lists = lists or int(min(1024, max(1, round(vectors.count() ** 0.5))))
+    index = Index(np.array(KMeans(k=max(2, lists), seed=seed, maxIter=15).fit(unit).clusterCenters()), 1)
+    x = np.array([r["features"].toArray() for r in unit.orderBy(F.xxhash64("id"), "id").toLocalIterator()])  # `sample` rows
+    asked = x[:200]
+    near = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
+    order = np.argsort(np.argsort(index.distances(asked), axis=1, kind="stable"), axis=1)
+    at = index.distances(x).argmin(axis=1)
+    needed = np.sort(np.take_along_axis(order, at[near], axis=1).ravel()) + 1  # probes after which each neighbour is found
+    index.probes = int(needed[int(np.ceil(recall * len(needed))) - 1])
+    return index
+
+
+def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, recall: float = 0.97) -> DataFrame:
+    """Approximate dense_topk: vectors are filed under their nearest centre, and a query sees the lists it probes."""
+    if not vectors.take(1):
+        return dense_topk(queries, vectors, k)
+    return dense_topk(queries, vectors, k, index=ann_index(vectors, k, recall))
+
+
+def chunk_keywords(text_col: str = "chunk_text") -> Column:
+    """Keywords of a chunk: its distinct words of four letters or more."""
+    return words_at_least(text_col, 4)

@@ -292,5 +292,5 @@ def gen_summary(spark, sf):
 @query("entry", f"WITH {ARMS} SELECT qid, arm, mrr FROM ({MRR}) WHERE arm = 'bm25'")
 def entry(spark, sf):
     """For every benchmark passage the ten best chunks by BM25, scored by reciprocal rank against gold from containment."""
-    ret = RQ.R.top_k(RQ.R.bm25_scores(V.queries(spark, sf), V.chunks(spark, sf)), 10).withColumn("arm", F.lit("bm25"))
+    ret = RQ.R.bm25_search(V.queries(spark, sf), V.chunks(spark, sf), 10).withColumn("arm", F.lit("bm25"))
     return rounded(M.mrr(ret, gold(spark, sf), V.queries(spark, sf).select("qid", F.lit("bm25").alias("arm")), ["arm"]), "mrr")

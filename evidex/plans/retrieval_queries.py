@@ -31,10 +31,10 @@ def ranked_sql(src: str, k: int, by: str = "qid", tie: str = "chunk_id", cols: s
 BMTOP = f"v_top AS ({ranked_sql('SELECT * FROM v_bm', 10)})"
 
 
-@query("bm25_index", f"WITH {POSTINGS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM v_idf WHERE df >= 20")
+@query("bm25_index", f"WITH {POSTINGS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM v_idf")
 def bm25_index(spark, sf):
     c = V.chunks(spark, sf)
-    return R.term_weights(R.document_frequencies(c), R.corpus_size(c)).where("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(R.document_frequencies(c), R.corpus_size(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25}, {BMTOP} SELECT qid, chunk_id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM v_top WHERE score > 0")
@@ -64,7 +64,7 @@ def ann_ivf_topk(spark, sf):
 @query("guideline_mask", f"WITH {BM25} {ranked_sql('SELECT b.* FROM v_bm b JOIN v_chunks c USING (chunk_id) JOIN v_queries q USING (qid) WHERE c.source = q.guideline', 10, cols='qid, chunk_id, rank, round(score, 6) AS score')}")
 def guideline_mask(spark, sf):
     q, c = V.queries(spark, sf), V.chunks(spark, sf)
-    return R.guideline_first(R.bm25_scores(q, c), q, c, 10).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return R.bm25_search(q, c, 10, own_guideline=True).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 KEYWORD = """v_kw AS (SELECT qid, guideline, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM v_queries),
@@ -82,19 +82,19 @@ def offline_search(spark, sf):
     return R.keyword_search(V.queries(spark, sf), V.chunks(spark, sf), 3)
 
 
-TERMS = "v_terms AS (SELECT DISTINCT qid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))[1:6]) AS term FROM (SELECT qid, text FROM v_queries))"
-
-
 @query(
     "keyword_boost",
-    """WITH v_t AS (SELECT qid, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM v_queries), v_terms AS (SELECT DISTINCT qid, unnest(t[1:6]) AS term FROM v_t),
-      v_kwd AS (SELECT chunk_id, source, chunk_text, unnest(string_split(chunk_text, ' ')[1:5]) AS kw FROM v_chunks)
+    """WITH v_terms AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM v_queries),
+      v_kwd AS (SELECT chunk_id, chunk_text, len(list_distinct(regexp_extract_all(chunk_text, '[a-z0-9]{4,}'))) AS n_kw FROM v_chunks),
+      v_pts AS (SELECT qid, chunk_id, sum(n_kw) AS n FROM v_kwd JOIN v_terms ON contains(chunk_text, term) GROUP BY qid, chunk_id),
+      v_all AS (SELECT q.qid, c.chunk_id, CASE WHEN source = 'EN' THEN coalesce(n, 0) * 2.5 + 2 ELSE coalesce(n, 0) * 0.8 END::DOUBLE AS score
+        FROM (SELECT DISTINCT qid FROM v_terms) q CROSS JOIN v_chunks c LEFT JOIN v_pts p ON p.qid = q.qid AND p.chunk_id = c.chunk_id)
       """
-    + ranked_sql("SELECT qid, chunk_id, CASE WHEN source = 'EN' THEN count(*) * 2.5 + 2 ELSE count(*) * 0.8 END::DOUBLE AS score FROM v_kwd JOIN v_terms ON kw = term OR contains(chunk_text, term) GROUP BY qid, chunk_id, source", 4, cols="qid, chunk_id, rank, round(score, 6) AS score"),
+    + ranked_sql("SELECT * FROM v_all WHERE score > 0", 4, cols="qid, chunk_id, rank, round(score, 6) AS score"),
 )
 def keyword_boost(spark, sf):
-    terms = V.queries(spark, sf).select("qid", F.explode(F.slice(tokens("text"), 1, 6)).alias("term")).distinct()
-    c = V.chunks(spark, sf).withColumn("keywords", F.slice(F.split("chunk_text", " "), 1, 5))
+    terms = V.queries(spark, sf).select("qid", F.explode(tokens("text")).alias("term")).distinct()
+    c = V.chunks(spark, sf).withColumn("keywords", R.chunk_keywords())
     return R.keyword_boost(terms, c, "EN").select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -159,11 +159,9 @@ def subquery_fanout(spark, sf):
       v_first AS (SELECT qid, min(attempt) AS attempt FROM v_att GROUP BY qid) SELECT qid, attempt, count(*) AS n FROM v_att JOIN v_first USING (qid, attempt) GROUP BY qid, attempt""",
 )
 def widened_queries(spark, sf):
-    s = R.bm25_scores(V.queries(spark, sf), V.chunks(spark, sf))
-    floors = F.array(*[F.struct(F.lit(n).alias("attempt"), F.lit(float(x)).alias("floor")) for n, x in ((1, 60), (2, 30), (3, 10))])
-    tries = s.select("qid", "chunk_id", "score", F.explode(floors).alias("f")).where("score > f.floor").select("qid", "chunk_id", "f.attempt")
+    tries = R.bm25_counts(V.queries(spark, sf), V.chunks(spark, sf), {1: 60.0, 2: 30.0, 3: 10.0})
     first = tries.groupBy("qid").agg(F.min("attempt").alias("attempt"))
-    return tries.join(first, ["qid", "attempt"]).groupBy("qid", "attempt").agg(F.count("*").alias("n"))
+    return tries.join(first, ["qid", "attempt"]).select("qid", "attempt", "n")
 
 
 # fusion ---------------------------------------------------------------------------------------
@@ -175,7 +173,7 @@ LISTS = f"""{BM25}, {KEYWORD}, v_l1 AS ({ranked_sql('SELECT * FROM v_bm', 10)}),
 
 def lists(spark, sf):
     q, c = V.queries(spark, sf), V.chunks(spark, sf)
-    a = R.top_k(R.bm25_scores(q, c), 10).select("qid", F.lit("bm25").alias("list"), "chunk_id", "rank")
+    a = R.bm25_search(q, c, 10).select("qid", F.lit("bm25").alias("list"), "chunk_id", "rank")
     b = R.keyword_search(q, c, 10).select("qid", F.lit("keyword").alias("list"), "chunk_id", "rank")
     return a.unionByName(b)
 
@@ -197,11 +195,7 @@ OVERLAP = f"""{LISTS}, v_pair AS (SELECT r.qid, r.chunk_id, r.rank, coalesce(sum
 def pair_scores(spark, sf):
     """Share of the query's idf weight that the chunk covers, for fused candidates."""
     q, c = V.queries(spark, sf), V.chunks(spark, sf)
-    posts = R.postings(c)
-    weights = R.term_weights(R.document_frequencies(c), R.corpus_size(c)).select("term", "idf")
-    cand = X.rrf(lists(spark, sf)).select("qid", "chunk_id", "rank")
-    full = cand.join(R.query_terms(q), "qid").join(weights, "term").join(posts.select("chunk_id", "term", F.lit(True).alias("has")), ["chunk_id", "term"], "left")
-    return full.groupBy("qid", "chunk_id", "rank").agg((F.sum(F.when(F.col("has"), F.col("idf")).otherwise(0.0)) / F.sum("idf")).alias("rel"))
+    return R.term_share(X.rrf(lists(spark, sf)).select("qid", "chunk_id", "rank"), q, c)
 
 
 @query("pair_score", f"WITH {OVERLAP} SELECT qid, chunk_id, round(coalesce(rel, 1 - 0.01 * (rank - 1)), 6) AS score FROM v_pair")
@@ -375,5 +369,5 @@ def ablation_arms(spark, sf):
 
 @query("rank_to_score", f"WITH {BM25}, {BMTOP} SELECT qid, chunk_id, round(0.9 - 0.1 * rank, 6)::DOUBLE AS score FROM v_top WHERE rank <= 5")
 def rank_to_score(spark, sf):
-    t = R.top_k(R.bm25_scores(V.queries(spark, sf), V.chunks(spark, sf)), 5)
+    t = R.bm25_search(V.queries(spark, sf), V.chunks(spark, sf), 5)
     return t.select("qid", "chunk_id", F.round(F.lit(0.9) - 0.1 * F.col("rank"), 6).alias("score"))
