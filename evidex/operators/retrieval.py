@@ -35,9 +35,19 @@ def top_k(scored: DataFrame, k: int | Column, by: tuple[str, ...] = ("qid",), sc
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def document_frequencies(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
-    """(term, df): chunks with each term; counted before the shuffle, so that no (chunk, term) row crosses it."""
-    return chunks.select(F.explode(F.array_distinct(tokens(text_col))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def vocabulary(chunks: DataFrame, text_col: str = "chunk_text") -> tuple[DataFrame, DataFrame]:
+    """((term, df), one row (n, avgdl)): chunks with each term, their number and mean length, from one pass.
+
+    Terms are counted before the shuffle, so no (chunk, term) row crosses it;
+    a row without a term stands for each chunk. What is left, one row a term,
+    is cut with a checkpoint.
+    """
+    toks = chunks.select(tokens(text_col).alias("t"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl")))
+    each = F.concat(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"))), none)
+    counted = kept(toks.select(F.explode_outer(each).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")))
+    size = counted.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("df")).alias("avgdl"))
+    return counted.where("term is not null").select("term", "df"), size
 
 
 def term_weights(frequencies: DataFrame, n_chunks: DataFrame) -> DataFrame:
@@ -52,11 +62,6 @@ def term_weights(frequencies: DataFrame, n_chunks: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, 0.25 * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
-def corpus_size(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
-    """One row: number of chunks and their mean length."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(text_col))).alias("avgdl"))
-
-
 def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
     """(qid, term, qtf): repeated tokens count repeatedly."""
     return queries.select("qid", F.explode(tokens(text_col)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
@@ -211,8 +216,8 @@ def searched(queries: DataFrame, weighted: DataFrame, chunks: DataFrame, k: int,
 
 def bm25_weights(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, float]:
     """((qid, term, w), mean chunk length): idf over the whole corpus times how often the query has the term."""
-    size = corpus_size(chunks)
-    weights = term_weights(document_frequencies(chunks), size)
+    frequencies, size = vocabulary(chunks)
+    weights = term_weights(frequencies, size)
     terms = query_terms(queries).join(weights.select("term", "idf"), "term")
     return terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w")), float(size.first()["avgdl"] or 1.0)
 
@@ -349,7 +354,7 @@ def keyword_boost(terms: DataFrame, chunks: DataFrame, guideline: str, k: int =
 
 def term_share(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """`pairs` (qid, chunk_id, ...) with `rel`: the share of the query's idf weight that the chunk's terms cover."""
-    weights = term_weights(document_frequencies(chunks), corpus_size(chunks))
+    weights = term_weights(*vocabulary(chunks))
     terms = query_terms(queries).join(weights.select("term", "idf"), "term")
     listed = terms.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("_terms"))  # as long as the query's text
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["idf"])

@@ -34,7 +34,7 @@ BMTOP = f"v_top AS ({ranked_sql('SELECT * FROM v_bm', 10)})"
 @query("bm25_index", f"WITH {POSTINGS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM v_idf")
 def bm25_index(spark, sf):
     c = V.chunks(spark, sf)
-    return R.term_weights(R.document_frequencies(c), R.corpus_size(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return R.term_weights(*R.vocabulary(c)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25}, {BMTOP} SELECT qid, chunk_id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM v_top WHERE score > 0")

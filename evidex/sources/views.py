@@ -27,8 +27,8 @@ def chunk_rows(docs: DataFrame, width: int = WINDOW_TOKENS, step: int = STEP) ->
     kinds = F.array(*[F.lit(k) for k in ("recommendation", "table", "background", "remarks")])
     return (
         docs.select("doc_id", F.upper("source").alias("source"), "subsection", tokens("text").alias("toks"))
-        .where(F.size("toks") > 0)
-        .withColumn("idx", F.explode(F.sequence(F.lit(0), n - 1)))
+        .withColumn("idx", F.explode_outer(F.when(F.size("toks") > 0, F.sequence(F.lit(0), n - 1))))
+        .where("idx is not null")  # after the fact, so that texts are split once
         .select(
             F.concat("source", F.lit("_pg"), F.col("doc_id").cast("string"), F.lit("_c"), F.col("idx").cast("string")).alias("chunk_id"),
             "source",
