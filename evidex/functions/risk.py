@@ -239,3 +239,23 @@ def safety_net(required: Column, regimen: Column, guideline: Column, contraindic
     filled = F.when(regimen_missing(regimen), full).otherwise(third)
     fixed = F.transform(filled, lambda e: F.when((guideline == "WHO") & ~F.lower(e).contains("ampicillin"), F.regexp_replace(e, r"(?i)\bbenzylpenicillin(?:\s+sodium)?\b", "ampicillin")).otherwise(e))
     return F.when(required, fixed).otherwise(regimen)
+
+
+#: Sources that count as the guideline's own; any other guideline's own source is its name. Fixed values.
+OWN_SOURCES = {"NICE": ("NICE",), "WHO": ("WHO",), "AAP": ("AAP",)}
+
+
+def guideline_match(active: Column, source: Column) -> Column:
+    """Whether a source belongs to the active guideline: by exact name, never as a part of one."""
+    a, s = F.upper(F.coalesce(active, F.lit(""))), F.upper(F.trim(F.coalesce(source, F.lit(""))))
+    listed = F.lit(False)
+    for name, own in OWN_SOURCES.items():
+        listed = listed | ((a == name) & s.isin(*own))
+    return listed | (~a.isin(*OWN_SOURCES) & (a == s))
+
+
+def guideline_conflict(sources: Column, active: Column) -> Column:
+    """Whether two or more distinct named sources are outside the active guideline."""
+    named = F.transform(sources, lambda x: F.upper(F.trim(F.coalesce(x, F.lit("")))))
+    off = F.filter(F.array_distinct(named), lambda x: (x != "") & ~guideline_match(active, x))
+    return F.size(off) >= 2

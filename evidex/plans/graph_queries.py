@@ -47,9 +47,9 @@ def root_reachability(spark, sf):
     return G.unreachable_roots(nodes, edges)
 
 
-@query("typed_traversal", "WITH v_one AS (SELECT 'customer:' || o_custkey AS id, 'order:' || o_orderkey AS entity FROM orders WHERE o_custkey % 10 = 0) SELECT id, entity FROM v_one UNION SELECT id, e.to_id FROM v_one JOIN v_edges e ON e.from_id = v_one.entity AND e.relationship = 'HAS_DOSE'")
+@query("typed_traversal", "WITH v_one AS (SELECT 'customer:' || o_custkey AS id, 'order:' || o_orderkey AS entity FROM orders) SELECT id, entity FROM v_one UNION SELECT id, e.to_id FROM v_one JOIN v_edges e ON e.from_id = v_one.entity AND e.relationship = 'HAS_DOSE'")
 def typed_traversal(spark, sf):
-    start = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    start = table(spark, sf, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
     return G.two_steps(V.edges(spark, sf), start, "REQUIRES", "HAS_DOSE")
 
 
@@ -100,7 +100,7 @@ def page_window(spark, sf):
 
 BASELINE_KINDS = ("FirstLineAntibiotics", "Monitoring", "StoppingCriteria", "Duration")
 CAND = f"""v_qw AS (SELECT qid, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS qw FROM v_queries), v_gc AS (SELECT qid, rec_id, section_type, list_contains({sql_list(BASELINE_KINDS)}, section_type) AS baseline,
-  (5 * list_contains({sql_list(BASELINE_KINDS)}, section_type)::INT + len(list_intersect(qw, list_distinct(regexp_extract_all(lower(text_summary), '[a-z]{{4,}}')))))::DOUBLE AS score FROM v_qw, v_recs WHERE guideline_id = 'EN' AND page < 208)"""
+  (5 * list_contains({sql_list(BASELINE_KINDS)}, section_type)::INT + len(list_intersect(qw, list_distinct(regexp_extract_all(lower(text_summary), '[a-z]{{4,}}')))))::DOUBLE AS score FROM v_qw, v_recs WHERE guideline_id = 'EN')"""
 
 
 def candidates(spark, sf):

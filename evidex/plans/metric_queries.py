@@ -205,9 +205,9 @@ def effect_sizes(spark, sf):
     return pairs_of_arms(spark, sf).select("arm_a", "arm_b", F.round("d_z", 5).alias("d_z"), F.round("r_rb", 5).alias("r_rb"))
 
 
-@query("holm_adjust", "SELECT family, id, round(least(1, max(s) OVER (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS p_holm FROM (SELECT *, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, id) + 1) AS s FROM (SELECT user_id AS family, event_id AS id, value / 50000 + event_id / 1e12 AS p FROM events WHERE event_type = 'click'))")
+@query("holm_adjust", "SELECT family, id, round(least(1, max(s) OVER (PARTITION BY family ORDER BY p, id ROWS UNBOUNDED PRECEDING)), 6)::DOUBLE AS p_holm FROM (SELECT *, p * (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, id) + 1) AS s FROM (SELECT user_id AS family, event_id AS id, value / 50000 + event_id / 1e12 AS p FROM events))")
 def holm_adjust(spark, sf):
-    p = table(spark, sf, "events").where("event_type = 'click'").select(F.col("user_id").alias("family"), F.col("event_id").alias("id"), (F.col("value") / 50000 + F.col("event_id") / F.lit(1e12)).alias("p"))
+    p = table(spark, sf, "events").select(F.col("user_id").alias("family"), F.col("event_id").alias("id"), (F.col("value") / 50000 + F.col("event_id") / F.lit(1e12)).alias("p"))
     return rounded(M.holm(p, ["family"]).select("family", "id", "p_holm"), "p_holm")
 
 

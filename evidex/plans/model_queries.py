@@ -17,7 +17,11 @@ GRID_SQL = "(SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in GRID) + "]) AS
 WEIGHTS = {"n_chars": 0.001, "n_tokens": -0.01, "distinct_ratio": 2.0, "digit_ratio": -5.0, "is_en": 0.3}
 
 
-@query("leakage_audit", "SELECT label, count(*) FILTER (WHERE toxic = 0) AS n0, count(*) FILTER (WHERE toxic = 1) AS n1, min(toxic) AS lo, max(toxic) AS hi, false AS separates FROM v_ml GROUP BY label")
+@query(
+    "leakage_audit",
+    """SELECT label, n0, n1, lo, hi, NOT EXISTS (SELECT 1 FROM (SELECT label, min(toxic) AS lo, max(toxic) AS hi FROM v_ml GROUP BY label) b WHERE b.label <> a.label AND a.lo <= b.hi AND b.lo <= a.hi) AS separates
+      FROM (SELECT label, count(*) FILTER (WHERE toxic = 0) AS n0, count(*) FILTER (WHERE toxic = 1) AS n1, min(toxic) AS lo, max(toxic) AS hi FROM v_ml GROUP BY label) a""",
+)
 def leakage_audit(spark, sf):
     return M.leakage(V.ml_rows(spark, sf), "label", "toxic")
 

@@ -273,7 +273,7 @@ def metadata_score(spark, sf):
     return scored(spark, sf).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("force_candidates", f"WITH {SCORED}, v_force AS (SELECT q.qid, c.chunk_id FROM v_queries q JOIN v_chunks c ON c.source = q.guideline WHERE c.chunk_index = 0 AND c.page < 40 AND {any_sql('c.chunk_text', BASELINE)}) SELECT qid, chunk_id, round(score, 6) AS score FROM v_sc UNION ALL SELECT qid, chunk_id, 0.0 FROM v_force f WHERE NOT EXISTS (SELECT 1 FROM v_sc s WHERE s.qid = f.qid AND s.chunk_id = f.chunk_id)")
+@query("force_candidates", f"WITH {SCORED}, v_force AS (SELECT q.qid, c.chunk_id FROM v_queries q JOIN v_chunks c ON c.source = q.guideline WHERE c.chunk_index = 0 AND {any_sql('c.chunk_text', BASELINE)}) SELECT qid, chunk_id, round(score, 6) AS score FROM v_sc UNION ALL SELECT qid, chunk_id, 0.0 FROM v_force f WHERE NOT EXISTS (SELECT 1 FROM v_sc s WHERE s.qid = f.qid AND s.chunk_id = f.chunk_id)")
 def force_candidates(spark, sf):
     c = V.chunks(spark, sf).where("chunk_index = 0").where(has_any(F.col("chunk_text"), BASELINE))
     forced = V.queries(spark, sf).join(c, F.col("source") == F.col("guideline")).select("qid", "chunk_id")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from evidex.functions import query as Q
 from evidex.functions import risk as K
+from evidex.operators import audit as A
+from evidex.plans import retrieval_queries as RQ
 from evidex.plans.registry import query, sql_list
 from evidex.sources import views as V
 from evidex.sources.tables import table
@@ -150,14 +152,23 @@ def trend_terms(spark, sf):
     return table(spark, sf, "events").select("event_id", terms.alias("terms"))
 
 
-@query("audit_chain", "WITH v_h AS (SELECT user_id, event_id, sha256(CASE WHEN lag(event_id) OVER w IS NULL THEN 'genesis' ELSE 'after ' || lag(event_id) OVER w END || event_type) AS h, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, h AS chain_hash, n % 50 <> 0 AS valid FROM v_h")
+@query(
+    "audit_chain",
+    """WITH RECURSIVE v_p AS (SELECT event_id, user_id, event_type || '|' || event_id || '|' || CAST(floor(value) AS BIGINT) AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+      v_c AS (SELECT event_id, user_id, n, payload, sha256('genesis' || payload) AS h FROM v_p WHERE n % 512 = 0
+        UNION ALL SELECT p.event_id, p.user_id, p.n, p.payload, sha256(c.h || p.payload) FROM v_c c JOIN v_p p ON p.user_id = c.user_id AND p.n = c.n + 1 WHERE p.n % 512 <> 0),
+      v_s AS (SELECT event_id, user_id, n, h, CASE WHEN event_id % 70 = 0 THEN sha256(h) ELSE h END AS stored, CASE WHEN event_id % 50 = 0 THEN payload || '!' ELSE payload END AS payload FROM v_c),
+      v_v AS (SELECT *, CASE WHEN n % 512 = 0 THEN 'genesis' ELSE lag(stored) OVER (PARTITION BY user_id ORDER BY n) END AS prev FROM v_s)
+      SELECT event_id, h AS chain_hash, stored = sha256(prev || payload) AS valid FROM v_v""",
+)
 def audit_chain(spark, sf):
-    """Verification in parallel: each row's hash is recomputed from the row before and compared with what is stored (every 50th is broken)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    prev = F.lag("event_id").over(w)
-    e = table(spark, sf, "events").withColumn("h", F.sha2(F.concat(F.when(prev.isNull(), "genesis").otherwise(F.concat(F.lit("after "), prev.cast("string"))), "event_type"), 256))
-    e = e.withColumn("stored", F.when(F.row_number().over(w) % 50 == 0, F.lit("broken")).otherwise(F.col("h")))
-    return e.select("event_id", F.col("h").alias("chain_hash"), (F.col("stored") == F.col("h")).alias("valid"))
+    """Chains of each user's events, then read again after some rows (every 50th id) and some hashes (every 70th) were altered."""
+    k = F.col("event_id")
+    payload = F.concat_ws("|", "event_type", k.cast("string"), F.floor("value").cast("long").cast("string"))
+    chained = A.audit_chain(table(spark, sf, "events").select("user_id", k, "ts", payload.alias("payload")), "user_id", ["ts", "event_id"], "payload")
+    stored = F.when(k % 70 == 0, F.sha2("chain_hash", 256)).otherwise(F.col("chain_hash"))
+    altered = chained.withColumns({"stored": stored, "payload": F.when(k % 50 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))})
+    return A.audit_verify(altered, "user_id", "payload", "stored").select("event_id", "chain_hash", "valid")
 
 
 @query("action_lookup", f"WITH {RISK} SELECT category, CASE category {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {sql_list(a)}' for c, a in K.ACTIONS.items())} END AS actions FROM (SELECT DISTINCT category FROM v_risk)")
@@ -342,10 +353,20 @@ def safety_recall(spark, sf):
     return table(spark, sf, "events").select("event_id", F.when(F.size(want) == 0, 1.0).otherwise(found / F.greatest(F.size(want), F.lit(1))).alias("recall"))
 
 
-@query("guideline_conflict", "SELECT user_id, count(DISTINCT event_type) FILTER (WHERE event_type <> 'view') >= 2 AS conflict FROM events WHERE event_id % 40 < 2 GROUP BY user_id")
+ACTIVE = ("EN", "FR", "DE", "ES")
+
+
+@query(
+    "guideline_conflict",
+    f"""WITH {RQ.BM25}, {RQ.BMTOP}, v_src AS (SELECT DISTINCT qid, upper(trim(source)) AS source FROM v_top JOIN v_chunks USING (chunk_id)), v_act AS (SELECT unnest({sql_list(ACTIVE)}) AS active)
+      SELECT qid, active, count(*) FILTER (WHERE source <> active AND source <> '') >= 2 AS conflict FROM v_src, v_act GROUP BY qid, active""",
+)
 def guideline_conflict(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 40 < 2")
-    return e.groupBy("user_id").agg((F.count_distinct(F.when(F.col("event_type") != "view", F.col("event_type"))) >= 2).alias("conflict"))
+    """For every query and each guideline that could be active: whether its evidence comes from two others or more."""
+    q, c = V.queries(spark, sf), V.chunks(spark, sf)
+    found = RQ.R.bm25_search(q, c, 10).join(c.select("chunk_id", "source"), "chunk_id").groupBy("qid").agg(F.collect_set("source").alias("sources"))  # ten at most
+    cases = found.withColumn("active", F.explode(F.array(*[F.lit(a) for a in ACTIVE])))
+    return cases.select("qid", "active", K.guideline_conflict(F.col("sources"), F.col("active")).alias("conflict"))
 
 
 @query("citation_labels", "SELECT user_id, event_type, 'E' || row_number() OVER (PARTITION BY user_id ORDER BY first_seen) AS label FROM (SELECT user_id, event_type, min(event_id) AS first_seen FROM events GROUP BY user_id, event_type)")

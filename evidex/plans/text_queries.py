@@ -68,11 +68,11 @@ def resume_grid(spark, sf):
     return corpus.open_cells(d.select(F.col("source").alias("backbone")).distinct(), d.select(F.col("lang").alias("arm")).distinct(), done)
 
 
-@query("union_corpus", "SELECT chunk_id, CASE WHEN chunk_index = 0 THEN 'gold' ELSE 'distractor' END AS role FROM v_chunks WHERE chunk_index = 0 OR chunk_index % 2 = 1")
+@query("union_corpus", "SELECT chunk_id, CASE WHEN chunk_index = 0 THEN 'gold' ELSE 'distractor' END AS role FROM v_chunks")
 def union_corpus(spark, sf):
     c = V.chunks(spark, sf)
     gold = c.where("chunk_index = 0").select("chunk_id", F.lit("gold").alias("role"))
-    rest = c.where("chunk_index = 0 or chunk_index % 2 = 1").select("chunk_id", F.lit("distractor").alias("role"))
+    rest = c.select("chunk_id", F.lit("distractor").alias("role"))
     return corpus.first_per_id(gold, rest, "chunk_id")
 
 

@@ -53,9 +53,9 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Anchor phrases: up to six four-token windows of each query, side by side."""
-    toks = queries(spark, sf).select("qid", tokens("text").alias("toks"))
-    return toks.select("qid", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("nth"), "toks").where(F.size("toks") >= F.col("nth") * 4 + 4).select(
+    """Anchor phrases: the four-token windows of each query, side by side."""
+    toks = queries(spark, sf).select("qid", tokens("text").alias("toks")).where(F.size("toks") >= 4)
+    return toks.select("qid", F.explode(F.sequence(F.lit(0), F.floor(F.size("toks") / 4).cast("int") - 1)).alias("nth"), "toks").select(
         "qid", F.col("nth").cast("long").alias("nth"), F.array_join(F.slice("toks", F.col("nth") * 4 + 1, 4), " ").alias("phrase")
     )
 
@@ -180,7 +180,7 @@ DUCK = {
     "v_queries": "SELECT item_id AS qid, text, 'EN' AS guideline FROM benchmark",
     "v_phrases": """
       SELECT qid, nth, array_to_string(toks[nth * 4 + 1 : nth * 4 + 4], ' ') AS phrase
-      FROM (SELECT qid, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks, unnest(range(6)) AS nth FROM v_queries) WHERE len(toks) >= nth * 4 + 4""",
+      FROM (SELECT qid, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks, unnest(range(len(regexp_extract_all(lower(text), '[a-z0-9]+')) // 4)) AS nth FROM v_queries)""",
     "v_hits": """
       SELECT p.qid, p.nth, c.chunk_id, c.source FROM v_phrases p JOIN v_chunks c ON contains(c.chunk_text, p.phrase)""",
     "v_gold": """
