@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidex.sources.tables import checkpoint_folder
+
 #: A word is a run of characters other than space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,11 +26,8 @@ def remainder(id_col: str | Column, n: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares: what spark.checkpoint.dir names, or a temporary one in local tests."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return sc.getCheckpointDir()
+    """The folder that the cluster shares: what spark.checkpoint.dir names, or a temporary one on a local master."""
+    return checkpoint_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,14 +49,15 @@ def slices(texts: list, budget: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def bounded_sample(df: DataFrame, id_col: str, limit: int, seed: str) -> DataFrame:
-    """Ids of a fixed-size sample by hash order: at most `limit` rows, the same on each run."""
-    return (
-        df.select(F.col(id_col).alias("_id"))
-        .where(F.col("_id").isNotNull())
-        .orderBy(F.xxhash64(F.lit(seed), F.col("_id").cast("string")), "_id")
-        .limit(limit)
-    )
+def row_sample(rows: DataFrame, limit: int, seed: str, *by: str) -> DataFrame:
+    """At most `limit` rows in order of a hash of the columns `by`, the same on each run; rows equal in them count once.
+
+    Only hashes are sorted; the rows follow by comparing with the last hash.
+    """
+    keyed = rows.withColumn("_key", F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in by]))
+    last = keyed.select("_key").distinct().orderBy("_key").limit(limit).agg(F.max("_key")).first()[0]
+    found = keyed.where(F.col("_key") <= F.lit(last).cast("long"))
+    return found.groupBy("_key").agg(*[F.first(c).alias(c) for c in rows.columns]).drop("_key")
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -141,14 +141,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from text and non-null language of the training folds.
 
     At most `per_class` documents of each language are used, first by hash
-    order, with at most `windows_per_doc` evenly spaced windows each.
+    order and repeated rows once, with at most `windows_per_doc` evenly spaced windows each.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang"))
     slim = slim.where((remainder("doc_id", 4) != 2) & F.col("_lang").isNotNull())
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit("cnn"), F.col("doc_id").cast("string")), "doc_id")
-    chosen = slim.select("doc_id", "_lang").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class)
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("_lang").alias("_l")).distinct()
-    sample = slim.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("_lang") == F.col("_l")))  # per_class each
+    slim = slim.withColumn("_key", F.xxhash64(F.lit("cnn"), F.col("doc_id").cast("string"), "_text"))
+    order = Window.partitionBy("_lang").orderBy("_key")
+    chosen = slim.select("_lang", "_key").distinct().withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class)
+    sample = slim.join(chosen.select("_lang", "_key"), ["_lang", "_key"]).groupBy("_lang", "_key").agg(F.first("_text").alias("_text"))
 
     @F.pandas_udf("binary")
     def some(texts: pd.Series) -> pd.Series:

@@ -16,6 +16,8 @@ from evidex.llm._shared import WORD, cut, wrapped
 
 #: Buckets of the rank value in each source.
 BUCKETS = 1024
+#: The whole order of ranks; rows equal in all of it have one id and one text.
+TIE = ("_z", "doc_id", "text_md5")
 #: Sources are broadcast up to this count, which is checked; beyond it they are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -51,14 +53,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
     return sizes.withColumn("target", target).drop("_w", "_cap", "_total", "_level", "_open", "_fill", "_lambda")
 
 
-def random_unit(id_col: str, seed: str) -> Column:
-    """44 bits of a portable hash of the id's text, strictly inside (0, 1)."""
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+def random_unit(seed: str) -> Column:
+    """44 bits of a portable hash of id and text, strictly inside (0, 1): many rows of one id spread out."""
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text_md5")).cast("binary"))
     return (F.conv(F.substring(key, 1, 11), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**44))
 
 
 def ranked(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """Join (doc_id, source, size, ...) to its source's target and add whole copies and the Pareto rank `_z`."""
+    """Join (doc_id, source, size, text_md5, ...) to its source's target and add whole copies and the Pareto rank `_z`."""
     rows = rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0))
     rows = (
@@ -66,7 +68,7 @@ def ranked(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
         .withColumn("_wanted", F.col("target") - F.col("_whole") * F.col("source_size"))
         .withColumn("_p", F.least(F.col("_wanted") / F.greatest("source_size", F.lit(1)), F.lit(1 - 1e-12)))
         .withColumn("_mean", F.greatest("source_size", F.lit(1)) / F.col("_n"))
-        .withColumn("_u", random_unit("doc_id", seed))
+        .withColumn("_u", random_unit(seed))
         .withColumn("_source_odds", F.col("_p") / (F.lit(1.0) - F.col("_p")))
         .withColumn("_odds", F.col("_source_odds") * F.sqrt(F.col("size") / F.col("_mean")))
     )
@@ -75,7 +77,7 @@ def ranked(rows: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
 
 
 def draw(slim: DataFrame, weights: tuple[int, ...], cap: float, seed: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with copies, source targets) of (doc_id, source, size) rows."""
+    """(rows with copies, source targets) of (doc_id, source, size, text_md5) rows."""
     slim = cut(slim)  # read twice below; texts are read once
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     targets = source_targets(sizes, weights, cap)
@@ -90,7 +92,7 @@ def draw(slim: DataFrame, weights: tuple[int, ...], cap: float, seed: str) -> tu
         .withColumn("_base", F.coalesce(F.sum("_words").over(before), F.lit(0)))
         .drop("_words")
     )
-    inside = Window.partitionBy("_nth", "_bucket").orderBy("_z", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_nth", "_bucket").orderBy(*TIE).rowsBetween(Window.unboundedPreceding, 0)
     rows = (
         rows.withColumn("_upto", F.sum("size").over(inside))
         .join(starts, ["_nth", "_bucket"])
@@ -102,11 +104,13 @@ def draw(slim: DataFrame, weights: tuple[int, ...], cap: float, seed: str) -> tu
 
 
 def slim_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, size) of documents."""
+    """(doc_id, source, size, text_md5) of documents."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        F.md5(text.cast("binary")).alias("text_md5"),
     )
 
 
@@ -123,7 +127,7 @@ def mix_sources(
 
     A document's size is its number of words (null text: 0). Expected copies
     of a source's documents are target / size; the whole part is given to all,
-    the rest goes by Pareto order: u / (1 - u), with u from a hash of the id,
+    the rest goes by Pareto order: u / (1 - u), with u from a hash of id and text,
     over inclusion odds p / (1 - p), which grow with the square root of the
     size. Documents are taken in this order while the middle of their words
     lies under the words still wanted, so a source misses its target by one
@@ -131,7 +135,7 @@ def mix_sources(
 
     Returns doc_id, size, source_size, target, taken (words with repeats) and
     copies. Null or repeated ids, empty texts and ties have a place each:
-    a null id hashes as empty text, ties go by id and size; an empty table
+    a null id hashes as empty text, ties go by id and text hash; an empty table
     gives no rows. Other columns are not read.
     """
     rows, _ = draw(slim_rows(docs, id_col, text_col, source_col), weights, cap, seed)
@@ -149,17 +153,34 @@ def mixed_rows(
 ) -> DataFrame:
     """The rows of `docs`, all columns, each as often as mix_sources takes it.
 
-    What was drawn is a prefix of each source's ranks, so one highest rank per
-    source says it all and texts are not shuffled.
+    What was drawn is a prefix of each source's ranks, so the last rank drawn
+    of each source, ties included, says it all and texts are not shuffled. Of
+    rows equal to the last rank in id and text, as many stay as were drawn,
+    first in order of a hash of the whole row; only these rows are shuffled,
+    and only where there are any to tell apart.
     """
     rows, targets = draw(slim_rows(docs, id_col, text_col, source_col), weights, cap, seed)
-    last = rows.where("_drawn").groupBy("_nth").agg(F.max("_z").alias("_last"))
-    limits = cut(targets.join(last, "_nth", "left"))  # one row per source
+    key = F.struct(*TIE)
+    last = rows.where("_drawn").groupBy("_nth").agg(F.max(key).alias("_last"))
+    ends = rows.join(last, "_nth").where(key.eqNullSafe(F.col("_last"))).groupBy("_nth").agg(F.count_if("_drawn").alias("_take"), F.count("*").alias("_tied"))
+    limits = cut(targets.join(last, "_nth", "left").join(ends, "_nth", "left"))  # one row per source
+    parted = bool(limits.where("_take < _tied").take(1))
     if limits.count() <= BROADCAST_SOURCES:
         limits = F.broadcast(limits)
     whole = wrapped(docs, doc_id=id_col, source=source_col, _text=text_col).withColumn("source", F.col("source").cast("string"))
-    words = F.regexp_count(F.coalesce(F.col("_text").cast("string"), F.lit("")), F.lit(WORD))
-    whole = whole.withColumn("size", words.cast("long")).drop("_text")
-    drawn = (F.col("size") > 0) & F.coalesce(F.col("_z") <= F.col("_last"), F.lit(False))
-    copies = (F.col("_whole") + drawn.cast("int")).cast("int")
-    return ranked(whole, limits, seed).select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")
+    text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
+    whole = whole.withColumns({"size": F.regexp_count(text, F.lit(WORD)).cast("long"), "text_md5": F.md5(text.cast("binary"))}).drop("_text")
+    placed = ranked(whole, limits, seed)
+    at_end = (F.col("_take") < F.col("_tied")) & key.eqNullSafe(F.col("_last"))
+    drawn = (F.col("size") > 0) & F.coalesce(key <= F.col("_last"), F.lit(False))
+
+    def repeated(rows: DataFrame, drawn: Column) -> DataFrame:
+        copies = (F.col("_whole") + drawn.cast("int")).cast("int")
+        return rows.select("_row", F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).select("_row.*")
+
+    if not parted:
+        return repeated(placed, drawn)
+    fields = [F.col("_row")[c] for c, kind in docs.dtypes if "map<" not in kind]
+    nth = F.row_number().over(Window.partitionBy("_nth").orderBy(F.xxhash64(*fields)))
+    ties = placed.where(F.coalesce(at_end, F.lit(False))).withColumn("_place", nth)
+    return repeated(placed.where(~F.coalesce(at_end, F.lit(False))), drawn).unionByName(repeated(ties, F.col("_place") <= F.col("_take")))

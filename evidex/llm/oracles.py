@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidex.llm.rules import BANDS, GRID
+from evidex.llm.rules import BANDS, LEVELS, N_LEVELS
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -12,26 +12,24 @@ _CRC = """v_t AS (SELECT list_transform(range(16), lambda i: list_reduce(range(4
   v_b AS (SELECT doc_id, size, t, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1 : 2 * i])::BIGINT) AS bytes FROM v_h),
   v_s AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(bytes, lambda c, b: xor(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) >> 4, t[(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) & 15) + 1]), 4294967295)) AS text_crc32 FROM v_b)"""
 
-SHARDS = f"""WITH {_CRC}, v_p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM v_s),
+SHARDS = f"""WITH {_CRC}, v_p AS (SELECT *, sum(size) OVER (ORDER BY text_crc32, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM v_s),
   v_c AS (SELECT *, least(39, ((2 * start + size) * 40) // (2 * total))::INT AS shard FROM v_p)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM v_c"""
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY text_crc32, size, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM v_c"""
 
-MIX = f"""WITH v_d AS (SELECT doc_id, source, len({WORDS}) AS size FROM documents),
+MIX = f"""WITH v_d AS (SELECT doc_id, source, len({WORDS}) AS size, md5(coalesce(text, '')) AS text_md5 FROM documents),
   v_z AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM v_d GROUP BY source),
   v_w AS (SELECT *, [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE][(nth - 1) % 3 + 1] AS w, 3.0::DOUBLE * source_size AS cap, sum(source_size) OVER () AS total FROM v_z),
   v_l AS (SELECT *, row_number() OVER f AS fill, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v_w WINDOW f AS (ORDER BY cap / w, nth)),
   v_g AS (SELECT *, least(cap, coalesce(w * (SELECT level FROM v_l WHERE cap > w * level ORDER BY fill LIMIT 1), cap)) AS target FROM v_l),
   v_h AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM v_g),
   v_i AS (SELECT *, target - whole * source_size AS wanted, greatest(source_size, 1) / n AS mean FROM v_h),
-  v_u AS (SELECT d.doc_id, d.size, i.*, (('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, ''))[1:11])::BIGINT + 0.5::DOUBLE) / 17592186044416.0::DOUBLE AS u FROM v_d d JOIN v_i i ON d.source IS NOT DISTINCT FROM i.source),
+  v_u AS (SELECT d.doc_id, d.size, d.text_md5, i.*, (('0x' || md5('mix:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.text_md5)[1:11])::BIGINT + 0.5::DOUBLE) / 17592186044416.0::DOUBLE AS u FROM v_d d JOIN v_i i ON d.source IS NOT DISTINCT FROM i.source),
   v_o AS (SELECT *, least(wanted / greatest(source_size, 1), 1 - 1e-12) AS p FROM v_u),
   v_q AS (SELECT *, p / (1 - p) * sqrt(size / mean) AS odds FROM v_o),
-  v_r AS (SELECT *, sum(size) OVER (PARTITION BY nth ORDER BY CASE WHEN odds > 0 THEN u / (1 - u) / odds ELSE 1e300 END, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM v_q)
+  v_r AS (SELECT *, sum(size) OVER (PARTITION BY nth ORDER BY CASE WHEN odds > 0 THEN u / (1 - u) / odds ELSE 1e300 END, doc_id, text_md5 ROWS UNBOUNDED PRECEDING) AS upto FROM v_q)
 SELECT doc_id, size, source_size, target, (whole + CASE WHEN size > 0 AND upto - size / 2.0::DOUBLE <= wanted THEN 1 ELSE 0 END)::BIGINT * size AS taken FROM v_r"""
 
-_TESTS = (len(BANDS) + 1) * sum(map(len, GRID.values()))
-_CUTS = ", ".join(f"({s!r}, {c})" for s, cuts in GRID.items() for c in cuts)
-_LONG = " UNION ALL ".join(f"SELECT doc_id, band, base_failed, '{s}' AS statistic, {s} AS value FROM v_m" for s in GRID)
+_PASSED = ", ".join(f"len(list_filter({cuts}, lambda c: c >= {s}))" for s, cuts in LEVELS.items())
 
 RULES = f"""WITH v_d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS ws FROM documents),
   v_g AS (SELECT doc_id, i, ws[i : i + 4] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM v_d)),
@@ -43,10 +41,10 @@ RULES = f"""WITH v_d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w
   v_m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {' + '.join(f'(n_words >= {b})::INT' for b in BANDS)} AS band,
     coalesce(1000 * n_symbols // nullif(n_chars_all, 0), 0) AS symbol_permille, coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0) AS dup_line_permille,
     coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeat_word_permille, coalesce(1000 * word_chars // nullif(n_words, 0), 0) AS long_word_permille, coalesce(1000 * n_upper // nullif(word_chars, 0), 0) AS upper_permille FROM v_b),
-  v_x AS ({_LONG}), v_c AS (SELECT * FROM (VALUES {_CUTS}) c(statistic, cutoff)),
-  v_n AS (SELECT band, statistic, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS k FROM v_x JOIN v_c USING (statistic) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
-  v_ok AS (SELECT band, statistic, min(cutoff) AS cutoff FROM v_n WHERE k <= 0.01 * n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE)))) <= 0.05 / {_TESTS} GROUP BY band, statistic),
-  v_bad AS (SELECT DISTINCT doc_id FROM v_x JOIN v_ok USING (band, statistic) WHERE value > cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM v_bad) AS kept, band FROM v_m"""
+  v_p AS (SELECT *, least({_PASSED}) AS passed FROM v_m),
+  v_k AS (SELECT band, j, count(*) AS n, count(*) FILTER (WHERE passed <= j) AS k FROM v_p, (SELECT unnest(range({N_LEVELS})) AS j) WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY band, j),
+  v_t AS (SELECT band, j, k <= 0.02 * n AND list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE)))) <= 0.05 / {len(BANDS) + 1} AS ok FROM v_k),
+  v_level AS (SELECT band, coalesce(min(j) FILTER (WHERE NOT ok), {N_LEVELS}) - 1 AS level FROM v_t GROUP BY band)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed > coalesce(level, -1) AS kept, band FROM v_p LEFT JOIN v_level USING (band)"""
 
 ORACLE_SQL = {"op4_quality_rules": RULES, "op5_sharding": SHARDS, "op10_mixing": MIX}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidex.llm._shared import bounded_sample, remainder, slices
+from evidex.llm._shared import remainder, row_sample, slices
 
 WORDS = 1 << 15
 BINS = 12
@@ -156,17 +156,16 @@ def _encoded(text: pd.Series, n_chars: pd.Series) -> pd.Series:
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str, size_col: str | None) -> DataFrame:
-    size = F.col(size_col).cast("double") if size_col and size_col in docs.columns else F.lit(None).cast("double")
+    size = F.expr(f"try_cast(`{size_col}` as double)") if size_col and size_col in docs.columns else F.lit(None).cast("double")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), size.alias("_size"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", max_rows: int = 8000) -> Machine:
     """Learn from at most `max_rows` labelled documents (doc_id, quality 0/1) of the training folds, in hash order."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & (remainder("doc_id", 3) != 1))
-    chosen = bounded_sample(known, "doc_id", max_rows, "fm")
-    chosen = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_id").agg(F.max("quality").alias("_y"))
-    sample = _slim(docs, id_col, text_col, size_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # max_rows at most
-    got = sorted(sample.select("_id", "_y", _encoded("_text", "_size").alias("x")).collect())
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("_y"))
+    sample = row_sample(_slim(docs, id_col, text_col, size_col).join(known, "doc_id"), max_rows, "fm", "doc_id", "_text")
+    got = sorted(sample.select(F.xxhash64("doc_id", "_text").alias("_order"), "_y", _encoded("_text", "_size").alias("x")).collect())  # max_rows at most
     rows = []
     for r in got:
         x = np.frombuffer(r["x"], dtype=np.float32)

@@ -1,11 +1,14 @@
 """Quality rules whose cut-offs carry a risk guarantee.
 
-Each statistic of a text has a grid of candidate cut-offs. On labelled holdout
-documents of good quality the false rejections of every candidate are counted
-per stratum, and the strictest candidate is taken whose exact binomial p-value
-for "the false-rejection rate exceeds alpha" stays under delta divided by the
-number of tests made, so that all guarantees hold together with confidence
-1 - delta. A stratum with too few labels for any guarantee gets no cut-off.
+The rules are tightened together in fixed levels: each level has one cut-off
+for every statistic, none looser than those of the level before. On labelled
+holdout documents of good quality the false rejections of the whole rule set
+are counted per stratum and level. Within a stratum the levels are tested in
+order, from the loosest, with the exact binomial p-value for "the rate of false
+rejections exceeds alpha", until one fails (fixed-sequence testing, which
+needs no correction); the strata share delta equally (Bonferroni). With
+confidence 1 - delta, no stratum loses more than alpha of its good documents.
+A stratum with too few labels for any guarantee keeps the base rule alone.
 """
 
 from __future__ import annotations
@@ -15,22 +18,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidex.llm._shared import cut, slices, wrapped
 
 #: Bands of length, by words: the strata within which false rejections are limited.
-BANDS = (50, 200, 1000)
-#: Statistics (in thousandths of words or characters) and the candidate cut-offs: a text is rejected above one.
-GRID = {
-    "symbol_permille": [5, 10, 20, 30, 50, 80, 120, 200],
-    "dup_line_permille": [50, 100, 200, 300, 400, 500, 700],
-    "repeat_word_permille": [50, 100, 150, 200],
-    "long_word_permille": [8000, 10000, 12000, 16000, 24000],
-    "upper_permille": [100, 200, 300, 400, 500, 700],
+BANDS = (50, 200)
+#: Cut-offs of each statistic (in thousandths of words or characters) at the levels, loosest first: a text is rejected above one.
+LEVELS = {
+    "symbol_permille": [300, 200, 120, 80, 50, 30, 20, 10, 5],
+    "dup_line_permille": [900, 800, 700, 650, 600, 550, 500, 450, 400],
+    "repeat_word_permille": [200, 200, 200, 200, 200, 200, 200, 195, 190],
+    "long_word_permille": [24000, 20000, 16000, 14000, 12000, 11000, 10000, 9500, 9300],
+    "upper_permille": [900, 800, 700, 600, 500, 400, 300, 250, 200],
 }
+N_LEVELS = 9
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars_all", "n_upper")
 SPACES, SYMBOLS, CAPITALS = b" \t\n\x0b\x0c\r", b"#*$%&|<>", bytes(range(65, 91))
 
@@ -118,62 +122,64 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return float(min(1.0, math.exp(top) * np.exp(logs - top).sum()))
 
 
-def thresholds(holdout: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
-    """(band, statistic, cutoff) certified on measured good documents that pass the base rule.
+def level_of(k: np.ndarray, n: int, alpha: float, delta: float) -> int:
+    """The last level that fixed-sequence testing certifies, from rejections `k` at each level among n; -1 for none."""
+    for j, x in enumerate(k):
+        if x > alpha * n or binomial_tail(int(x), n, alpha) > delta:
+            return j - 1
+    return len(k) - 1
 
-    One test is made per stratum, statistic and candidate, and each spends an
-    equal part of `delta` (Bonferroni). Counting is a Spark aggregate; the
-    tests see one small row each, and the result has at most one row per band
-    and statistic.
+
+def survives() -> Column:
+    """How many levels, from the loosest, a measured text passes by all statistics."""
+    passed = []
+    for s, cuts in LEVELS.items():
+        value = F.col(f"_m.{s}")
+        passed.append(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c >= value)))  # noqa: B023
+    return F.least(*passed)
+
+
+def thresholds(holdout: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """(band, level) certified on measured good documents that pass the base rule.
+
+    Counting is a Spark aggregate; the tests see one small row a band, and so
+    does the result: the last certified level from 0, or -1.
     """
-    stats = F.array(
-        *[
-            F.struct(F.lit(s).alias("statistic"), F.col(f"_m.{s}").alias("value"), F.array(*[F.lit(c).cast("long") for c in cuts]).alias("cuts"))
-            for s, cuts in GRID.items()
-        ]
-    )
-    counted = (
-        holdout.where("not _m.base_failed")
-        .select(F.col("_m.band").alias("band"), F.explode(stats).alias("x"))
-        .select("band", "x.statistic", "x.value", F.explode("x.cuts").alias("cutoff"))
-        .groupBy("band", "statistic", "cutoff")
-        .agg(F.count("*").alias("n"), F.sum((F.col("value") > F.col("cutoff")).cast("long")).alias("k"))
+    s = survives()
+    counted = holdout.where("not _m.base_failed").groupBy(F.col("_m.band").alias("band")).agg(
+        F.count("*").alias("n"), F.array(*[F.sum((s <= j).cast("long")) for j in range(N_LEVELS)]).alias("k")
     )
-    tests = (len(BANDS) + 1) * sum(map(len, GRID.values()))
 
-    @F.pandas_udf("boolean")
-    def certified(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([a <= alpha * b and binomial_tail(int(a), int(b), alpha) <= delta / tests for a, b in zip(k, n)], dtype=bool)
+    @F.pandas_udf("int")
+    def tested(k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([level_of(a, int(b), alpha, delta / (len(BANDS) + 1)) for a, b in zip(k, n)], dtype="int32")
 
-    return counted.where(certified("k", "n")).groupBy("band", "statistic").agg(F.min("cutoff").alias("cutoff"))
+    return counted.select("band", tested("k", "n").alias("level"))
 
 
-def verdict(measured: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Add `kept`: not base_failed and above no certified cut-off of its band.
+def verdict(measured: DataFrame, certified: DataFrame) -> DataFrame:
+    """Add `kept`: not base_failed, and passing the certified level of its band.
 
-    The cut-offs are one row of arrays, as long as there are bands and
-    statistics, and so broadcast at a fixed size.
+    The levels are one row with a map of at most one entry a band, and so
+    broadcast at a fixed size.
     """
-    one = cuts.agg(*[F.map_from_entries(F.collect_list(F.when(F.col("statistic") == s, F.struct("band", "cutoff")))).alias(f"_max_{s}") for s in GRID])
-    joined = measured.join(F.broadcast(one))
-    above = F.lit(False)
-    for s in GRID:
-        above = above | F.coalesce(F.col(f"_m.{s}") > F.try_element_at(F.col(f"_max_{s}"), F.col("_m.band")), F.lit(False))
-    return joined.withColumn("kept", ~F.col("_m.base_failed") & ~above).drop(*[f"_max_{s}" for s in GRID])
+    one = certified.agg(F.map_from_entries(F.collect_list(F.struct("band", "level"))).alias("_levels"))
+    level = F.coalesce(F.try_element_at("_levels", F.col("_m.band")), F.lit(-1))
+    return measured.join(F.broadcast(one)).withColumn("kept", ~F.col("_m.base_failed") & (survives() > level)).drop("_levels")
 
 
-def certify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, delta: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(measured ids, cut-offs): every document is measured once and cut with a checkpoint without its text."""
+def certify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.02, delta: float = 0.05) -> tuple[DataFrame, DataFrame]:
+    """(measured ids, certified levels): every document is measured once and cut with a checkpoint without its text."""
     measured = cut(measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text").drop("_text"))
     good = labels.where(F.col("quality") == 1).select("doc_id").distinct()
     return measured, cut(thresholds(measured.join(good, "doc_id", "left_semi"), alpha, delta))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """Counts and verdict of every document.
 
     `labels` has doc_id and quality; its documents with quality 1 are the
-    holdout on which cut-offs are certified. Strata are bands of length in
+    holdout on which levels are certified. Strata are bands of length in
     words. Null and empty texts have zero counts and fail the base rule; null
     ids are judged but never labelled; repeated rows are judged alike; an empty
     table gives no rows and no labels give base verdicts only. Other columns

@@ -2,7 +2,9 @@
 
 Native: DataFrame operations only. Texts are read once and reduced to (id,
 size, crc), which is cut with a checkpoint, so that laying the rows out in
-range partitions by id does not read them again; per-partition totals
+range partitions does not read them again; equal texts lie side by side. A
+place in the checkpoint breaks ties, so that equal rows spread over partitions
+too, however many they are. Per-partition totals
 give each partition's global start, and a window inside the partition adds
 the local prefix, so no task ever sees all rows.
 """
@@ -18,7 +20,7 @@ from evidex.llm._shared import cut
 def with_prefix(slim: DataFrame, order: list[str], size: str) -> DataFrame:
     """Add `start` (bytes before the row), `row` (rows before it) and `total` (all bytes) in the order given.
 
-    Nulls sort first; equal rows keep an arbitrary order among themselves.
+    Nulls sort first; the last column of `order` tells equal rows apart.
     """
     laid = cut(slim.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     totals = laid.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
@@ -43,7 +45,10 @@ def with_prefix(slim: DataFrame, order: list[str], size: str) -> DataFrame:
 def shard_by_bytes(
     docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16
 ) -> DataFrame:
-    """Cut the documents, in id order, into `shards` contiguous runs of near-equal bytes.
+    """Cut the documents, in order of text hash, size and id, into `shards` contiguous runs of near-equal bytes.
+
+    Equal texts are neighbours in this order, so a group of them lies in one
+    shard, or in neighbouring ones where a cut falls inside the group.
 
     A document's size is its UTF-8 length (null: none) plus `overhead`; it goes
     to the shard that holds the middle of its bytes, so a shard misses its
@@ -58,7 +63,7 @@ def shard_by_bytes(
         (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    placed = with_prefix(cut(slim), ["doc_id", "text_crc32", "size"], "size").withColumn(
+    placed = with_prefix(cut(slim).withColumn("_place", F.monotonically_increasing_id()), ["text_crc32", "size", "doc_id", "_place"], "size").withColumn(
         "shard",
         F.least(
             F.lit(shards - 1),

@@ -1,10 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives, any other text is unlabelled. A
-logistic model over word and word-stem features minimises the risk corrected
-by the class prior; where the unlabelled part of the risk would fall below
-zero, its gradient is reversed instead of followed. Learning uses bounded
-samples; every document is scored whole.
+Confirmed toxic documents are the positives; the unlabelled text is drawn from
+all documents, positives included, as the risk estimator supposes. A logistic
+model over hashed words and word stems minimises the risk corrected by the
+class prior; where its unlabelled part would fall below zero, the gradient of
+that part is reversed. An l1 penalty in the size of the sample's noise lets the
+risk choose the features; a second fit with the same risk on these alone takes
+the penalty's shrinkage off. Learning uses bounded samples; every document is
+scored whole.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidex.llm._shared import bounded_sample, remainder
+from evidex.llm._shared import remainder, row_sample, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Hashed features.
+WIDTH = 1 << 20
 #: Words remembered with their weight by a worker.
 CACHE = 1_000_000
 
@@ -30,13 +35,13 @@ CACHE = 1_000_000
 def word_features(word: str) -> tuple[int, ...]:
     """Hashes of the word and of its first four and five letters."""
     raw = [f"w:{word}"] + [f"{k}:{word[:k]}" for k in (4, 5) if len(word) >= k]
-    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in raw)
+    return tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % WIDTH for x in raw)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Features of the distinct words of a whole text, repeats of a stem included."""
+    """Distinct features of a whole text, sorted: WIDTH at most."""
     words = set(LETTERS.findall(text.lower())) if text else ()
-    return np.array([h for w in words for h in word_features(w)], dtype=np.uint32)
+    return np.unique(np.array([h for w in words for h in word_features(w)], dtype=np.uint32))
 
 
 @dataclass
@@ -65,72 +70,71 @@ class PuModel:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def train_nnpu(
-    positive: list[np.ndarray],
-    unlabelled: list[np.ndarray],
-    prior: float,
-    min_docs: int = 5,
-    min_ratio: float = 4.0,
-    min_excess: float = 5.0,
-    steps: int = 400,
-    rate: float = 0.05,
-    decay: float = 1e-4,
-    gamma: float = 1.0,
-) -> PuModel:
-    """Fit the model by full-batch Adam on the non-negative risk.
+def pu_risk(z: np.ndarray, is_pos: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """(risk of positives, risk left for negatives, gradient to follow) of logits z.
 
-    Features are those in at least `min_docs` positives, `min_ratio` times as
-    frequent there as in unlabelled text, and `min_excess` Poisson standard
-    deviations above what that text makes expected. Without positives,
-    unlabelled text or features the model gives the prior everywhere.
+    With the logistic loss, prior * mean over positives of l(z) plus the rest:
+    mean over unlabelled of l(-z) less prior * mean over positives of l(-z). A
+    rest below zero is overfitting: its gradient is then reversed and nothing
+    else is followed.
+    """
+    n_pos, n_unl = int(is_pos.sum()), int((~is_pos).sum())
+    p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+    neg = np.logaddexp(0.0, z)
+    kept = prior * float(np.logaddexp(0.0, -z[is_pos]).mean())
+    rest = float(neg[~is_pos].mean() - prior * neg[is_pos].mean())
+    rest_grad = np.where(is_pos, -prior * p / n_pos, p / n_unl)
+    if rest < 0:
+        return kept, rest, -rest_grad
+    return kept, rest, rest_grad + np.where(is_pos, prior * (p - 1.0) / n_pos, 0.0)
+
+
+def descend(col: np.ndarray, row: np.ndarray, size: int, is_pos: np.ndarray, prior: float, l1: float, l2: float, steps: int, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """Weights and bias by proximal full-batch Adagrad on the risk with l1 and l2 penalties on the weights."""
+    w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
+    sq, sq_b = np.full(size, 1e-8), 1e-8
+    for _ in range(steps):
+        z = np.bincount(row, weights=w[col], minlength=len(is_pos)) + b
+        _, _, g = pu_risk(z, is_pos, prior)
+        grad = np.bincount(col, weights=g[row], minlength=size) + l2 * w
+        sq += grad**2
+        sq_b += g.sum() ** 2
+        step = rate / np.sqrt(sq)
+        w -= step * grad
+        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0.0)
+        b -= rate * g.sum() / np.sqrt(sq_b)
+    return w, b
+
+
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, min_docs: int = 5, noise: float = 0.3, decay: float = 1e-3, steps: int = 120) -> PuModel:
+    """Fit the model on the features of positive and unlabelled documents.
+
+    Features in fewer than `min_docs` documents of the sample are left out. The
+    l1 penalty is prior * sqrt(noise / positives), the size of a gradient that
+    chance alone gives; the second fit is over the features that pull towards
+    toxic, with a small l2 penalty. Without positives, unlabelled text or such
+    features the model gives the prior everywhere.
     """
     prior = min(max(prior, 1e-3), 0.999)
     empty = PuModel({}, float(np.log(prior / (1 - prior))))
     if not positive or not unlabelled:
         return empty
-    seen = [np.unique(np.concatenate([np.unique(x) for x in part] or [np.zeros(0, np.uint32)]), return_counts=True) for part in (positive, unlabelled)]
-    (ids, n_pos), (other, n_other) = seen
-    rate_other = np.zeros(len(ids))
-    at = np.clip(np.searchsorted(other, ids), 0, max(len(other) - 1, 0))
-    if len(other):
-        rate_other = np.where(other[at] == ids, n_other[at], 0)
-    ratio = (n_pos + 0.5) / (len(positive) + 1) / ((rate_other + 0.5) / (len(unlabelled) + 1))
-    expected = len(positive) * (rate_other + 0.5) / (len(unlabelled) + 1)
-    excess = (n_pos - expected) / np.sqrt(expected + 0.5)
-    vocab = ids[(n_pos >= min_docs) & (ratio >= min_ratio) & (excess >= min_excess)]
-    if not len(vocab):
-        return empty
-
     rows = positive + unlabelled
-    cols, owner = [], []
-    for r, x in enumerate(rows):
-        j = np.clip(np.searchsorted(vocab, x), 0, len(vocab) - 1)
-        j = j[vocab[j] == x]
-        cols.append(j)
-        owner.append(np.full(len(j), r))
-    col, row = np.concatenate(cols), np.concatenate(owner)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    vocab, col, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     is_pos = np.arange(len(rows)) < len(positive)
-    n_p, n_u = len(positive), len(unlabelled)
-    w, b = np.zeros(len(vocab) + 1), empty.bias
-    w[-1] = b
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1):
-        z = np.bincount(row, weights=w[col], minlength=len(rows)) + w[-1]
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-        loss_neg = np.logaddexp(0.0, z)
-        rest = loss_neg[~is_pos].mean() - prior * loss_neg[is_pos].mean()
-        # logistic loss: d loss(+)/dz = p - 1, d loss(-)/dz = p
-        rest_grad = np.where(is_pos, -prior * p / n_p, p / n_u)
-        if rest >= 0:
-            g = rest_grad + np.where(is_pos, prior * (p - 1.0) / n_p, 0.0)
-        else:
-            g = -gamma * rest_grad
-        grad = np.append(np.bincount(col, weights=g[row], minlength=len(vocab)), g.sum())
-        grad[:-1] += decay * w[:-1]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    keep = np.abs(w[:-1]) > 1e-6
-    return PuModel(dict(zip(vocab[keep].tolist(), w[:-1][keep].tolist())), float(w[-1]))
+
+    def only(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = kept[col]
+        return vocab[kept], (np.cumsum(kept) - 1)[col[at]], row[at]
+
+    vocab, col, row = only(n >= min_docs)
+    w, _ = descend(col, row, len(vocab), is_pos, prior, prior * float(np.sqrt(noise / len(positive))), 0.0, steps)
+    if not (w > 0).any():
+        return empty
+    vocab, col, row = only(w > 0)
+    w, b = descend(col, row, len(vocab), is_pos, prior, 0.0, decay, 2 * steps)
+    return PuModel(dict(zip(vocab.tolist(), w.tolist())), b)
 
 
 @F.pandas_udf(T.BinaryType())
@@ -144,29 +148,32 @@ def fit(
     labels: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_positive: int = 4000,
-    max_unlabelled: int = 8000,
+    max_positive: int = 2000,
+    max_unlabelled: int = 6000,
+    max_values: int = 8_000_000,
+    prior: float | None = None,
 ) -> PuModel:
     """Learn from `labels` (doc_id, toxic 0/1) and `docs`.
 
-    At most `max_positive` labelled toxic documents and `max_unlabelled` other
-    documents of the training folds are used, in hash order of their ids; the
-    class prior is the share of toxic among all labels of those folds.
+    At most `max_positive` labelled toxic documents and `max_unlabelled`
+    documents of the training folds are used, in hash order, and of these only
+    as many as have `max_values` features together, which bounds what the
+    driver holds. `prior`, where not given, is the share of toxic among the
+    labels of those folds: an estimate that takes the labelled documents for a
+    random draw.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text")).where(remainder("doc_id", 3) != 1)
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1))
-    prior = known.agg(F.avg("toxic")).first()[0]
-    if prior is None:
-        return train_nnpu([], [], 0.1)
-    positive = bounded_sample(known.where("toxic = 1"), "doc_id", max_positive, "pu-p").withColumn("_kind", F.lit(1))
-    unlabelled = bounded_sample(slim.where(remainder("doc_id", 3) != 1), "doc_id", max_unlabelled, "pu-u").withColumn("_kind", F.lit(0))
-    chosen = positive.unionByName(unlabelled).groupBy("_id").agg(F.max("_kind").alias("_kind"))
-    sample = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))  # as many rows as the two limits allow
-    got = sample.select("_kind", _features("_text").alias("x")).collect()
-    parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for r in sorted(got):
-        parts[r["_kind"]].append(np.frombuffer(r["x"], dtype=np.uint32))
-    return train_nnpu(parts[1], parts[0], float(prior))
+    share = known.agg(F.avg("toxic")).first()[0]
+    if share is None:
+        return train_nnpu([], [], prior or 0.1)
+    toxic = slim.join(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    parts = [row_sample(x, n, s, "doc_id", "_text").withColumn("_kind", F.lit(i)) for i, (x, n, s) in enumerate(((toxic, max_positive, "pu-p"), (slim, max_unlabelled, "pu-u")))]
+    sample = written(parts[0].unionByName(parts[1]).select("_kind", F.xxhash64("doc_id", "_text").alias("_order"), _features("_text").alias("x")))
+    upto = F.sum(F.length("x") / 4).over(Window.partitionBy("_kind").orderBy("_order", "x"))  # bounded sample
+    got = sample.withColumn("_upto", upto).where(F.col("_upto") <= max_values / 2).orderBy("_kind", "_order", "x").collect()
+    found = [[np.frombuffer(r["x"], dtype=np.uint32) for r in got if r["_kind"] == k] for k in (0, 1)]
+    return train_nnpu(found[0], found[1], float(share if prior is None else prior))
 
 
 def score(docs: DataFrame, model: PuModel, text_col: str = "text", out: str = "score") -> DataFrame:

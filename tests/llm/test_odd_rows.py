@@ -91,3 +91,22 @@ def test_null_and_repeated_ids_lose_no_text(spark):
     rows = [(None, a, 1), (None, b, 1), (None, b, 2), (None, c, 1), (1, c, 1), (2, d, 1), (2, e, 1), (2, e, 2), (1, e, 1)]
     got = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, part int")).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("None", a), ("None", b), ("1", c), ("2", d), ("1", e)])
+
+
+def test_mixing_takes_exactly_what_was_drawn_on_ties(spark):
+    rows = [(None, "a b c " * 5, "s", i) for i in range(30)] + [(1, "x y z w", "s", 2), (2, "q r", "s", 1), (3, "lone word here", "t", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, k int")
+    for weights in ((1, 2, 3), (3, 1), (1, 9)):
+        want = {}
+        for r in mixing.mix_sources(docs, weights=weights).collect():
+            want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+        got = {}
+        for r in mixing.mixed_rows(docs, weights=weights).collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        assert got == {i: n for i, n in want.items() if n}
+
+
+def test_recorded_length_may_be_any_text(spark):
+    docs = spark.createDataFrame([(1, "some words", "12"), (2, "more words", "twelve"), (3, None, None)], "doc_id bigint, text string, n_chars string")
+    labels = spark.createDataFrame(LABELS, "doc_id bigint, quality int, toxic int")
+    assert quality.quality(docs, labels).count() == 3
