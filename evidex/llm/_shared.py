@@ -49,15 +49,21 @@ def slices(texts: list, budget: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-def row_sample(rows: DataFrame, limit: int, seed: str, *by: str) -> DataFrame:
+def row_sample(rows: DataFrame, limit: int, seed: str, *by: str, among: DataFrame | None = None) -> DataFrame:
     """At most `limit` rows in order of a hash of the columns `by`, the same on each run; rows equal in them count once.
 
-    Only hashes are sorted; the rows follow by comparing with the last hash.
+    With `among` (first column of `by`, and what else it has) only rows that it
+    names count, and its other columns are added. Hashes alone are sorted and
+    joined with `among`; `limit` of them then find their rows, so texts are
+    shuffled only for the sample.
     """
-    keyed = rows.withColumn("_key", F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in by]))
-    last = keyed.select("_key").distinct().orderBy("_key").limit(limit).agg(F.max("_key")).first()[0]
-    found = keyed.where(F.col("_key") <= F.lit(last).cast("long"))
-    return found.groupBy("_key").agg(*[F.first(c).alias(c) for c in rows.columns]).drop("_key")
+    key = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in by])
+    narrow = rows.select(key.alias("_key"), F.col(by[0]))
+    narrow = narrow.select("_key") if among is None else narrow.join(among, by[0]).drop(by[0])
+    more = [F.max(c).alias(c) for c in narrow.columns[1:]]
+    chosen = (narrow.groupBy("_key").agg(*more) if more else narrow.distinct()).orderBy("_key").limit(limit)
+    found = rows.withColumn("_key", key).join(F.broadcast(chosen), "_key")  # `limit` hashes
+    return found.groupBy("_key").agg(*[F.first(c).alias(c) for c in found.columns if c != "_key"]).drop("_key")
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidex.llm._shared import remainder, slices, wrapped
+from evidex.llm._shared import cut, remainder, slices, wrapped
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -137,6 +137,10 @@ def train(windows: np.ndarray, target: np.ndarray, classes: list[str], e: int =
     return net
 
 
+#: Rows of the training sample that are broadcast, as hashes.
+SMALL_SAMPLE = 200_000
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 300, windows_per_doc: int = 4) -> ByteNet:
     """Learn from text and non-null language of the training folds.
 
@@ -148,7 +152,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     slim = slim.withColumn("_key", F.xxhash64(F.lit("cnn"), F.col("doc_id").cast("string"), "_text"))
     order = Window.partitionBy("_lang").orderBy("_key")
     chosen = slim.select("_lang", "_key").distinct().withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= per_class)
-    sample = slim.join(chosen.select("_lang", "_key"), ["_lang", "_key"]).groupBy("_lang", "_key").agg(F.first("_text").alias("_text"))
+    chosen = cut(chosen.select("_lang", "_key"))
+    if chosen.count() <= SMALL_SAMPLE:
+        chosen = F.broadcast(chosen)
+    sample = slim.join(chosen, ["_lang", "_key"]).groupBy("_lang", "_key").agg(F.first("_text").alias("_text"))
 
     @F.pandas_udf("binary")
     def some(texts: pd.Series) -> pd.Series:

@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from at most `max_rows` labelled documents (doc_id, quality 0/1) of the training folds, in hash order."""
     known = labels.select("doc_id", "quality").where(F.col("quality").isNotNull() & (remainder("doc_id", 3) != 1))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("_y"))
-    sample = row_sample(_slim(docs, id_col, text_col, size_col).join(known, "doc_id"), max_rows, "fm", "doc_id", "_text")
+    sample = row_sample(_slim(docs, id_col, text_col, size_col), max_rows, "fm", "doc_id", "_text", among=known)
     got = sorted(sample.select(F.xxhash64("doc_id", "_text").alias("_order"), "_y", _encoded("_text", "_size").alias("x")).collect())  # max_rows at most
     rows = []
     for r in got:

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,12 +167,19 @@ def fit(
     share = known.agg(F.avg("toxic")).first()[0]
     if share is None:
         return train_nnpu([], [], prior or 0.1)
-    toxic = slim.join(known.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
-    parts = [row_sample(x, n, s, "doc_id", "_text").withColumn("_kind", F.lit(i)) for i, (x, n, s) in enumerate(((toxic, max_positive, "pu-p"), (slim, max_unlabelled, "pu-u")))]
+    toxic = known.where("toxic = 1").select("doc_id").distinct()
+    parts = [row_sample(slim, n, s, "doc_id", "_text", among=a).withColumn("_kind", F.lit(i)) for i, (n, s, a) in enumerate(((max_positive, "pu-p", toxic), (max_unlabelled, "pu-u", None)))]
     sample = written(parts[0].unionByName(parts[1]).select("_kind", F.xxhash64("doc_id", "_text").alias("_order"), _features("_text").alias("x")))
-    upto = F.sum(F.length("x") / 4).over(Window.partitionBy("_kind").orderBy("_order", "x"))  # bounded sample
-    got = sample.withColumn("_upto", upto).where(F.col("_upto") <= max_values / 2).orderBy("_kind", "_order", "x").collect()
-    found = [[np.frombuffer(r["x"], dtype=np.uint32) for r in got if r["_kind"] == k] for k in (0, 1)]
+    last, upto = {}, {}
+    for kind, order, n in sorted(tuple(r) for r in sample.select("_kind", "_order", (F.length("x") / 4).cast("long")).collect()):  # the sample's sizes
+        upto[kind] = upto.get(kind, 0) + n
+        if upto[kind] <= max_values // 2:
+            last[kind] = order
+    inside = F.lit(False)
+    for kind, order in last.items():
+        inside = inside | ((F.col("_kind") == kind) & (F.col("_order") <= order))
+    got = sorted(tuple(r) for r in sample.where(inside).select("_kind", "_order", "x").collect())  # max_values features
+    found = [[np.frombuffer(x, dtype=np.uint32) for kind, _, x in got if kind == k] for k in (0, 1)]
     return train_nnpu(found[0], found[1], float(share if prior is None else prior))
 
 
