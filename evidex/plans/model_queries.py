@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
 from evidex.operators import models as M
 from evidex.plans.registry import query
 from evidex.sources import views as V
-from evidex.sources.tables import table
+from evidex.sources.tables import checkpoint_folder, table
 
 FEATURES = ["n_chars", "n_tokens", "distinct_ratio", "digit_ratio", "is_en"]
 GRID = [round(0.01 + 0.005 * i, 4) for i in range(197)]
@@ -143,7 +142,7 @@ def model_io(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     data = M.assembled(V.ml_rows(spark, sf), FEATURES)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="model-")
+    base = checkpoint_folder(spark)
     path = f"{base}/model-{uuid.uuid4().hex}"
     LogisticRegression(maxIter=20).fit(data).write().save(path)
     return LogisticRegressionModel.load(path).transform(data).select("doc_id", vector_to_array("probability")[1].alias("p"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from evidex.functions import risk as K
 from evidex.plans.registry import query
 from evidex.plans.risk_queries import RISK
 from evidex.sources import views as V
+from evidex.sources.tables import checkpoint_folder
 from evidex.streaming import jobs
 
 
@@ -24,7 +24,7 @@ def stream_of(spark, sf):
 
 
 def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = checkpoint_folder(spark)
     return f"{base}/stream-{uuid.uuid4().hex}"
 
 

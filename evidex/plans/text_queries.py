@@ -8,7 +8,7 @@ from evidex.functions import text as T
 from evidex.plans.registry import query, sql_list
 from evidex.sources import corpus
 from evidex.sources import views as V
-from evidex.sources.tables import table
+from evidex.sources.tables import checkpoint_folder, table
 
 
 @query("chunk_scan", "SELECT chunk_id, source, coalesce(nullif(trim(subsection), ''), nullif(trim(chunk_type), ''), '') AS section, coalesce(CASE WHEN chunk_index = 0 THEN page END, -1) AS page FROM v_chunks")
@@ -42,9 +42,8 @@ def vector_parse(spark, sf):
 
 @query("ingest_documents")
 def ingest_documents(spark, sf):
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ingest-")
+    
+    base = checkpoint_folder(spark)
     _, chunks = corpus.ingest(table(spark, sf, "documents").select("doc_id", "text", "source"), f"{base}/ingest-{spark.sparkContext.applicationId}")
     return chunks.select("document_id", "chunk_index", "section", "content_id", "source")
 
