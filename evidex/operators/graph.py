@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import has_any, words_at_least
+from evidex.operators.fusion import tier_of_text, tier_score
 
 #: Edge types that a graph may hold; fixed values.
 EDGE_TYPES = ("RECOMMENDS", "TREATS", "HAS_RISK_FACTOR", "HAS_SYMPTOM", "REQUIRES", "STOP_IF", "MONITOR_WITH", "CONTRAINDICATED_IN", "HAS_DOSE", "SUPPORTED_BY", "ACTIVE_AGAINST", "PRESCRIBES")
@@ -78,6 +79,19 @@ def unique_section_ids(sections: DataFrame) -> DataFrame:
     return sections.withColumn("_new", F.concat("section_id", suffix)).withColumnRenamed("section_id", "old_id").withColumnRenamed("_new", "section_id")
 
 
+def remap_targets(edges: DataFrame, sections: DataFrame, types: DataFrame, relationship: str = "SUPPORTED_BY") -> DataFrame:
+    """Edges of one relationship lead to the renamed section of their origin's type; others, and those without such a section, stay.
+
+    sections (old_id, section_type, section_id) as `unique_section_ids` gives
+    them for one guideline; types (id, section_type), one row an origin.
+    """
+    t = types.select(F.col("id").alias("from_id"), F.col("section_type").alias("_type"))
+    s = sections.select(F.col("old_id").alias("to_id"), F.col("section_type").alias("_type"), F.col("section_id").alias("_new")).distinct()
+    mine = F.col("relationship") == relationship
+    moved = edges.where(mine).join(t, "from_id", "left").join(s, ["to_id", "_type"], "left").select("from_id", "relationship", F.coalesce("_new", "to_id").alias("to_id"))
+    return edges.where(~F.coalesce(mine, F.lit(False))).select("from_id", "relationship", "to_id").unionByName(moved)
+
+
 def repair_edges(edges: DataFrame, doses: DataFrame, roots: DataFrame) -> DataFrame:
     """RECOMMENDS edges that lead to a dose become PRESCRIBES; missing root edges (from_id, to_id) are added."""
     d = doses.select(F.col("id").alias("to_id"), F.lit(True).alias("_dose"))
@@ -135,21 +149,55 @@ def calibrate(recs: DataFrame, chunks: DataFrame, reach: int = 15, least: int =
     return by.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Queries of a block that is held against all recommendations.
+BLOCK = 1_024
+
+
+def candidates(queries: DataFrame, recs: DataFrame, baseline_kinds: tuple[str, ...]) -> DataFrame:
+    """(qid, rec_id, section_type, baseline, score) of the recommendations that match a query or are baseline.
+
+    100 points where both name an entity, 10 where the query points to the
+    section's kind, 5 for a baseline section without either, one for each
+    shared word of four letters, and 20 for the same severity tier (-20 for the
+    other). queries (qid, text) are held in blocks of about `BLOCK` against all
+    recs (rec_id, section_type, text_summary); null texts have no words and no names.
+    """
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    text, summary = empty("text"), empty("text_summary")
+    q = queries.select("qid", words_at_least("text", 4, True).alias("qw"), named(text, SURFACE).alias("qe"), named(text, SECTION_WORDS).alias("qs"), tier_of_text(text).alias("qt"))
+    r = recs.select("rec_id", "section_type", words_at_least("text_summary", 4, True).alias("rw"), named(summary, SURFACE).alias("re"), tier_of_text(summary).alias("rt"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    entity, section = F.arrays_overlap("qe", "re"), F.coalesce(F.array_contains("qs", F.col("section_type")), F.lit(False))
+    baseline = F.coalesce(F.col("section_type").isin(*baseline_kinds), F.lit(False))
+    points = 100 * entity.cast("int") + 10 * section.cast("int") + F.when(baseline & ~entity & ~section, 5).otherwise(0)
+    score = points + F.size(F.array_intersect("qw", "rw")) + 20 * tier_score(F.col("qt"), F.col("rt"))
+    out = None
+    for b in range(blocks):
+        part = r.join(F.broadcast(q.where(block == b)), entity | section | baseline)
+        part = part.select("qid", "rec_id", "section_type", baseline.alias("baseline"), score.cast("double").alias("score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def page_window(recs: DataFrame, chunks: DataFrame, reach: int = 5) -> DataFrame:
-    """Chunks within `reach` pages of each recommendation (its page already shifted), ranked by three times the words shared with its summary.
+    """Chunks within `reach` pages of each recommendation (its page already shifted), best first.
 
-    Pages fall into buckets as wide as the window, so the range join is an
-    equi-join on three neighbouring buckets.
+    A chunk has three points for each word that it shares with the
+    recommendation's summary and one for each that it shares with the query.
+    recs (qid, rec_id, guideline_id, page, text_summary, text), one row for each
+    query and recommendation. Pages fall into buckets as wide as the window, so
+    the range join is an equi-join on three neighbouring buckets.
     """
     width = 2 * reach + 1
     bucket = lambda c: F.floor(F.col(c) / width)
-    r = recs.select("rec_id", F.col("guideline_id").alias("source"), F.col("page").alias("rec_page"), words_at_least("text_summary", 4, True).alias("hint"))
+    r = recs.select("qid", "rec_id", F.col("guideline_id").alias("source"), F.col("page").alias("rec_page"), words_at_least("text_summary", 4, True).alias("hint"), words_at_least("text", 4, True).alias("asked"))
     r = r.withColumn("bucket", F.explode(F.sequence(bucket("rec_page") - 1, bucket("rec_page") + 1)))
     c = chunks.select("chunk_id", "source", "page", words_at_least("chunk_text", 4, True).alias("words")).withColumn("bucket", bucket("page"))
     near = r.join(c, ["source", "bucket"]).where(F.abs(F.col("page") - F.col("rec_page")) <= reach)
-    scored = near.withColumn("score", 3 * F.size(F.array_intersect("hint", "words")))
-    w = Window.partitionBy("rec_id").orderBy(F.col("score").desc(), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).select("rec_id", "chunk_id", "score", "rank")
+    scored = near.withColumn("score", 3 * F.size(F.array_intersect("hint", "words")) + F.size(F.array_intersect("asked", "words")))
+    w = Window.partitionBy("qid", "rec_id").orderBy(F.col("score").desc(), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(w)).select("qid", "rec_id", "chunk_id", "score", "rank")
 
 
 def route(guideline: Column, age_weeks: Column, limit: float = 35.0) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import has_any
 from evidex.operators import graph as G
+from evidex.operators.retrieval import top_k
 from evidex.plans import retrieval_queries as RQ
 from evidex.plans.registry import query, sql_list
 from evidex.sources import views as V
@@ -16,15 +16,26 @@ from evidex.sources.tables import table
 @query(
     "edge_repair",
     """WITH v_b AS (SELECT from_id, CASE WHEN relationship = 'HAS_DOSE' AND from_id LIKE '%1' THEN 'RECOMMENDS' ELSE relationship END AS relationship, to_id FROM v_edges WHERE NOT (relationship = 'RECOMMENDS' AND to_id LIKE '%3')),
-      v_f AS (SELECT from_id, CASE WHEN relationship = 'RECOMMENDS' AND to_id LIKE 'part:%' THEN 'PRESCRIBES' ELSE relationship END AS relationship, to_id FROM v_b)
-      SELECT relationship, count(*) AS n FROM (SELECT * FROM v_f UNION ALL SELECT from_id, relationship, to_id FROM v_edges WHERE relationship = 'RECOMMENDS' AND to_id LIKE '%3') GROUP BY relationship""",
+      v_f AS (SELECT from_id, CASE WHEN relationship = 'RECOMMENDS' AND to_id LIKE 'part:%' THEN 'PRESCRIBES' ELSE relationship END AS relationship, to_id FROM v_b),
+      v_rep AS (SELECT * FROM v_f UNION ALL SELECT from_id, relationship, to_id FROM v_edges WHERE relationship = 'RECOMMENDS' AND to_id LIKE '%3'),
+      v_sec AS (SELECT *, section_id || CASE row_number() OVER (PARTITION BY section_id ORDER BY section_type) WHEN 1 THEN '' WHEN 2 THEN '_b' ELSE '_c' END AS new_id
+        FROM (SELECT DISTINCT 'nation:' || s_nationkey AS section_id, 'kind' || s_suppkey % 3 AS section_type FROM supplier)),
+      v_ty AS (SELECT 'supplier:' || s_suppkey AS id, 'kind' || s_suppkey % 3 AS section_type FROM supplier)
+      SELECT relationship, CASE WHEN relationship = 'SUPPORTED_BY' THEN coalesce(new_id, to_id) END AS section, count(*) AS n
+      FROM v_rep LEFT JOIN v_ty ON v_ty.id = v_rep.from_id LEFT JOIN v_sec ON relationship = 'SUPPORTED_BY' AND v_sec.section_id = v_rep.to_id AND v_sec.section_type = v_ty.section_type GROUP BY ALL""",
 )
 def edge_repair(spark, sf):
+    """Edges per relationship after the repair; nations stand for sections that occur once for each kind of supplier."""
+    name = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
     e = V.edges(spark, sf)
     roots = e.where("relationship = 'RECOMMENDS'").select("from_id", "to_id")
     broken = e.where("not (relationship = 'RECOMMENDS' and to_id like '%3')").withColumn("relationship", F.expr("case when relationship = 'HAS_DOSE' and from_id like '%1' then 'RECOMMENDS' else relationship end"))
-    doses = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
-    return G.repair_edges(broken, doses, roots).groupBy("relationship").agg(F.count("*").alias("n"))
+    doses = table(spark, sf, "part").select(name("part:", "p_partkey").alias("id"))
+    kinds = table(spark, sf, "supplier").select(name("supplier:", "s_suppkey").alias("id"), name("nation:", "s_nationkey").alias("section_id"), F.concat(F.lit("kind"), (F.col("s_suppkey") % 3).cast("string")).alias("section_type"))
+    sections = G.unique_section_ids(kinds.select(F.lit("all").alias("guideline"), "section_id", "section_type").distinct())
+    fixed = G.remap_targets(G.repair_edges(broken, doses, roots), sections, kinds.select("id", "section_type"))
+    section = F.when(F.col("relationship") == "SUPPORTED_BY", F.col("to_id"))
+    return fixed.groupBy("relationship", section.alias("section")).agg(F.count("*").alias("n"))
 
 
 @query("derive_edges", "SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'HAS_DOSE' AS relationship, 'part:' || l_partkey AS to_id FROM lineitem WHERE l_linenumber <= 2 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_linenumber = 1 AND x.l_orderkey = lineitem.l_orderkey AND x.l_partkey = lineitem.l_partkey)")
@@ -82,41 +93,47 @@ def offset_calibrate(spark, sf):
     return G.calibrate(V.recommendations(spark, sf), V.chunks(spark, sf))
 
 
-WINDOW = """v_rr AS (SELECT rec_id, guideline_id AS source, page - CASE guideline_id WHEN 'EN' THEN 8 WHEN 'FR' THEN 13 ELSE 1 END AS page, list_distinct(regexp_extract_all(lower(text_summary), '[a-z]{4,}')) AS hint FROM v_recs),
-  v_cc AS (SELECT chunk_id, source, page, list_distinct(regexp_extract_all(lower(chunk_text), '[a-z]{4,}')) AS words FROM v_chunks),
-  v_win AS (SELECT rec_id, chunk_id, 3 * len(list_intersect(hint, words)) AS score FROM v_rr r JOIN v_cc c ON r.source = c.source AND c.page BETWEEN r.page - 5 AND r.page + 5),
-  v_wr AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, chunk_id) AS rank FROM v_win)"""
-
-
 def shifted(spark, sf):
     shift = F.when(F.col("guideline_id") == "EN", 8).when(F.col("guideline_id") == "FR", 13).otherwise(1)
     return V.recommendations(spark, sf).withColumn("page", F.col("page") - shift)
 
 
-@query("page_window", f"WITH {WINDOW} SELECT rec_id, chunk_id, score, rank FROM v_wr WHERE rank <= 4")
-def page_window(spark, sf):
-    return G.page_window(shifted(spark, sf), V.chunks(spark, sf)).where("rank <= 4")
-
-
 BASELINE_KINDS = ("FirstLineAntibiotics", "Monitoring", "StoppingCriteria", "Duration")
-CAND = f"""v_qw AS (SELECT qid, list_distinct(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS qw FROM v_queries), v_gc AS (SELECT qid, rec_id, section_type, list_contains({sql_list(BASELINE_KINDS)}, section_type) AS baseline,
-  (5 * list_contains({sql_list(BASELINE_KINDS)}, section_type)::INT + len(list_intersect(qw, list_distinct(regexp_extract_all(lower(text_summary), '[a-z]{{4,}}')))))::DOUBLE AS score FROM v_qw, v_recs WHERE guideline_id = 'EN')"""
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z]{{4,}}'))"
+CAND = f"""v_gq AS (SELECT qid, {_WORDS.format('text')} AS qw, {_named_sql(G.SURFACE)} AS qe, {_named_sql(G.SECTION_WORDS)} AS qs, {RQ.tier_sql('l')} AS qt FROM (SELECT *, lower(coalesce(text, '')) AS l FROM v_queries)),
+  v_gr AS (SELECT rec_id, section_type, coalesce(list_contains({sql_list(BASELINE_KINDS)}, section_type), false) AS baseline, {_WORDS.format('text_summary')} AS rw, {_named_sql(G.SURFACE)} AS re, {RQ.tier_sql('l')} AS rt FROM (SELECT *, lower(text_summary) AS l FROM v_recs WHERE guideline_id = 'EN')),
+  v_gm AS (SELECT *, list_has_any(qe, re) AS entity, list_contains(qs, section_type) AS section FROM v_gq, v_gr),
+  v_gc AS (SELECT qid, rec_id, section_type, baseline, (100 * entity::INT + 10 * section::INT + CASE WHEN baseline AND NOT entity AND NOT section THEN 5 ELSE 0 END + len(list_intersect(qw, rw))
+    + 20 * CASE WHEN qt IS NULL OR rt IS NULL THEN 0 WHEN qt = rt THEN 1 ELSE -1 END)::DOUBLE AS score FROM v_gm WHERE entity OR section OR baseline)"""
 
 
 def candidates(spark, sf):
-    """Recommendations of the query's guideline with a baseline point and word overlap."""
-    from evidex.functions.text import words_at_least
-
-    r = V.recommendations(spark, sf).where("guideline_id = 'EN'").select("rec_id", "section_type", words_at_least("text_summary", 4, True).alias("rw"))
-    q = V.queries(spark, sf).select("qid", words_at_least("text", 4, True).alias("qw"))
-    base = F.col("section_type").isin(*BASELINE_KINDS)
-    c = r.crossJoin(F.broadcast(q)).withColumn("baseline", base).withColumn("score", (5 * base.cast("int") + F.size(F.array_intersect("qw", "rw"))).cast("double"))
-    return c.select("qid", "rec_id", "section_type", "baseline", "score")
+    """Recommendations of the query's guideline that match it or are baseline."""
+    return G.candidates(V.queries(spark, sf), V.recommendations(spark, sf).where("guideline_id = 'EN'"), BASELINE_KINDS)
 
 
-@query("graph_candidates", f"WITH {CAND} SELECT qid, rec_id, baseline, score FROM v_gc WHERE score > 0")
+@query("graph_candidates", f"WITH {CAND} SELECT qid, rec_id, baseline, score FROM v_gc")
 def graph_candidates(spark, sf):
-    return candidates(spark, sf).where("score > 0").select("qid", "rec_id", "baseline", "score")
+    return candidates(spark, sf).select("qid", "rec_id", "baseline", "score")
+
+
+WINDOW = f"""{CAND}, v_gt AS (SELECT qid, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rec_id) AS n FROM v_gc) WHERE n <= 10),
+  v_rr AS (SELECT qid, rec_id, guideline_id AS source, page - 8 AS page, {_WORDS.format('text_summary')} AS hint, {_WORDS.format('text')} AS asked FROM v_gt JOIN v_recs USING (rec_id) JOIN v_queries USING (qid) WHERE guideline_id = 'EN'),
+  v_cc AS (SELECT chunk_id, source, page, {_WORDS.format('chunk_text')} AS words FROM v_chunks),
+  v_win AS (SELECT qid, rec_id, chunk_id, 3 * len(list_intersect(hint, words)) + len(list_intersect(asked, words)) AS score FROM v_rr r JOIN v_cc c ON r.source = c.source AND c.page BETWEEN r.page - 5 AND r.page + 5),
+  v_wr AS (SELECT *, row_number() OVER (PARTITION BY qid, rec_id ORDER BY score DESC, chunk_id) AS rank FROM v_win)"""
+
+
+def windows(spark, sf, pairs):
+    """Ranked chunks near the recommendation of each (qid, rec_id)."""
+    recs = shifted(spark, sf).where("guideline_id = 'EN'")
+    return G.page_window(pairs.join(recs, "rec_id").join(V.queries(spark, sf).select("qid", "text"), "qid"), V.chunks(spark, sf))
+
+
+@query("page_window", f"WITH {WINDOW} SELECT qid, rec_id, chunk_id, score, rank FROM v_wr WHERE rank <= 4")
+def page_window(spark, sf):
+    best = top_k(candidates(spark, sf), 10, tie="rec_id").select("qid", "rec_id")
+    return windows(spark, sf, best).where("rank <= 4")
 
 
 @query("rationale_channel", "SELECT chunk_id FROM v_chunks WHERE source = 'EN' AND (contains(chunk_text, 'the the') OR contains(chunk_text, 'thnt')) OR source = 'FR' AND contains(chunk_text, 'tion de')")
@@ -127,11 +144,9 @@ def rationale_channel(spark, sf):
 
 @query("graph_select")
 def graph_select(spark, sf):
-    w = G.page_window(shifted(spark, sf), V.chunks(spark, sf)).where("rank <= 2").select("rec_id", "chunk_id", "rank")
-    c = candidates(spark, sf)
-    best = Window.partitionBy("qid", "section_type").orderBy(F.desc("score"), "rec_id")
-    c = c.withColumn("_n", F.row_number().over(best)).where("_n <= 7").drop("_n")  # at most 42 recommendations a query
-    return G.select_covering(c.withColumnRenamed("section_type", "kind").join(w, "rec_id"), 10)
+    c = top_k(candidates(spark, sf), 7, by=("qid", "section_type"), tie="rec_id").drop("rank")  # at most 42 recommendations a query
+    w = windows(spark, sf, c.select("qid", "rec_id")).where("rank <= 2").select("qid", "rec_id", "chunk_id", "rank")
+    return G.select_covering(c.withColumnRenamed("section_type", "kind").join(w, ["qid", "rec_id"]), 10)
 
 
 @query("route_by_threshold", "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN 'NICE' WHEN ga < 35 THEN 'AAP_PRETERM' ELSE 'AAP_TERM' END AS graph FROM v_assessments")

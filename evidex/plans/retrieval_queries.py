@@ -257,14 +257,27 @@ def baseline_flag(spark, sf):
     return V.chunks(spark, sf).select("chunk_id", has_any(F.col("chunk_text"), BASELINE).alias("baseline"))
 
 
-SCORED = f"""{OVERLAP}, v_sc AS (SELECT p.qid, p.chunk_id, c.source = 'EN' AS own, c.chunk_type AS section, {any_sql('c.chunk_text', BASELINE)} AS baseline, c.chunk_text,
-  round(0.65 * rel + 0.10 * ({section_sql('c.chunk_type', "'treatment'")}) + 0.05 * CASE WHEN c.source = 'EN' THEN 0.15 ELSE 0 END + 0.05 * CASE WHEN {any_sql('c.chunk_text', BASELINE)} THEN 1 ELSE 0 END, 9)::DOUBLE AS score FROM v_pair p JOIN v_chunks c USING (chunk_id))"""
+def age_sql(query: str, chunk: str) -> str:
+    qa, qb, ca, cb = any_sql(query, X.AGE_0_6), any_sql(query, X.AGE_7_59), any_sql(chunk, X.AGE_0_6), any_sql(chunk, X.AGE_7_59)
+    return f"CASE WHEN {qa} AND {ca} AND NOT {cb} OR {qb} AND {cb} AND NOT {ca} THEN 0.12::DOUBLE WHEN {qa} AND {cb} AND NOT {ca} OR {qb} AND {ca} AND NOT {cb} THEN -0.04::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+SCORED = f"""{OVERLAP}, v_sq AS (SELECT qid, lower(coalesce(text, '')) AS l, {intent_sql("lower(coalesce(text, ''))")} AS intent, {tier_sql("lower(coalesce(text, ''))")} AS qt FROM v_queries),
+  v_st AS (SELECT *, coalesce(CASE WHEN page BETWEEN 1 AND 8 THEN 'critical' WHEN page BETWEEN 9 AND 13 THEN 'clinical_severe' END, {tier_sql('chunk_text')}) AS ct FROM v_chunks),
+  v_sc AS (SELECT p.qid, p.chunk_id, c.source = 'EN' AS own, c.chunk_type AS section, {any_sql('c.chunk_text', BASELINE)} AS baseline, c.chunk_text,
+  round(0.65 * rel + 0.10 * ({section_sql('c.chunk_type', 'q.intent')}) + 0.05 * ({age_sql('q.l', 'c.chunk_text')}) + 0.05 * CASE WHEN c.source = 'EN' THEN 0.15 ELSE 0 END
+    + 0.15 * CASE WHEN qt IS NULL OR ct IS NULL THEN 0.0 WHEN qt = ct THEN 1.0 ELSE -1.0 END + 0.05 * CASE WHEN {any_sql('c.chunk_text', BASELINE)} THEN 1 ELSE 0 END, 9)::DOUBLE AS score FROM v_pair p JOIN v_st c USING (chunk_id) JOIN v_sq q ON q.qid = p.qid)"""
 
 
 def scored(spark, sf):
-    p = pair_scores(spark, sf).join(V.chunks(spark, sf), "chunk_id")
+    """Fused candidates with their metadata score: relevance, section by the query's intent, age band, guideline, tier and baseline."""
+    text = F.coalesce("text", F.lit(""))
+    q = V.queries(spark, sf).select("qid", text.alias("_text"), Q.intent(text).alias("_intent"))
+    p = pair_scores(spark, sf).join(V.chunks(spark, sf), "chunk_id").join(q, "qid")
     own, base = F.col("source") == "EN", has_any(F.col("chunk_text"), BASELINE)
-    score = X.metadata_score(F.col("rel"), X.section_weight(F.col("chunk_type"), F.lit("treatment")), F.lit(0.0), F.when(own, 0.15).otherwise(0.0), F.lit(0.0), F.when(base, 1.0).otherwise(0.0))
+    age = X.age_band_match(F.col("_text"), F.col("chunk_text"))
+    tier = X.tier_score(X.tier_of_text(F.col("_text")), X.tier_of_chunk(F.col("page"), F.col("chunk_text")))
+    score = X.metadata_score(F.col("rel"), X.section_weight(F.col("chunk_type"), F.col("_intent")), age, F.when(own, 0.15).otherwise(0.0), tier, F.when(base, 1.0).otherwise(0.0))
     return p.select("qid", "chunk_id", own.alias("own"), F.col("chunk_type").alias("section"), base.alias("baseline"), "chunk_text", F.round(score, 9).alias("score"))
 
 

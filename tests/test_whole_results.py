@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from evidex.operators import fusion as X
+from evidex.operators import graph as G
 from evidex.plans.graph_queries import BASELINE_KINDS
 from evidex.sources import views as V
 
@@ -22,20 +24,62 @@ def late(spark, tmp_path_factory):
     return folder
 
 
+def graph_points(query, kind, summary):
+    """(any match, points) by the rule in words."""
+    forms = lambda t: {v for k, v in G.SURFACE.items() if k in t.lower()}
+    words = lambda t: set(re.findall("[a-z]{4,}", t.lower()))
+    entity = bool(forms(query) & forms(summary))
+    section = any(w in query.lower() for w in G.SECTION_WORDS.get(kind, ()))
+    baseline = kind in BASELINE_KINDS
+    tier = {}
+    for name, t in (("q", query.lower()), ("r", summary.lower())):
+        a, b = any(w in t for w in X.TIER_CRITICAL), any(w in t for w in X.TIER_SEVERE)
+        tier[name] = None if a == b else a
+    same = 0 if None in tier.values() else 1 if tier["q"] == tier["r"] else -1
+    return entity or section or baseline, 100 * entity + 10 * section + 5 * (baseline and not entity and not section) + len(words(query) & words(summary)) + 20 * same
+
+
 def test_graph_candidates_of_all_documents(spark, late):
-    queries = {r.qid: set(re.findall("[a-z]{4,}", r.text.lower())) for r in V.queries(spark, late).collect()}
+    queries = {r.qid: r.text for r in V.queries(spark, late).collect()}
     want = set()
     for r in V.recommendations(spark, late).where("guideline_id = 'EN'").collect():
-        for qid, words in queries.items():
-            baseline = r.section_type in BASELINE_KINDS
-            score = 5 * baseline + len(words & set(re.findall("[a-z]{4,}", r.text_summary.lower())))
-            if score > 0:
-                want.add((qid, r.rec_id, baseline, float(score)))
+        for qid, text in queries.items():
+            match, points = graph_points(text, r.section_type, r.text_summary)
+            if match:
+                want.add((qid, r.rec_id, r.section_type in BASELINE_KINDS, float(points)))
     assert {r[1] for r in want} == {"R3", "R40", "R199", "R200", "R201", "R5000", "R5001", "R70002"}
     got = [tuple(r) for r in entry.queries()["graph_candidates"](spark, late).select("qid", "rec_id", "baseline", "score").collect()]
     assert len(got) == len(want) and set(got) == want
 
 
+@pytest.mark.parametrize("block", [1, 3, 1024])
+def test_graph_points_of_every_kind_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(G, "BLOCK", block)
+    texts = ["gentamicin dose", "monitor trough levels", "critical illness and gbs", "possible serious bacterial infection", "nothing", "", None, "Monitor GBS"]
+    recs = [("R1", "Monitoring", "monitor gentamicin trough levels"), ("R2", "RiskFactors", "maternal gbs in critical illness"), ("R3", "Duration", "psbi for seven days"), ("R4", "RiskFactors", None), ("R5", None, "gentamicin")]
+    got = G.candidates(spark.createDataFrame(list(enumerate(texts)), "qid int, text string"), spark.createDataFrame(recs, "rec_id string, section_type string, text_summary string"), BASELINE_KINDS).collect()
+    want = {(q, rec, float(p)) for q, t in enumerate(texts) for rec, kind, s in recs for m, p in [graph_points(t or "", kind, s or "")] if m}
+    assert len(got) == len(want) and {(r.qid, r.rec_id, r.score) for r in got} == want
+    assert {p for _, _, p in want} > {5.0, 101.0} and any(p < 0 for _, _, p in want)
+    assert {(r.rec_id, r.baseline) for r in got} == {("R1", True), ("R2", False), ("R3", True), ("R5", False)}
+
+
+def test_page_window_counts_summary_and_query_words(spark):
+    recs = spark.createDataFrame([(1, "R", "S", 20, "alpha bravo", "charlie delta"), (2, "R", "S", 20, "alpha bravo", None)], "qid int, rec_id string, guideline_id string, page int, text_summary string, text string")
+    chunks = [("a", "S", 15, "alpha alpha charlie"), ("b", "S", 25, "bravo charlie delta"), ("c", "S", 26, "alpha bravo"), ("d", "T", 20, "alpha bravo"), ("e", "S", 21, None)]
+    got = G.page_window(recs, spark.createDataFrame(chunks, "chunk_id string, source string, page int, chunk_text string")).collect()
+    assert {(r.qid, r.chunk_id, r.score, r["rank"]) for r in got} == {(1, "b", 5, 1), (1, "a", 4, 2), (1, "e", 0, 3), (2, "a", 3, 1), (2, "b", 3, 2), (2, "e", 0, 3)}
+
+
+def test_supporting_edges_follow_renamed_sections(spark):
+    edges = spark.createDataFrame([("r1", "SUPPORTED_BY", "s"), ("r2", "SUPPORTED_BY", "s"), ("r3", "SUPPORTED_BY", "s"), ("r2", "TREATS", "s"), (None, "SUPPORTED_BY", "s"), ("x", None, "s")], "from_id string, relationship string, to_id string")
+    sections = G.unique_section_ids(spark.createDataFrame([("g", "s", "dose"), ("g", "s", "risk")], "guideline string, section_id string, section_type string"))
+    types = spark.createDataFrame([("r1", "dose"), ("r2", "risk")], "id string, section_type string")
+    got = sorted((tuple(r) for r in G.remap_targets(edges, sections, types).collect()), key=str)
+    want = [("r1", "SUPPORTED_BY", "s"), ("r2", "SUPPORTED_BY", "s_b"), ("r3", "SUPPORTED_BY", "s"), ("r2", "TREATS", "s"), (None, "SUPPORTED_BY", "s"), ("x", None, "s")]
+    assert got == sorted(want, key=str)
+
+
 def test_forced_candidates_of_all_documents(spark, late):
     got = entry.queries()["force_candidates"](spark, late).collect()
     pairs = [(r.qid, r.chunk_id) for r in got]
