@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,30 +150,72 @@ def boruta_select(rows: DataFrame, features: list[str], trials: int = 3) -> dict
     return wins
 
 
-def bench_models(rows: DataFrame, features: list[str]) -> DataFrame:
-    """(model, doc_id, label, score) of held-out rows: boosted trees, forest, linear SVM on random Fourier features, and the soft vote."""
+MEMBERS = ("gbt", "boosted", "forest", "svm_rbf")
+#: Members whose mean is the vote.
+VOTERS = ("gbt", "boosted", "forest")
+
+
+def member_scores(rows: DataFrame, features: list[str], splits: int = 5) -> DataFrame:
+    """(split, doc_id, label, one probability for each of `MEMBERS`, vote) of the held-out rows of each split.
+
+    Members learn on the split's training rows: two kinds of boosted trees, a
+    forest, and a linear SVM on random Fourier features of a Gaussian kernel.
+    `vote` is the mean of `VOTERS`. Rows with a null label or feature are left out.
+    """
     import numpy as np
     from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
-    from pyspark.ml.functions import vector_to_array
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
-    split = strat_splits(rows, "doc_id", "label", 1).select(F.col("id").alias("doc_id"), "is_train")
-    data = assembled(rows, features).select("doc_id", "label", "features")
+    whole = rows.dropna(subset=["label", *features])
+    split = strat_splits(whole, "doc_id", "label", splits).withColumnRenamed("id", "doc_id")
+    data = assembled(whole, features).select("doc_id", "label", "features")
     rng = np.random.default_rng(3)
     omega, phase = rng.normal(0, 0.5, (32, len(features))), rng.uniform(0, 2 * np.pi, 32)
     arr = vector_to_array("features")
     fourier = [F.cos(sum((arr[j] * float(omega[i, j]) for j in range(len(features))), F.lit(float(phase[i])))).alias(f"z{i}") for i in range(32)]
-    data = VectorAssembler(inputCols=[f"z{i}" for i in range(32)], outputCol="fourier").transform(data.select("*", *fourier)).select("doc_id", "label", "features", "fourier").join(split, "doc_id")
-    fit, held = data.where("is_train"), data.where("not is_train")
-    p = lambda m: vector_to_array(m)[1]
-    out = held.select("doc_id", "label", "features", "fourier")
-    for name, est in (("gbt", GBTClassifier(maxIter=10, maxDepth=3, seed=1)), ("forest", RandomForestClassifier(numTrees=20, seed=1))):
-        got = est.setProbabilityCol("prob").setPredictionCol("pred").setRawPredictionCol("rawp").fit(fit).transform(held).select("doc_id", p("prob").alias(name))
-        out = out.join(got, "doc_id")
-    svm = LinearSVC(featuresCol="fourier", maxIter=20).fit(fit).transform(held)
-    out = out.join(svm.select("doc_id", (1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))).alias("svm_rbf")), "doc_id")
-    out = out.withColumn("vote", (F.col("gbt") + F.col("forest")) / 2)
-    return out.select("doc_id", "label", "gbt", "forest", "svm_rbf", "vote").unpivot(["doc_id", "label"], ["gbt", "forest", "svm_rbf", "vote"], "model", "score")
+    wide = VectorAssembler(inputCols=[f"z{i}" for i in range(32)], outputCol="fourier").transform(data.select("*", *fourier))
+    wide = kept(wide.select("doc_id", "label", "features", "fourier").join(split, "doc_id"))
+    trees = {
+        "gbt": GBTClassifier(maxIter=10, maxDepth=3, seed=1),
+        "boosted": GBTClassifier(maxIter=10, maxDepth=5, stepSize=0.2, subsamplingRate=0.8, seed=2),
+        "forest": RandomForestClassifier(numTrees=20, seed=1),
+    }
+
+    def scored(i: int) -> DataFrame:
+        fit, held = wide.where((F.col("split") == i) & F.col("is_train")), wide.where((F.col("split") == i) & ~F.col("is_train"))
+        for name, est in trees.items():
+            est = est.copy().setProbabilityCol("_prob").setPredictionCol("_pred").setRawPredictionCol("_raw")
+            held = est.fit(fit).transform(held).withColumn(name, vector_to_array("_prob")[1]).drop("_prob", "_pred", "_raw")
+        margin = vector_to_array("rawPrediction")[1]
+        held = LinearSVC(featuresCol="fourier", maxIter=20).fit(fit).transform(held).withColumn("svm_rbf", 1 / (1 + F.exp(-margin)))
+        return held.select("split", "doc_id", "label", *MEMBERS)
+
+    with ThreadPool(splits) as pool:  # the splits' jobs run side by side
+        out = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(rows.sparkSession)(scored), range(splits)))
+    return out.withColumn("vote", sum((F.col(m) for m in VOTERS), F.lit(0.0)) / len(VOTERS))
+
+
+def bench_models(rows: DataFrame, features: list[str], splits: int = 5) -> DataFrame:
+    """(split, model, auc, brier, n) of every member and of the vote."""
+    names = [*MEMBERS, "vote"]
+    return auc_brier(member_scores(rows, features, splits).unpivot(["split", "doc_id", "label"], names, "model", "score"), ["split", "model"])
+
+
+def champion(benched: DataFrame) -> DataFrame:
+    """Mean and standard deviation of each model's AUC over the splits; the best mean, the first name on a tie, is champion."""
+    a = benched.groupBy("model").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd"))
+    best = F.row_number().over(Window.orderBy(F.desc_nulls_last("mean_auc"), "model"))  # one row per model
+    return a.withColumn("champion", (best == 1) & F.col("mean_auc").isNotNull())
+
+
+def compare_selections(features: list[str], domain: list[str], lasso: dict[str, float], boruta: dict[str, int], wins: int = 2) -> list[tuple]:
+    """(feature, domain, lasso, boruta, chosen): chosen are the domain's features that one of the two selections keeps."""
+    out = []
+    for f in features:
+        d, l, b = f in domain, abs(lasso.get(f, 0.0)) > 1e-6, boruta.get(f, 0) >= wins
+        out.append((f, d, l, b, d and (l or b)))
+    return out
 
 
 def isotonic_cv(scores: DataFrame, folds: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidex.operators import models as M
 from evidex.plans.registry import query
 from evidex.sources import views as V
-from evidex.sources.tables import checkpoint_folder, table
+from evidex.sources.tables import checkpoint_folder
 
 FEATURES = ["n_chars", "n_tokens", "distinct_ratio", "digit_ratio", "is_en"]
 GRID = [round(0.01 + 0.005 * i, 4) for i in range(197)]
@@ -43,15 +43,15 @@ def boruta_select(spark, sf):
     return spark.createDataFrame(rows, "feature string, wins int, kept boolean")
 
 
-@query("selection_compare", "SELECT e.event_type AS feature, d.event_type IS NOT NULL AS domain, l.event_type IS NOT NULL AS lasso, b.event_type IS NOT NULL AS boruta, d.event_type IS NOT NULL AND (l.event_type IS NOT NULL OR b.event_type IS NOT NULL) AS chosen FROM (SELECT DISTINCT event_type FROM events) e LEFT JOIN (SELECT DISTINCT event_type FROM events WHERE value > 330) d USING (event_type) LEFT JOIN (SELECT DISTINCT event_type FROM events WHERE value > 347) l USING (event_type) LEFT JOIN (SELECT DISTINCT event_type FROM events WHERE value > 400) b USING (event_type)")
+#: Features that are known beforehand to matter.
+DOMAIN = ["n_tokens", "distinct_ratio", "digit_ratio"]
+
+
+@query("selection_compare")
 def selection_compare(spark, sf):
-    e = table(spark, sf, "events")
-    flag = lambda limit, name: e.where(F.col("value") > limit).select(F.col("event_type").alias("feature")).distinct().withColumn(name, F.lit(True))
-    t = e.select(F.col("event_type").alias("feature")).distinct()
-    for limit, name in ((330, "domain"), (347, "lasso"), (400, "boruta")):
-        t = t.join(flag(limit, name), "feature", "left")
-    t = t.fillna(False, subset=["domain", "lasso", "boruta"])
-    return t.withColumn("chosen", F.col("domain") & (F.col("lasso") | F.col("boruta")))
+    rows = V.ml_rows(spark, sf)
+    found = M.compare_selections(FEATURES, DOMAIN, M.lasso_select(rows, FEATURES), M.boruta_select(rows, FEATURES))
+    return spark.createDataFrame(found, "feature string, domain boolean, lasso boolean, boruta boolean, chosen boolean")
 
 
 @query("strat_splits", "SELECT split, id, rn <= floor(n * 0.8) AS is_train FROM (SELECT split, doc_id AS id, row_number() OVER (PARTITION BY split, label ORDER BY md5(split || ':' || doc_id), doc_id) AS rn, count(*) OVER (PARTITION BY split, label) AS n FROM v_ml, (SELECT unnest(range(5)) AS split))")
@@ -61,12 +61,12 @@ def strat_splits(spark, sf):
 
 @query("model_bench")
 def model_bench(spark, sf):
-    return M.auc_brier(M.bench_models(V.ml_rows(spark, sf), FEATURES), ["model"])
+    return M.bench_models(V.ml_rows(spark, sf), FEATURES)
 
 
-@query("soft_vote", "SELECT event_id, round((value / 500 + (event_id % 100) / 100.0) / 2, 6)::DOUBLE AS score FROM events")
+@query("soft_vote")
 def soft_vote(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.round((F.col("value") / 500 + (F.col("event_id") % 100) / 100.0) / 2, 6).alias("score"))
+    return M.member_scores(V.ml_rows(spark, sf), FEATURES, 1).select("doc_id", *M.VOTERS, F.col("vote").alias("score"))
 
 
 @query("isotonic_cv")
@@ -84,14 +84,9 @@ def auc_brier(spark, sf):
     return a.select("grp", F.round("auc", 5).alias("auc"), F.round("brier", 6).alias("brier"), "n")
 
 
-@query("champion", "WITH v_m AS (SELECT event_type AS model, event_id % 5 AS split, avg(value) AS auc FROM events GROUP BY ALL), v_a AS (SELECT model, avg(auc) AS mean_auc, stddev_samp(auc) AS sd FROM v_m GROUP BY model) SELECT model, round(mean_auc, 5) AS mean_auc, round(sd, 5) AS sd, mean_auc = max(mean_auc) OVER () AS champion FROM v_a")
+@query("champion")
 def champion(spark, sf):
-    from pyspark.sql import Window
-
-    m = table(spark, sf, "events").groupBy(F.col("event_type").alias("model"), (F.col("event_id") % 5).alias("split")).agg(F.avg("value").alias("auc"))
-    a = m.groupBy("model").agg(F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("sd"))
-    best = F.col("mean_auc") == F.max("mean_auc").over(Window.partitionBy())
-    return a.select("model", F.round("mean_auc", 5).alias("mean_auc"), F.round("sd", 5).alias("sd"), best.alias("champion"))
+    return M.champion(M.bench_models(V.ml_rows(spark, sf), FEATURES))
 
 
 @query("prior_correct", "SELECT id, round(1 / (1 + exp(-(ln(c / (1 - c)) + ln(0.4098 / (1 - 0.4098)) - ln(0.2 / 0.8)))), 6)::DOUBLE AS p FROM (SELECT id, least(1 - 1e-6, greatest(1e-6, score)) AS c FROM v_scores)")

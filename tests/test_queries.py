@@ -42,7 +42,7 @@ def test_query_equals_oracle(spark, sf, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in place) for r in want.fetchall()), key=key)
 
 
-@pytest.mark.parametrize("name", ["mmr_select", "graph_select", "isotonic_cv", "model_bench", "ann_ivf_topk", "chunk_documents", "meteor_lite"])
+@pytest.mark.parametrize("name", ["mmr_select", "graph_select", "isotonic_cv", "soft_vote", "ann_ivf_topk", "chunk_documents", "meteor_lite"])
 def test_query_without_oracle_gives_rows(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 
