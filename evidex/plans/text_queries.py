@@ -75,21 +75,24 @@ def union_corpus(spark, sf):
     return corpus.first_per_id(gold, rest, "chunk_id")
 
 
-_FILE = "(['NICE_ng195', 'puopolo_2018', 'puopolo_2019', 'who_psbi', 'kuzniewicz', 'e1155', 'aap_preterm', 'notes'][doc_id % 8 + 1] || '_' || doc_id || '.pdf')"
+_NAMES = ("NICE_ng195", "puopolo_2018", "puopolo_2019", "who_psbi", "kuzniewicz", "e1155", "aap_preterm", "notes", "qatar", "2023065267")
+_FILE = f"({sql_list(_NAMES)}[doc_id % {len(_NAMES)} + 1] || '_' || doc_id || '.pdf')"
+
+
+def _rule_sql(place: int, default: str) -> str:
+    cases = (f"WHEN {' AND '.join(f'contains(l, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{values[place]}'" for words, *values in corpus.SOURCE_RULES)
+    return f"CASE {' '.join(cases)} ELSE {default} END"
 
 
 @query(
     "infer_source",
-    f"""SELECT doc_id, CASE WHEN contains(f, 'nice') OR contains(f, 'ng195') THEN 'NICE' WHEN contains(f, 'aap') OR contains(f, 'puopolo') AND contains(f, '2018') THEN 'AAP'
-      WHEN contains(f, 'who') THEN 'WHO' WHEN contains(f, 'kuzniewicz') OR contains(f, '2024') OR contains(f, '2011') OR contains(f, 'e1155') OR contains(f, '2019') THEN 'EOSCAL' ELSE 'OTHER' END AS source,
-      CASE WHEN contains(f, 'nice') OR contains(f, 'ng195') THEN '2023' WHEN contains(f, 'aap') OR contains(f, 'puopolo') AND contains(f, '2018') THEN '2023' WHEN contains(f, 'who') THEN '2024'
-      WHEN contains(f, 'kuzniewicz') OR contains(f, '2024') THEN '2024' WHEN contains(f, '2011') OR contains(f, 'e1155') THEN '2011' WHEN contains(f, '2019') THEN '2019' ELSE 'unknown' END AS version
-      FROM (SELECT doc_id, lower({_FILE}) AS f FROM documents)""",
+    f"""SELECT doc_id, {_rule_sql(0, "'LOCAL'")} AS source, {_rule_sql(1, "replace(f, '.pdf', '')")} AS source_name, {_rule_sql(2, "'1.0'")} AS version, {_rule_sql(3, "'LOCAL'")} AS region_tag
+      FROM (SELECT doc_id, {_FILE} AS f, lower({_FILE}) AS l FROM documents)""",
 )
 def infer_source(spark, sf):
-    names = F.array(*[F.lit(x) for x in ("NICE_ng195", "puopolo_2018", "puopolo_2019", "who_psbi", "kuzniewicz", "e1155", "aap_preterm", "notes")])
-    f = F.concat(F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
-    return table(spark, sf, "documents").select("doc_id", corpus.infer_source(f).alias("m")).select("doc_id", "m.source", "m.version")
+    names = F.array(*[F.lit(x) for x in _NAMES])
+    f = F.concat(F.element_at(names, (F.col("doc_id") % len(_NAMES) + 1).cast("int")), F.lit("_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return table(spark, sf, "documents").select("doc_id", corpus.infer_source(f).alias("m")).select("doc_id", "m.*")
 
 
 @query("index_health", "SELECT CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'empty' END AS status, count(*) AS total_chunks, max(ts) AS last_ingestion, CASE WHEN count(*) >= 100 THEN 'ivfflat' ELSE 'pending' END AS vector_index FROM events")

@@ -16,9 +16,13 @@ SOURCE_RULES = (
     (("who",), "WHO", "WHO Newborn Sepsis Guidelines", "2024", "GLOBAL"),
     (("kuzniewicz",), "EOSCAL", "Kuzniewicz et al. 2024 EOSCAL Recalibration", "2024", "GLOBAL"),
     (("2024",), "EOSCAL", "Kuzniewicz et al. 2024 EOSCAL Recalibration", "2024", "GLOBAL"),
+    (("2023065267",), "EOSCAL", "Kuzniewicz et al. 2024 EOSCAL Recalibration", "2024", "GLOBAL"),
     (("2011",), "EOSCAL", "Puopolo et al. 2011 Original EOSCAL", "2011", "GLOBAL"),
     (("e1155",), "EOSCAL", "Puopolo et al. 2011 Original EOSCAL", "2011", "GLOBAL"),
     (("2019",), "EOSCAL", "Puopolo et al. 2019 EOSCAL Update", "2019", "GLOBAL"),
+    (("qatar",), "EOSCAL", "Paraparambil Vellamgot et al. 2023 Qatar Validation", "2023", "GLOBAL"),
+    (("bmj",), "EOSCAL", "Paraparambil Vellamgot et al. 2023 Qatar Validation", "2023", "GLOBAL"),
+    (("vellamgot",), "EOSCAL", "Paraparambil Vellamgot et al. 2023 Qatar Validation", "2023", "GLOBAL"),
 )
 
 
@@ -71,7 +75,11 @@ def parse_vector(col: Column, width: int) -> Column:
 
 
 def infer_source(filename: Column) -> Column:
-    """Source, name, version and region by the first rule whose words the file name contains."""
+    """Source, name, version and region by the first rule whose words the file name contains.
+
+    Without a rule the file is a local document, named as the file without
+    folder and last suffix. Null is null's name.
+    """
     low = F.lower(filename)
     out = None
     for words, *values in SOURCE_RULES:
@@ -80,7 +88,9 @@ def infer_source(filename: Column) -> Column:
             test = test & low.contains(w)
         row = F.struct(*[F.lit(v).alias(n) for v, n in zip(values, ("source", "source_name", "version", "region_tag"))])
         out = F.when(test, row) if out is None else out.when(test, row)
-    other = F.struct(F.lit("OTHER").alias("source"), filename.alias("source_name"), F.lit("unknown").alias("version"), F.lit("GLOBAL").alias("region_tag"))
+    base = F.regexp_extract(filename, "([^/]*)/*$", 1)
+    stem = F.regexp_replace(base, r"(?<=.)\.[^.]+$", "")
+    other = F.struct(F.lit("LOCAL").alias("source"), stem.alias("source_name"), F.lit("1.0").alias("version"), F.lit("LOCAL").alias("region_tag"))
     return out.otherwise(other)
 
 

@@ -136,9 +136,12 @@ def test_dense_matches_cosine(spark, sf):
 
 
 def test_source_rules(spark):
-    names = ["NICE_x.pdf", "puopolo_2018.pdf", "puopolo_2019.pdf", "WHO.pdf", "e1155.pdf", "memo.pdf"]
+    names = ["NICE_x.pdf", "puopolo_2018.pdf", "puopolo_2019.pdf", "WHO.pdf", "e1155.pdf", "2023065267.pdf", "BMJ.pdf", "vellamgot.pdf", "docs/local memo.v2.pdf", "memo", ".hidden"]
     df = spark.createDataFrame([(n,) for n in names], "f string").select(corpus.infer_source(F.col("f")).alias("m"))
-    assert [r.m.source for r in df.collect()] == ["NICE", "AAP", "EOSCAL", "WHO", "EOSCAL", "OTHER"]
+    got = [r.m for r in df.collect()]
+    assert [m.source for m in got] == ["NICE", "AAP", "EOSCAL", "WHO", "EOSCAL", "EOSCAL", "EOSCAL", "EOSCAL", "LOCAL", "LOCAL", "LOCAL"]
+    assert [m.version for m in got[5:8]] == ["2024", "2023", "2023"]
+    assert [(m.source_name, m.version, m.region_tag) for m in got[8:]] == [("local memo.v2", "1.0", "LOCAL"), ("memo", "1.0", "LOCAL"), (".hidden", "1.0", "LOCAL")]
 
 
 def test_filter_without_match_keeps_all(spark):
