@@ -47,4 +47,29 @@ RULES = f"""WITH v_d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w
   v_level AS (SELECT band, coalesce(min(j) FILTER (WHERE NOT ok), {N_LEVELS}) - 1 AS level FROM v_t GROUP BY band)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND passed > coalesce(level, -1) AS kept, band FROM v_p LEFT JOIN v_level USING (band)"""
 
-ORACLE_SQL = {"op4_quality_rules": RULES, "op5_sharding": SHARDS, "op10_mixing": MIX}
+#: Words one edit apart agree without one code point each: at one place if replaced, or one of them is the other's rest.
+SPELLING = r"""WITH v_t AS (SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS t),
+  v_r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]{7,}')) AS run FROM documents),
+  v_k AS (SELECT run, hex(encode(id || ':' || run)) AS h, count(*) AS n FROM v_r GROUP BY id, run),
+  v_b AS (SELECT run, n, t, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || h[2 * i - 1 : 2 * i])::BIGINT) AS bytes FROM v_k, v_t),
+  v_h AS (SELECT run, n, xor(4294967295, list_reduce(bytes, lambda c, b: xor(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) >> 4, t[(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) & 15) + 1]), 4294967295)) AS h FROM v_b),
+  v_w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM v_h),
+  v_v AS (SELECT word, sum(n)::BIGINT AS n FROM v_w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  v_x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v_v)),
+  v_near AS (SELECT a.word, b.word AS other FROM v_x a JOIN v_x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT x.word, v.word FROM v_x x JOIN v_v v ON x.rest = v.word UNION SELECT v.word, x.word FROM v_x x JOIN v_v v ON x.rest = v.word),
+  v_rank AS (SELECT a.word, a.other, b.n, row_number() OVER (PARTITION BY a.word ORDER BY b.n DESC, a.other) AS nth FROM v_near a JOIN v_v b ON b.word = a.other),
+  v_best AS (SELECT word, count(*) AS n_near, max(other) FILTER (WHERE nth = 1) AS other, max(n) AS best_n FROM v_rank GROUP BY word),
+  v_f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * n THEN other END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v_v v LEFT JOIN v_best USING (word)),
+  v_up AS (WITH RECURSIVE up(word, root) AS (SELECT word, word FROM v_f UNION ALL SELECT up.word, f.form FROM up JOIN v_f f ON f.word = up.root WHERE f.form IS NOT NULL)
+    SELECT up.word, up.root FROM up JOIN v_f f ON f.word = up.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM v_f JOIN v_up USING (word)"""
+
+MIDDLES = """WITH v_h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+  v_u AS (SELECT *, ('0x' || s[1:8])::BIGINT % (n + 1) AS one, ('0x' || s[9:16])::BIGINT % (n + 1) AS two, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM v_h),
+  v_f AS (SELECT *, least(one, two) AS a, greatest(one, two) AS b, CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM v_u),
+  v_p AS (SELECT *, '<P>' || substr(t, 1, a) AS p, '<S>' || substr(t, b + 1) AS x, '<M>' || substr(t, a + 1, b - a) AS m FROM v_f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || x || m ELSE x || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM v_p"""
+
+ORACLE_SQL = {"op4_quality_rules": RULES, "op5_sharding": SHARDS, "op10_mixing": MIX, "op12_spelling": SPELLING, "op13_fill_in_middle": MIDDLES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidex.llm import langid, lm, media, mixing, packing, quality, rules, sharding, simhash, toxicity
+from evidex.llm import frames, html_text, langid, lm, media, mixing, packing, quality, rules, sharding, simhash, spelling, toxicity
 from evidex.llm._shared import table
 from evidex.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -50,6 +50,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -63,5 +75,8 @@ QUERIES = {
         op8_packing,
         op9_simhash,
         op10_mixing,
+        op11_html_text,
+        op12_spelling,
+        op13_fill_in_middle,
     )
 }
