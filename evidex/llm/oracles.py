@@ -13,7 +13,8 @@ _CRC = """v_t AS (SELECT list_transform(range(16), lambda i: list_reduce(range(4
   v_s AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295, list_reduce(bytes, lambda c, b: xor(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) >> 4, t[(xor(xor(c, b) >> 4, t[(xor(c, b) & 15) + 1]) & 15) + 1]), 4294967295)) AS text_crc32 FROM v_b)"""
 
 SHARDS = f"""WITH {_CRC}, v_p AS (SELECT *, sum(size) OVER (ORDER BY text_crc32, size, doc_id ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM v_s),
-  v_c AS (SELECT *, least(39, ((2 * start + size) * 40) // (2 * total))::INT AS shard FROM v_p)
+  v_g AS (SELECT *, min(start) OVER g AS from_, count(*) OVER g * size AS bytes FROM v_p WINDOW g AS (PARTITION BY text_crc32, size)),
+  v_c AS (SELECT *, least(39, CASE WHEN bytes * 400 <= total THEN ((2 * from_ + bytes) * 40) // (2 * total) ELSE ((2 * start + size) * 40) // (2 * total) END)::INT AS shard FROM v_g)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY text_crc32, size, doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM v_c"""
 
 MIX = f"""WITH v_d AS (SELECT doc_id, source, len({WORDS}) AS size, md5(coalesce(text, '')) AS text_md5 FROM documents),

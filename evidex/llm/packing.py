@@ -12,6 +12,7 @@ stretches; the last windows of a stretch are solved again with the next.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -59,7 +60,11 @@ class Words:
         if stem.isalnum():  # ASCII letters and digits only
             return stem.lower(), word[len(stem) :]
         text = stem.decode("utf-8", "replace")
-        return (stem, word[len(stem) :]) if text.isalnum() else (word, b"")
+        if text.isalnum():  # what the vocabulary makes of its last letter may end in a mark that joins the others
+            folded = unicodedata.normalize("NFC", text).lower()
+            if folded and unicodedata.category(folded[-1])[0] in "LN":
+                return stem, word[len(stem) :]
+        return word, b""
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words that are not in the cache."""

@@ -42,17 +42,24 @@ def with_prefix(slim: DataFrame, order: list[str], size: str) -> DataFrame:
     )
 
 
+#: Groups of equal texts of up to this part of a shard's bytes, one in so many, are not parted.
+GROUP_PART = 10
+
+
 def shard_by_bytes(
-    docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16
+    docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16, group_part: int = GROUP_PART
 ) -> DataFrame:
     """Cut the documents, in order of text hash, size and id, into `shards` contiguous runs of near-equal bytes.
 
-    Equal texts are neighbours in this order, so a group of them lies in one
-    shard, or in neighbouring ones where a cut falls inside the group.
+    Equal texts are neighbours in this order. A cut that falls into a group of
+    them (same crc32 and size) moves to the group's nearer end, so the group
+    lies in one shard; only a group of more than 1 / `group_part` of a shard's
+    bytes is parted at the cut.
 
     A document's size is its UTF-8 length (null: none) plus `overhead`; it goes
-    to the shard that holds the middle of its bytes, so a shard misses its
-    target by one document at most. A null id comes first; repeated rows each
+    to the shard that holds the middle of its bytes, or of its group's, so a
+    shard misses its target by one document or half such a group at each end.
+    A null id comes first; repeated rows each
     get a place; an empty table gives no rows. Returns doc_id, size,
     text_crc32, law, shard, slot (gapless from 0 in each shard) and
     grown_shard (null: the law is `bytes`). Other columns are not read.
@@ -70,6 +77,11 @@ def shard_by_bytes(
             F.expr(f"((2 * start + size) * {shards}L) div (2 * greatest(total, 1L))"),
         ).cast("int"),
     )
+    groups = placed.groupBy("text_crc32", "size").agg(F.min("start").alias("_from"), F.sum("size").alias("_bytes"), F.min("shard").alias("_low"), F.max("shard").alias("_high"), F.max("total").alias("_all"))
+    parted = groups.filter((F.col("_low") < F.col("_high")) & (F.col("_bytes") * shards * group_part <= F.col("_all")))
+    whole = F.least(F.lit(shards - 1), F.expr(f"((2 * _from + _bytes) * {shards}L) div (2 * greatest(_all, 1L))")).cast("int")
+    parted = parted.select("text_crc32", "size", whole.alias("_whole"))
+    placed = placed.join(F.broadcast(parted), ["text_crc32", "size"], "left").withColumn("shard", F.coalesce("_whole", "shard"))  # one group a cut
     first = placed.groupBy("shard").agg(F.min("row").alias("_first"))
     return placed.join(F.broadcast(first), "shard").select(
         "doc_id",

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
@@ -147,10 +148,21 @@ def test_words_give_the_tokenizer_s_ids(spark, sf):
         assert words.ids(text).tolist() == [*want, 2]
 
 
+def test_every_letter_and_digit_before_a_mark_has_the_tokenizer_s_ids():
+    words = packing.Words(packing.word_vocabulary())
+    marks = [".", ":", "?!", "#$"]
+    letters = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalnum() and unicodedata.category(chr(c)) not in ("Lo", "Cn")]
+    letters += [chr(c) for c in [*range(0x900, 0x1200), *range(0xF00, 0x1000), *range(0xF900, 0xFC00), *range(0x3040, 0x3100), *range(0x1D400, 0x1D800)] if chr(c).isalnum()]
+    odd = [f"a{c}{marks[i % 4]}" for i, c in enumerate(letters)] + ["İ:", "दिल्ली क़:", "שׁ.", "ড়?"]
+    for lo in range(0, len(odd), 512):
+        text = " ".join(odd[lo : lo + 512])
+        assert words.ids(text).tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_op8_every_id_once_with_little_padding(spark):
     sf = "/root/testdata/sf0.01"
-    words = packing.Words(packing.word_vocabulary())
-    ids = {r.doc_id: words.ids(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    tokenizer = packing.Words(packing.word_vocabulary()).tokenizer
+    ids = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = q.op8_packing(spark, sf).toPandas()
     for i, part in got.sort_values("start").groupby("doc_id"):
         assert part.start.tolist() == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() == len(ids[i])

@@ -81,11 +81,25 @@ def test_op5_shards(spark, sf, docs):
     for _, part in got.groupby("shard"):
         assert list(part.slot) == list(range(len(part)))
         assert abs(part["size"].sum() - target) <= 2 * got["size"].max()
-    start = got["size"].cumsum() - got["size"]
-    want = [min(39, int((2 * s + z) * 40 // (2 * got["size"].sum()))) for s, z in zip(start, got["size"])]
+    start, total = (got["size"].cumsum() - got["size"]).tolist(), int(got["size"].sum())
+    want = []
+    for _, group in got.groupby(["text_crc32", "size"], sort=True):
+        first, size = start[group.index[0]], int(group["size"].sum())
+        if size * 40 * 10 <= total:
+            want += [min(39, (2 * first + size) * 40 // (2 * total))] * len(group)
+        else:
+            want += [min(39, (2 * start[i] + z) * 40 // (2 * total)) for i, z in zip(group.index, group["size"])]
     assert list(got.shard) == want
-    for _, group in got.groupby("text_crc32"):
-        assert sorted(set(group.shard)) == list(range(group.shard.min(), group.shard.max() + 1))
+
+
+def test_op5_parts_no_group_but_a_large_one(spark):
+    from evidex.llm import sharding
+
+    rows = [(i, f"text {i // 7} " * 20) for i in range(3000)] + [(5000 + i, "large " * 100) for i in range(900)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), 9).toPandas()
+    parted = [len(g) for _, g in got.groupby(["text_crc32", "size"]) if g.shard.nunique() > 1]
+    assert parted == [900]
+    assert got.groupby("shard")["size"].sum().max() < 1.1 * got["size"].sum() / 9
 
 
 def test_op5_many_equal_rows_spread_over_tasks(spark):
