@@ -1,14 +1,12 @@
-"""Retrieval for a whole table of queries at once: BM25, dense and keyword search.
+"""Retrieval for a whole table of queries at once: dense and keyword search (BM25 has an index of its own).
 
-Every search reads the queries in blocks and holds a block against all rows,
+Every search here reads the queries in blocks and holds a block against all rows,
 next to the data: a partition keeps its k best rows of each query, and only
 those are shuffled. Pairs of query and row are never laid out.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +24,6 @@ K1, B = 1.5, 0.75
 BLOCK_QUERIES, BLOCK_CELLS = 1_024, 1 << 23
 #: Cells of one matrix of rows and queries.
 SMALL_MATRIX = 1 << 21
-TOKEN = re.compile("[a-z0-9]+")
 
 
 def top_k(scored: DataFrame, k: int | Column, by: tuple[str, ...] = ("qid",), score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -35,21 +32,6 @@ def top_k(scored: DataFrame, k: int | Column, by: tuple[str, ...] = ("qid",), sc
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vocabulary(chunks: DataFrame, text_col: str = "chunk_text") -> tuple[DataFrame, DataFrame]:
-    """((term, df), one row (n, avgdl)): chunks with each term, their number and mean length, from one pass.
-
-    Terms are counted before the shuffle, so no (chunk, term) row crosses it;
-    a row without a term stands for each chunk. What is left, one row a term,
-    is cut with a checkpoint.
-    """
-    toks = chunks.select(tokens(text_col).alias("t"))
-    none = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl")))
-    each = F.concat(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"))), none)
-    counted = kept(toks.select(F.explode_outer(each).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")))
-    size = counted.where("term is null").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum("dl") / F.sum("df")).alias("avgdl"))
-    return counted.where("term is not null").select("term", "df"), size
-
-
 def term_weights(frequencies: DataFrame, n_chunks: DataFrame) -> DataFrame:
     """(term, df, idf) over all terms of `frequencies` (term, df).
 
@@ -159,18 +141,6 @@ def in_blocks(blocks: Iterator, run: Callable, empty: DataFrame) -> DataFrame:
     return empty if out is None else out
 
 
-def bm25_rows(block: Block, avgdl: float, texts: list[str]) -> np.ndarray:
-    """Scores (texts, queries) by BM25; zero where nothing is shared."""
-    out = np.zeros((len(texts), len(block.ids)))
-    for i, text in enumerate(texts):
-        found = TOKEN.findall(text)
-        tf = Counter(x for x in map(block.places.get, found) if x is not None)
-        if tf:
-            n = np.fromiter(tf.values(), dtype=np.float64, count=len(tf))
-            out[i] = (n * (K1 + 1) / (n + K1 * (1 - B + B * len(found) / avgdl))) @ block.table[list(tf)]
-    return out
-
-
 def automaton_of(block: Block) -> ahocorasick.Automaton:
     """Finds every term of the block inside a text in one pass."""
     found = ahocorasick.Automaton()
@@ -214,82 +184,12 @@ def searched(queries: DataFrame, weighted: DataFrame, chunks: DataFrame, k: int,
     return in_blocks(blocks_of(queries, weighted), run, empty)
 
 
-def bm25_weights(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, float]:
-    """((qid, term, w), mean chunk length): idf over the whole corpus times how often the query has the term."""
-    frequencies, size = vocabulary(chunks)
-    weights = term_weights(frequencies, size)
-    terms = query_terms(queries).join(weights.select("term", "idf"), "term")
-    return terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("w")), float(size.first()["avgdl"] or 1.0)
-
-
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int, own_guideline: bool = False) -> DataFrame:
-    """(qid, chunk_id, score, rank): the k best chunks of each query among those that share a term.
-
-    With `own_guideline` only chunks of the query's guideline count, before
-    the cut, unless that guideline has no chunks. Chunk ids are unique.
-    """
-    weighted, avgdl = bm25_weights(queries, chunks)
-    asked = queries.select("qid", F.lit(None).cast("string").alias("guideline"))
-    if own_guideline:
-        has = chunks.select(F.col("source").alias("guideline")).distinct()
-        asked = queries.join(has, "guideline", "left_semi").select("qid", "guideline").unionByName(queries.join(has, "guideline", "left_anti").select("qid", F.lit(None).cast("string").alias("guideline")))
-
-    def scorer(block: Block):
-        guideline = np.array([g or "" for g in block.guidelines], dtype=object)
-
-        def run(texts: list, sources: list) -> np.ndarray:
-            s = bm25_rows(block, avgdl, texts)
-            s[s == 0] = -np.inf
-            if own_guideline:
-                other = {x: (guideline != "") & (guideline != x) for x in set(sources)}
-                for i, x in enumerate(sources):
-                    s[i, other[x]] = -np.inf
-            return s
-
-        return run
-
-    return searched(asked, weighted, chunks, k, scorer)
-
-
-def bm25_counts(queries: DataFrame, chunks: DataFrame, floors: dict[int, float]) -> DataFrame:
-    """(qid, attempt, n): how many chunks score above the floor of each attempt, where there are any."""
-    weighted, avgdl = bm25_weights(queries, chunks)
-    kind = queries.schema["qid"].dataType.simpleString()
-    slim = chunks.select(F.lower(F.coalesce("chunk_text", F.lit(""))).alias("low"))
-
-    def run(block: Block):
-        sent = chunks.sparkSession.sparkContext.broadcast(block)  # BLOCK_CELLS weights
-        step = max(1, SMALL_MATRIX // len(block.ids))
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block = sent.value
-            n = np.zeros((len(floors), len(block.ids)), dtype=np.int64)
-            for pdf in batches:
-                for lo in range(0, len(pdf), step):
-                    s = bm25_rows(block, avgdl, pdf["low"].iloc[lo : lo + step].tolist())
-                    for a, x in enumerate(floors.values()):
-                        n[a] += (s > x).sum(axis=0)
-            a, q = np.nonzero(n)
-            yield pd.DataFrame({"qid": [block.ids[j] for j in q], "attempt": np.array(list(floors))[a], "n": n[a, q]})
-
-        part = slim.mapInPandas(count, f"qid {kind}, attempt int, n bigint")
-        return part.groupBy("qid", "attempt").agg(F.sum("n").alias("n")), sent
-
-    empty = queries.select("qid", F.lit(0).alias("attempt"), F.lit(0).cast("long").alias("n")).limit(0)
-    return in_blocks(blocks_of(queries.select("qid", F.lit(None).cast("string").alias("guideline")), weighted), run, empty)
-
-
 def normalised(ranked: DataFrame) -> DataFrame:
     """Scores over the query's best, where that is positive; rows at or below zero go."""
     best = F.max("score").over(Window.partitionBy("qid"))
     return ranked.where("score > 0").withColumn("score", F.round(F.col("score") / best, 6))
 
 
-def bm25_topk(queries: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
-    """The k best chunks of each query, scores relative to the best."""
-    return normalised(bm25_search(queries, chunks, k)).select("qid", "chunk_id", "rank", "score")
-
-
 def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, least: int = 4) -> DataFrame:
     """One point per query word of `least` letters or more that the text contains, two for the guideline; the best k above zero.
 
@@ -352,9 +252,8 @@ def keyword_boost(terms: DataFrame, chunks: DataFrame, guideline: str, k: int =
     return searched(asked, weighted, chunks, k, scorer, "keywords").select("qid", "chunk_id", "rank", "score")
 
 
-def term_share(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """`pairs` (qid, chunk_id, ...) with `rel`: the share of the query's idf weight that the chunk's terms cover."""
-    weights = term_weights(*vocabulary(chunks))
+def term_share(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, weights: DataFrame) -> DataFrame:
+    """`pairs` (qid, chunk_id, ...) with `rel`: the share of the query's idf weight, by `weights` (term, idf), that the chunk's terms cover."""
     terms = query_terms(queries).join(weights.select("term", "idf"), "term")
     listed = terms.groupBy("qid").agg(F.collect_list(F.struct("term", "idf")).alias("_terms"))  # as long as the query's text
     add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x["idf"])

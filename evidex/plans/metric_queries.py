@@ -14,7 +14,7 @@ from evidex.sources.tables import table
 
 
 def hits(spark, sf):
-    return M.phrase_hits(V.chunks(spark, sf), V.phrases(spark, sf))
+    return M.phrase_hits(V.stored_chunks(spark, sf), V.phrases(spark, sf))
 
 
 def gold(spark, sf):
@@ -132,7 +132,7 @@ def mrr_anchor(spark, sf):
       SELECT p.qid, b.arm, round(avg(CASE WHEN contains(b.blob, p.phrase) THEN 1 ELSE 0 END), 6)::DOUBLE AS anchor_recall FROM v_phrases p JOIN v_blob b USING (qid) GROUP BY p.qid, b.arm""",
 )
 def anchor_recall(spark, sf):
-    rows = RQ.arms(spark, sf).join(V.chunks(spark, sf).select("chunk_id", "chunk_text"), "chunk_id")
+    rows = RQ.arms(spark, sf).join(V.stored_chunks(spark, sf).select("chunk_id", "chunk_text"), "chunk_id")
     blob = rows.groupBy("qid", "arm").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_text"))), lambda x: x["chunk_text"]), " ").alias("blob"))
     j = V.phrases(spark, sf).join(blob, "qid")
     return j.groupBy("qid", "arm").agg(F.round(F.avg(F.col("blob").contains(F.col("phrase")).cast("int")), 6).alias("anchor_recall"))
@@ -292,5 +292,5 @@ def gen_summary(spark, sf):
 @query("entry", f"WITH {ARMS} SELECT qid, arm, mrr FROM ({MRR}) WHERE arm = 'bm25'")
 def entry(spark, sf):
     """For every benchmark passage the ten best chunks by BM25, scored by reciprocal rank against gold from containment."""
-    ret = RQ.R.bm25_search(V.queries(spark, sf), V.chunks(spark, sf), 10).withColumn("arm", F.lit("bm25"))
+    ret = V.index(spark, sf).search(V.queries(spark, sf), 10).withColumn("arm", F.lit("bm25"))
     return rounded(M.mrr(ret, gold(spark, sf), V.queries(spark, sf).select("qid", F.lit("bm25").alias("arm")), ["arm"]), "mrr")

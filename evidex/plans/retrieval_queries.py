@@ -33,13 +33,12 @@ BMTOP = f"v_top AS ({ranked_sql('SELECT * FROM v_bm', 10)})"
 
 @query("bm25_index", f"WITH {POSTINGS}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM v_idf")
 def bm25_index(spark, sf):
-    c = V.chunks(spark, sf)
-    return R.term_weights(*R.vocabulary(c)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return V.index(spark, sf).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {BM25}, {BMTOP} SELECT qid, chunk_id, rank, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM v_top WHERE score > 0")
 def bm25_topk(spark, sf):
-    return R.bm25_topk(V.queries(spark, sf), V.chunks(spark, sf))
+    return R.normalised(V.index(spark, sf).search(V.queries(spark, sf), 10)).select("qid", "chunk_id", "rank", "score")
 
 
 def vector_tables(spark, sf):
@@ -63,8 +62,7 @@ def ann_ivf_topk(spark, sf):
 
 @query("guideline_mask", f"WITH {BM25} {ranked_sql('SELECT b.* FROM v_bm b JOIN v_chunks c USING (chunk_id) JOIN v_queries q USING (qid) WHERE c.source = q.guideline', 10, cols='qid, chunk_id, rank, round(score, 6) AS score')}")
 def guideline_mask(spark, sf):
-    q, c = V.queries(spark, sf), V.chunks(spark, sf)
-    return R.bm25_search(q, c, 10, own_guideline=True).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return V.index(spark, sf).search(V.queries(spark, sf), 10, own_guideline=True).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 KEYWORD = """v_kw AS (SELECT qid, guideline, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM v_queries),
@@ -74,12 +72,12 @@ KEYWORD = """v_kw AS (SELECT qid, guideline, unnest(string_split_regex(lower(tex
 
 @query("keyword_fallback", f"WITH {KEYWORD} {ranked_sql('SELECT * FROM v_ks WHERE score > 0', 5, cols='qid, chunk_id, rank, round(score / 10, 4) AS score')}")
 def keyword_fallback(spark, sf):
-    return R.keyword_search(V.queries(spark, sf), V.chunks(spark, sf), 5)
+    return R.keyword_search(V.queries(spark, sf), V.stored_chunks(spark, sf), 5)
 
 
 @query("offline_search", f"WITH {KEYWORD} {ranked_sql('SELECT * FROM v_ks WHERE score > 0', 3, cols='qid, chunk_id, rank, round(score / 10, 4) AS score')}")
 def offline_search(spark, sf):
-    return R.keyword_search(V.queries(spark, sf), V.chunks(spark, sf), 3)
+    return R.keyword_search(V.queries(spark, sf), V.stored_chunks(spark, sf), 3)
 
 
 @query(
@@ -94,7 +92,7 @@ def offline_search(spark, sf):
 )
 def keyword_boost(spark, sf):
     terms = V.queries(spark, sf).select("qid", F.explode(tokens("text")).alias("term")).distinct()
-    c = V.chunks(spark, sf).withColumn("keywords", R.chunk_keywords())
+    c = V.stored_chunks(spark, sf).withColumn("keywords", R.chunk_keywords())
     return R.keyword_boost(terms, c, "EN").select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -159,7 +157,7 @@ def subquery_fanout(spark, sf):
       v_first AS (SELECT qid, min(attempt) AS attempt FROM v_att GROUP BY qid) SELECT qid, attempt, count(*) AS n FROM v_att JOIN v_first USING (qid, attempt) GROUP BY qid, attempt""",
 )
 def widened_queries(spark, sf):
-    tries = R.bm25_counts(V.queries(spark, sf), V.chunks(spark, sf), {1: 60.0, 2: 30.0, 3: 10.0})
+    tries = V.index(spark, sf).counts(V.queries(spark, sf), {1: 60.0, 2: 30.0, 3: 10.0})
     first = tries.groupBy("qid").agg(F.min("attempt").alias("attempt"))
     return tries.join(first, ["qid", "attempt"]).select("qid", "attempt", "n")
 
@@ -172,8 +170,8 @@ LISTS = f"""{BM25}, {KEYWORD}, v_l1 AS ({ranked_sql('SELECT * FROM v_bm', 10)}),
 
 
 def lists(spark, sf):
-    q, c = V.queries(spark, sf), V.chunks(spark, sf)
-    a = R.bm25_search(q, c, 10).select("qid", F.lit("bm25").alias("list"), "chunk_id", "rank")
+    q, c = V.queries(spark, sf), V.stored_chunks(spark, sf)
+    a = V.index(spark, sf).search(q, 10).select("qid", F.lit("bm25").alias("list"), "chunk_id", "rank")
     b = R.keyword_search(q, c, 10).select("qid", F.lit("keyword").alias("list"), "chunk_id", "rank")
     return a.unionByName(b)
 
@@ -194,8 +192,8 @@ OVERLAP = f"""{LISTS}, v_pair AS (SELECT r.qid, r.chunk_id, r.rank, coalesce(sum
 
 def pair_scores(spark, sf):
     """Share of the query's idf weight that the chunk covers, for fused candidates."""
-    q, c = V.queries(spark, sf), V.chunks(spark, sf)
-    return R.term_share(X.rrf(lists(spark, sf)).select("qid", "chunk_id", "rank"), q, c)
+    q, c = V.queries(spark, sf), V.stored_chunks(spark, sf)
+    return R.term_share(X.rrf(lists(spark, sf)).select("qid", "chunk_id", "rank"), q, c, V.index(spark, sf).terms())
 
 
 @query("pair_score", f"WITH {OVERLAP} SELECT qid, chunk_id, round(coalesce(rel, 1 - 0.01 * (rank - 1)), 6) AS score FROM v_pair")
@@ -215,7 +213,7 @@ def section_sql(kind: str, intent: str) -> str:
 
 @query("section_weight", f"WITH {CLINICAL}, v_i AS (SELECT DISTINCT {intent_sql('lower(text)')} AS intent FROM v_clin) SELECT chunk_type, intent, round({section_sql('chunk_type', 'intent')}, 6) AS weight FROM (SELECT DISTINCT chunk_type FROM v_chunks), v_i")
 def section_weight(spark, sf):
-    kinds = V.chunks(spark, sf).select("chunk_type").distinct()
+    kinds = V.stored_chunks(spark, sf).select("chunk_type").distinct()
     intents = clinical(spark, sf).select(Q.intent(F.col("text")).alias("intent")).distinct()
     return kinds.crossJoin(F.broadcast(intents)).select("chunk_type", "intent", F.round(X.section_weight(F.col("chunk_type"), F.col("intent")), 6).alias("weight"))
 
@@ -254,7 +252,7 @@ def severity_tier(spark, sf):
 
 @query("baseline_flag", f"SELECT chunk_id, {any_sql('chunk_text', BASELINE)} AS baseline FROM v_chunks")
 def baseline_flag(spark, sf):
-    return V.chunks(spark, sf).select("chunk_id", has_any(F.col("chunk_text"), BASELINE).alias("baseline"))
+    return V.stored_chunks(spark, sf).select("chunk_id", has_any(F.col("chunk_text"), BASELINE).alias("baseline"))
 
 
 def age_sql(query: str, chunk: str) -> str:
@@ -273,7 +271,7 @@ def scored(spark, sf):
     """Fused candidates with their metadata score: relevance, section by the query's intent, age band, guideline, tier and baseline."""
     text = F.coalesce("text", F.lit(""))
     q = V.queries(spark, sf).select("qid", text.alias("_text"), Q.intent(text).alias("_intent"))
-    p = pair_scores(spark, sf).join(V.chunks(spark, sf), "chunk_id").join(q, "qid")
+    p = pair_scores(spark, sf).join(V.stored_chunks(spark, sf), "chunk_id").join(q, "qid")
     own, base = F.col("source") == "EN", has_any(F.col("chunk_text"), BASELINE)
     age = X.age_band_match(F.col("_text"), F.col("chunk_text"))
     tier = X.tier_score(X.tier_of_text(F.col("_text")), X.tier_of_chunk(F.col("page"), F.col("chunk_text")))
@@ -286,9 +284,9 @@ def metadata_score(spark, sf):
     return scored(spark, sf).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query("force_candidates", f"WITH {SCORED}, v_force AS (SELECT q.qid, c.chunk_id FROM v_queries q JOIN v_chunks c ON c.source = q.guideline WHERE c.chunk_index = 0 AND {any_sql('c.chunk_text', BASELINE)}) SELECT qid, chunk_id, round(score, 6) AS score FROM v_sc UNION ALL SELECT qid, chunk_id, 0.0 FROM v_force f WHERE NOT EXISTS (SELECT 1 FROM v_sc s WHERE s.qid = f.qid AND s.chunk_id = f.chunk_id)")
+@query("force_candidates", f"WITH {SCORED}, v_force AS (SELECT q.qid, c.chunk_id FROM v_queries q JOIN v_chunks c ON c.source = q.guideline WHERE {any_sql('c.chunk_text', BASELINE)}) SELECT qid, chunk_id, round(score, 6) AS score FROM v_sc UNION ALL SELECT qid, chunk_id, 0.0 FROM v_force f WHERE NOT EXISTS (SELECT 1 FROM v_sc s WHERE s.qid = f.qid AND s.chunk_id = f.chunk_id)")
 def force_candidates(spark, sf):
-    c = V.chunks(spark, sf).where("chunk_index = 0").where(has_any(F.col("chunk_text"), BASELINE))
+    c = V.stored_chunks(spark, sf).where(has_any(F.col("chunk_text"), BASELINE))
     forced = V.queries(spark, sf).join(c, F.col("source") == F.col("guideline")).select("qid", "chunk_id")
     return X.force_candidates(scored(spark, sf), forced).select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
@@ -304,14 +302,14 @@ GROUPS = """v_rp AS (SELECT source, page, count(DISTINCT recommendation_id) AS n
 
 @query("retrieval_groups", f"WITH {GROUPS} SELECT * FROM v_grp")
 def retrieval_groups(spark, sf):
-    return X.retrieval_groups(V.chunks(spark, sf))
+    return X.retrieval_groups(V.stored_chunks(spark, sf))
 
 
 BEST = f"{SCORED}, {GROUPS}, v_g1 AS ({ranked_sql('SELECT s.*, g.group_key FROM v_sc s JOIN v_grp g USING (chunk_id)', 1, by='qid, group_key', cols='* EXCLUDE (rank)')}), v_best AS ({ranked_sql('SELECT * FROM v_g1', 15)})"
 
 
 def best_groups(spark, sf, pool=15):
-    return X.group_best(scored(spark, sf), X.retrieval_groups(V.chunks(spark, sf)), pool)
+    return X.group_best(scored(spark, sf), X.retrieval_groups(V.stored_chunks(spark, sf)), pool)
 
 
 @query("group_best", f"WITH {BEST} SELECT qid, chunk_id, group_key, rank, round(score, 6) AS score FROM v_best")
@@ -332,7 +330,7 @@ def coverage_swap(spark, sf):
 
 @query("group_expand", f"WITH {BEST} SELECT DISTINCT b.qid, b.rank AS group_rank, g.chunk_id FROM v_best b JOIN v_grp g USING (group_key) WHERE b.rank <= 3")
 def group_expand(spark, sf):
-    return X.group_expand(best_groups(spark, sf).where("rank <= 3").drop("group_key"), X.retrieval_groups(V.chunks(spark, sf)))
+    return X.group_expand(best_groups(spark, sf).where("rank <= 3").drop("group_key"), X.retrieval_groups(V.stored_chunks(spark, sf)))
 
 
 @query(
@@ -343,7 +341,7 @@ def group_expand(spark, sf):
       SELECT qid, chunk_id, round(max(score * 0.8), 6) AS score, 0 AS group_rank FROM v_sib WHERE n <= 2 GROUP BY qid, chunk_id""",
 )
 def sibling_expand(spark, sf):
-    return X.siblings(best_groups(spark, sf).where("rank <= 3").select("qid", "chunk_id", "score"), V.chunks(spark, sf))
+    return X.siblings(best_groups(spark, sf).where("rank <= 3").select("qid", "chunk_id", "score"), V.stored_chunks(spark, sf))
 
 
 @query("retrieve_basic", f"WITH {OVERLAP} {ranked_sql('SELECT qid, chunk_id, rel AS score FROM v_pair WHERE rank <= 10', 5, cols='qid, chunk_id, rank, round(score, 4) AS score')}")
@@ -354,7 +352,7 @@ def retrieve_basic(spark, sf):
 
 def retrieve_full_rows(spark, sf, k=5):
     """Guideline top-up, metadata score, groups, diversity, coverage, expansion and siblings in turn."""
-    chunks = V.chunks(spark, sf)
+    chunks = V.stored_chunks(spark, sf)
     groups = X.retrieval_groups(chunks)
     pool = X.group_best(X.top_up(scored(spark, sf), k), groups, X.pool_size(k)).drop("rank")
     picked = X.mmr(pool.select("qid", "chunk_id", "score", "chunk_text"), k)
@@ -382,5 +380,5 @@ def ablation_arms(spark, sf):
 
 @query("rank_to_score", f"WITH {BM25}, {BMTOP} SELECT qid, chunk_id, round(0.9 - 0.1 * rank, 6)::DOUBLE AS score FROM v_top WHERE rank <= 5")
 def rank_to_score(spark, sf):
-    t = R.bm25_search(V.queries(spark, sf), V.chunks(spark, sf), 5)
+    t = V.index(spark, sf).search(V.queries(spark, sf), 5)
     return t.select("qid", "chunk_id", F.round(F.lit(0.9) - 0.1 * F.col("rank"), 6).alias("score"))

@@ -363,8 +363,8 @@ ACTIVE = ("EN", "FR", "DE", "ES")
 )
 def guideline_conflict(spark, sf):
     """For every query and each guideline that could be active: whether its evidence comes from two others or more."""
-    q, c = V.queries(spark, sf), V.chunks(spark, sf)
-    found = RQ.R.bm25_search(q, c, 10).join(c.select("chunk_id", "source"), "chunk_id").groupBy("qid").agg(F.collect_set("source").alias("sources"))  # ten at most
+    q, c = V.queries(spark, sf), V.stored_chunks(spark, sf)
+    found = V.index(spark, sf).search(q, 10).join(c.select("chunk_id", "source"), "chunk_id").groupBy("qid").agg(F.collect_set("source").alias("sources"))  # ten at most
     cases = found.withColumn("active", F.explode(F.array(*[F.lit(a) for a in ACTIVE])))
     return cases.select("qid", "active", K.guideline_conflict(F.col("sources"), F.col("active")).alias("conflict"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidex.functions.text import tokens
+from evidex.operators.postings import InvertedIndex, opened
 from evidex.sources.tables import spread, table
 
 WINDOW_TOKENS, STEP = 200, 180
@@ -47,6 +48,16 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_rows(spread(docs, "doc_id"))
 
 
+def index(spark: SparkSession, sf: str) -> InvertedIndex:
+    """The stored index of all chunks, built at its first use."""
+    return opened(spark, table(spark, sf, "documents"), lambda: chunks(spark, sf))
+
+
+def stored_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """`chunks`, read from the index."""
+    return index(spark, sf).chunks().drop("dl", "ord")
+
+
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items as queries of the English guideline."""
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text", F.lit("EN").alias("guideline"))
