@@ -152,23 +152,30 @@ def trend_terms(spark, sf):
     return table(spark, sf, "events").select("event_id", terms.alias("terms"))
 
 
+#: Rows of a segment in the registered query, so that a user's events make several.
+AUDIT_SEGMENT = 32
+
+
 @query(
     "audit_chain",
-    """WITH RECURSIVE v_p AS (SELECT event_id, user_id, event_type || '|' || event_id || '|' || CAST(floor(value) AS BIGINT) AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
-      v_c AS (SELECT event_id, user_id, n, payload, sha256('genesis' || payload) AS h FROM v_p WHERE n % 512 = 0
-        UNION ALL SELECT p.event_id, p.user_id, p.n, p.payload, sha256(c.h || p.payload) FROM v_c c JOIN v_p p ON p.user_id = c.user_id AND p.n = c.n + 1 WHERE p.n % 512 <> 0),
-      v_s AS (SELECT event_id, user_id, n, h, CASE WHEN event_id % 70 = 0 THEN sha256(h) ELSE h END AS stored, CASE WHEN event_id % 50 = 0 THEN payload || '!' ELSE payload END AS payload FROM v_c),
-      v_v AS (SELECT *, CASE WHEN n % 512 = 0 THEN 'genesis' ELSE lag(stored) OVER (PARTITION BY user_id ORDER BY n) END AS prev FROM v_s)
-      SELECT event_id, h AS chain_hash, stored = sha256(prev || payload) AS valid FROM v_v""",
+    f"""WITH RECURSIVE v_p AS (SELECT event_id, user_id, event_type || '|' || event_id || '|' || CAST(floor(value) AS BIGINT) AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events),
+      v_c AS (SELECT event_id, user_id, n, payload, sha256('genesis' || payload) AS link FROM v_p WHERE n % {AUDIT_SEGMENT} = 0
+        UNION ALL SELECT p.event_id, p.user_id, p.n, p.payload, sha256(c.link || p.payload) FROM v_c c JOIN v_p p ON p.user_id = c.user_id AND p.n = c.n + 1 WHERE p.n % {AUDIT_SEGMENT} <> 0),
+      v_d AS (SELECT user_id, n // {AUDIT_SEGMENT} AS seg, max_by(link, n) AS digest FROM v_c GROUP BY user_id, n // {AUDIT_SEGMENT}),
+      v_l AS (SELECT user_id, seg, sha256('genesis' || digest) AS up FROM v_d WHERE seg = 0 UNION ALL SELECT d.user_id, d.seg, sha256(l.up || d.digest) FROM v_l l JOIN v_d d ON d.user_id = l.user_id AND d.seg = l.seg + 1),
+      v_h AS (SELECT c.*, sha256(coalesce(sha256('genesis' || up), 'genesis') || link) AS h FROM v_c c LEFT JOIN v_l l ON l.user_id = c.user_id AND l.seg = c.n // {AUDIT_SEGMENT} - 1),
+      v_s AS (SELECT *, CASE WHEN event_id % 70 = 0 THEN sha256(h) ELSE h END AS stored, CASE WHEN event_id % 50 = 0 THEN payload || '!' ELSE payload END AS told FROM v_h),
+      v_v AS (SELECT *, CASE WHEN n % {AUDIT_SEGMENT} = 0 THEN 'genesis' ELSE lag(link) OVER (PARTITION BY user_id ORDER BY n) END AS prev FROM v_s)
+      SELECT event_id, h AS chain_hash, link = sha256(prev || told) AND stored = h AS valid FROM v_v""",
 )
 def audit_chain(spark, sf):
     """Chains of each user's events, then read again after some rows (every 50th id) and some hashes (every 70th) were altered."""
     k = F.col("event_id")
     payload = F.concat_ws("|", "event_type", k.cast("string"), F.floor("value").cast("long").cast("string"))
-    chained = A.audit_chain(table(spark, sf, "events").select("user_id", k, "ts", payload.alias("payload")), "user_id", ["ts", "event_id"], "payload")
+    chained = A.audit_chain(table(spark, sf, "events").select("user_id", k, "ts", payload.alias("payload")), "user_id", ["ts", "event_id"], "payload", AUDIT_SEGMENT)
     stored = F.when(k % 70 == 0, F.sha2("chain_hash", 256)).otherwise(F.col("chain_hash"))
     altered = chained.withColumns({"stored": stored, "payload": F.when(k % 50 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))})
-    return A.audit_verify(altered, "user_id", "payload", "stored").select("event_id", "chain_hash", "valid")
+    return A.audit_verify(altered, "user_id", "payload", stored="stored", segment=AUDIT_SEGMENT).select("event_id", "chain_hash", "valid")
 
 
 @query("action_lookup", f"WITH {RISK} SELECT category, CASE category {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {sql_list(a)}' for c, a in K.ACTIONS.items())} END AS actions FROM (SELECT DISTINCT category FROM v_risk)")
