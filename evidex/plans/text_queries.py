@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidex.functions import text as T
 from evidex.plans.registry import query, sql_list
 from evidex.sources import corpus
 from evidex.sources import views as V
+from evidex.sources.store import EvidenceStore
 from evidex.sources.tables import checkpoint_folder, table
 
 
@@ -40,12 +43,18 @@ def vector_parse(spark, sf):
     return v.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size("v").alias("width"))
 
 
+def new_store(spark):
+    """A store in a folder that no other call uses."""
+    return EvidenceStore(spark, f"{checkpoint_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
 @query("ingest_documents")
 def ingest_documents(spark, sf):
-    
-    base = checkpoint_folder(spark)
-    _, chunks = corpus.ingest(table(spark, sf, "documents").select("doc_id", "text", "source"), f"{base}/ingest-{spark.sparkContext.applicationId}")
-    return chunks.select("document_id", "chunk_index", "section", "content_id", "source")
+    """Documents ingested in two batches, the second half of them twice, and read again from the store."""
+    store, docs = new_store(spark), table(spark, sf, "documents").select("doc_id", "text", "source")
+    store.ingest(docs, batches=2)
+    store.ingest(docs.where("doc_id % 2 = 1"))
+    return store.chunks().select("document_id", "chunk_index", "section", "content_id", "source")
 
 
 @query("results_export", "SELECT qid, array_to_string(list(phrase ORDER BY nth), ', ') AS phrases FROM v_phrases GROUP BY qid")
@@ -60,11 +69,20 @@ def joined_ids_parse(spark, sf):
     return d.select("doc_id", T.joined_ids(F.col("s")).alias("ids"))
 
 
-@query("resume_grid", "SELECT b.source AS backbone, a.lang AS arm FROM (SELECT DISTINCT source FROM documents) b, (SELECT DISTINCT lang FROM documents) a WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id % 37 = 0 AND d.source = b.source AND d.lang = a.lang)")
+@query(
+    "resume_grid",
+    """WITH v_c AS (SELECT DISTINCT source, lang FROM documents), v_n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang)
+      SELECT b.source AS backbone, a.lang AS arm, CASE WHEN n IS NULL THEN 'open' WHEN n % 3 = 0 THEN 'failed' WHEN n % 3 = 1 THEN 'done' ELSE 'open' END AS status
+      FROM (SELECT DISTINCT source FROM v_c) b CROSS JOIN (SELECT DISTINCT lang FROM v_c) a LEFT JOIN v_n n ON n.source IS NOT DISTINCT FROM b.source AND n.lang IS NOT DISTINCT FROM a.lang""",
+)
 def resume_grid(spark, sf):
-    d = table(spark, sf, "documents")
-    done = d.where("doc_id % 37 = 0").select(F.col("source").alias("backbone"), F.col("lang").alias("arm")).distinct()
-    return corpus.open_cells(d.select(F.col("source").alias("backbone")).distinct(), d.select(F.col("lang").alias("arm")).distinct(), done)
+    """A grid of sources and languages after two runs: cells whose number of documents leaves 1 of 3 were done, in the first run or after failing in it; those that leave 0 failed."""
+    d, store = table(spark, sf, "documents"), new_store(spark)
+    n = d.groupBy(F.col("source").alias("backbone"), F.col("lang").alias("arm")).agg(F.count("*").alias("n"))
+    store.finish(n.where("n % 3 < 2").withColumn("status", F.when(F.col("n") % 2 == 0, "failed").when(F.col("n") % 3 == 1, "done").otherwise("failed")), "first")
+    store.finish(n.where("n % 3 = 1 and n % 2 = 0").withColumn("status", F.lit("done")), "second")
+    grid = d.select(F.col("source").alias("backbone")).distinct().crossJoin(F.broadcast(d.select(F.col("lang").alias("arm")).distinct()))
+    return store.cells(grid).select("backbone", "arm", "status")
 
 
 @query("union_corpus", "SELECT chunk_id, CASE WHEN chunk_index = 0 THEN 'gold' ELSE 'distractor' END AS role FROM v_chunks")

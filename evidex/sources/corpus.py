@@ -109,20 +109,18 @@ def sentence_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 512
 
     def pack(text: str) -> list[str]:
         parts = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
-        out, held, n = [], [], 0
+        out, held, sizes = [], [], []
         for s in parts:
             k = len(s.split())
-            if held and n + k > size:
+            if held and sum(sizes) + k > size:
                 out.append(" ".join(held))
-                tail, m = [], 0
-                for x in reversed(held):
-                    if m + len(x.split()) > overlap:
-                        break
-                    tail.insert(0, x)
-                    m += len(x.split())
-                held, n = tail, m
+                keep, m = len(held), 0
+                while keep and m + sizes[keep - 1] <= overlap:
+                    keep -= 1
+                    m += sizes[keep]
+                held, sizes = held[keep:], sizes[keep:]
             held.append(s)
-            n += k
+            sizes.append(k)
         return out + ([" ".join(held)] if held else [])
 
     def run(batches):
@@ -150,20 +148,6 @@ def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 128, o
     )
 
 
-def ingest(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", name_col: str = "source", clear: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Write a registry and chunks linked by document_id under `folder`, and read them again.
-
-    Chunks are partitioned by source. `clear` replaces what is there.
-    """
-    spark, mode = docs.sparkSession, "overwrite" if clear else "append"
-    registry = docs.select(F.col(id_col).alias("document_id"), F.col(name_col).alias("name"), F.lit(True).alias("active"))
-    chunks = sentence_chunks(docs, id_col, text_col).withColumnRenamed("doc_id", "document_id")
-    chunks = chunks.join(registry.select("document_id", F.col("name").alias("source")), "document_id")
-    registry.write.mode(mode).parquet(f"{folder}/registry")
-    chunks.write.mode(mode).partitionBy("source").parquet(f"{folder}/chunks")
-    return spark.read.parquet(f"{folder}/registry"), spark.read.parquet(f"{folder}/chunks")
-
-
 def flat_export(rows: DataFrame) -> DataFrame:
     """Arrays of strings as joined text, for CSV."""
     return rows.select(*[F.array_join(f.name, ", ").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in rows.schema.fields])
@@ -176,11 +160,6 @@ def first_per_id(gold: DataFrame, distractors: DataFrame, id_col: str) -> DataFr
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_rank")
 
 
-def open_cells(backbones: DataFrame, arms: DataFrame, done: DataFrame) -> DataFrame:
-    """(backbone, arm) pairs of the grid without a finished result."""
-    return backbones.crossJoin(arms).join(done, ["backbone", "arm"], "left_anti")
-
-
 def index_health(chunks: DataFrame, stamp_col: str) -> DataFrame:
     """Row count, latest ingest, and what they say of the index."""
     return chunks.agg(F.count("*").alias("total_chunks"), F.max(stamp_col).alias("last_ingestion")).select(
