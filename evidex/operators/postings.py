@@ -16,7 +16,7 @@ brought in.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,6 +78,7 @@ class InvertedIndex:
     folders: int
     n_chunks: int
     avgdl: float
+    beside: set[str] = field(default_factory=set)  # what was written beside it
 
     @classmethod
     def build(cls, chunks: DataFrame, folder: str) -> InvertedIndex:

@@ -181,11 +181,6 @@ def rrf_fuse(spark, sf):
     return X.rrf(lists(spark, sf)).select("qid", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("hybrid_arm", f"WITH {LISTS} SELECT qid, chunk_id, rank FROM v_rrf WHERE rank <= 5")
-def hybrid_arm(spark, sf):
-    return X.rrf(lists(spark, sf)).where("rank <= 5").select("qid", "chunk_id", "rank")
-
-
 OVERLAP = f"""{LISTS}, v_pair AS (SELECT r.qid, r.chunk_id, r.rank, coalesce(sum(i.idf) FILTER (WHERE p.chunk_id IS NOT NULL), 0) / sum(i.idf) AS rel
   FROM v_rrf r JOIN v_qt t USING (qid) JOIN v_idf i USING (term) LEFT JOIN v_post p ON p.chunk_id = r.chunk_id AND p.term = t.term GROUP BY r.qid, r.chunk_id, r.rank)"""
 
@@ -344,28 +339,6 @@ def sibling_expand(spark, sf):
     return X.siblings(best_groups(spark, sf).where("rank <= 3").select("qid", "chunk_id", "score"), V.stored_chunks(spark, sf))
 
 
-@query("retrieve_basic", f"WITH {OVERLAP} {ranked_sql('SELECT qid, chunk_id, rel AS score FROM v_pair WHERE rank <= 10', 5, cols='qid, chunk_id, rank, round(score, 4) AS score')}")
-def retrieve_basic(spark, sf):
-    p = pair_scores(spark, sf).where("rank <= 10").select("qid", "chunk_id", F.col("rel").alias("score"))
-    return R.top_k(p, 5).select("qid", "chunk_id", "rank", F.round("score", 4).alias("score"))
-
-
-def retrieve_full_rows(spark, sf, k=5):
-    """Guideline top-up, metadata score, groups, diversity, coverage, expansion and siblings in turn."""
-    chunks = V.stored_chunks(spark, sf)
-    groups = X.retrieval_groups(chunks)
-    pool = X.group_best(X.top_up(scored(spark, sf), k), groups, X.pool_size(k)).drop("rank")
-    picked = X.mmr(pool.select("qid", "chunk_id", "score", "chunk_text"), k)
-    picked = X.coverage_swap(picked, pool.select("qid", "chunk_id", "score", "section", "baseline"))
-    grown = X.group_expand(picked.select("qid", "chunk_id", "score", "rank"), groups).join(picked.select("qid", F.col("rank").alias("group_rank"), "score"), ["qid", "group_rank"])
-    return grown.select("qid", "chunk_id", "score", "group_rank").unionByName(X.siblings(grown.select("qid", "chunk_id", "score"), chunks).select("qid", "chunk_id", "score", "group_rank"))
-
-
-@query("retrieve_full")
-def retrieve_full(spark, sf):
-    return retrieve_full_rows(spark, sf)
-
-
 def arms(spark, sf, k=10):
     """The ranked lists of several arms: bm25, keyword, and both fused."""
     both = lists(spark, sf)
@@ -373,11 +346,6 @@ def arms(spark, sf, k=10):
     return both.select("qid", F.col("list").alias("arm"), "chunk_id", "rank").unionByName(fused)
 
 
-@query("ablation_arms", f"WITH {LISTS} SELECT list AS arm, qid, chunk_id, rank FROM v_lists UNION ALL SELECT 'hybrid', qid, chunk_id, rank FROM v_rrf WHERE rank <= 10")
-def ablation_arms(spark, sf):
-    return arms(spark, sf).select("arm", "qid", "chunk_id", "rank")
-
-
 @query("rank_to_score", f"WITH {BM25}, {BMTOP} SELECT qid, chunk_id, round(0.9 - 0.1 * rank, 6)::DOUBLE AS score FROM v_top WHERE rank <= 5")
 def rank_to_score(spark, sf):
     t = V.index(spark, sf).search(V.queries(spark, sf), 5)
