@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it
 kept; the driver writes each result as Parquet and reads it again. All but the
 last return the columns of documents.
+
+In every stage a null text counts as empty, a null id is an id, a text of any
+length is read whole, rows that are repeated are rows of their own, columns
+beyond those of documents stay as they are whatever their names, and an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,27 +21,27 @@ from evidex.llm._shared import shared_folder, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the certified cut-offs."""
+    """Documents that pass the base rule and the certified cut-offs; empty and null texts fail it, equal texts fare alike."""
     return rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with some certainty."""
+    """Documents whose language is known with some certainty; texts without letters are not, equal texts fare alike."""
     return langid.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id (null last, then by hash of the row); texts without words are one group."""
     return simhash.keep_first(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target weight asks for."""
+    """Documents as often as their source's target weight asks for; a text without words is never taken, ties of rank are cut by hash."""
     return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens, in order of id (null first) and hash of the text."""
     return packing.pack(docs, packing.word_vocabulary)
 
 
