@@ -59,6 +59,8 @@ class Words:
         stem = word.rstrip(MARKS)
         if stem.isalnum():  # ASCII letters and digits only
             return stem.lower(), word[len(stem) :]
+        if len(stem) == len(word):  # no closing marks
+            return word, b""
         text = stem.decode("utf-8", "replace")
         if text.isalnum():  # what the vocabulary makes of its last letter may end in a mark that joins the others
             folded = unicodedata.normalize("NFC", text).lower()
