@@ -290,42 +290,27 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return x @ q.T / np.where(norm == 0, 1e-10, norm)
 
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, limit: int = BLOCK_QUERIES, index: Index | None = None) -> DataFrame:
-    """The k nearest vectors of each query by cosine; exactly, or by the lists of `index`.
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, limit: int = BLOCK_QUERIES) -> DataFrame:
+    """The k nearest vectors of each query by cosine, exactly.
 
     queries (qid, vec), qid unique, are read in blocks of `limit`; each block
     is held against all vectors (id, vec) by matrix products next to the data.
-    With an index, a vector is compared with the queries that probe its list.
     """
-    spark, sent_index = vectors.sparkSession, None
-    if index is not None:
-        sent_index = spark.sparkContext.broadcast(index)  # centres: a bounded number of lists
-        vectors = vectors.withColumn("list", index.nearest_list(sent_index)("vec"))
-    slim = vectors.select("id", "vec", *(["list"] if index else []))
+    spark = vectors.sparkSession
+    slim = vectors.select("id", "vec")
 
     def run(part):
-        ids, mat = part
-        sent = spark.sparkContext.broadcast((ids, mat, index.probed(mat) if index else None))  # `limit` vectors
-        step = max(1, SMALL_MATRIX // len(ids))
+        sent = spark.sparkContext.broadcast(part)  # `limit` vectors
+        step = max(1, SMALL_MATRIX // len(part[0]))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, mat, probed = sent.value
+            ids, mat = sent.value
             top = Best(len(ids), k)
             for pdf in batches:
                 for lo in range(0, len(pdf), step):
                     x = np.array(pdf["vec"].iloc[lo : lo + step].tolist(), dtype=np.float64)
-                    if not len(x):
-                        continue
-                    name = pdf["id"].iloc[lo : lo + step].to_numpy()
-                    if probed is None:
-                        top.add(name, cosines(mat, x))
-                        continue
-                    at, s = pdf["list"].iloc[lo : lo + step].to_numpy(), np.full((len(x), len(ids)), -np.inf)
-                    for c in np.unique(at):
-                        asks, rows = np.flatnonzero(probed[:, c]), np.flatnonzero(at == c)
-                        if len(asks):
-                            s[np.ix_(rows, asks)] = cosines(mat[asks], x[rows])
-                    top.add(name, s)
+                    if len(x):
+                        top.add(pdf["id"].iloc[lo : lo + step].to_numpy(), cosines(mat, x))
             got = top.kept
             yield pd.DataFrame({"qid": [ids[j] for j in got["q"]], "vec_id": got["id"], "score": got["key"]})
 
@@ -389,13 +374,6 @@ def ann_index(vectors: DataFrame, k: int = 10, recall: float = 0.97, lists: int
     return index
 
 
-def ann_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, recall: float = 0.97) -> DataFrame:
-    """Approximate dense_topk: vectors are filed under their nearest centre, and a query sees the lists it probes."""
-    if not vectors.take(1):
-        return dense_topk(queries, vectors, k)
-    return dense_topk(queries, vectors, k, index=ann_index(vectors, k, recall))
-
-
 def chunk_keywords(text_col: str = "chunk_text") -> Column:
     """Keywords of a chunk: its distinct words of four letters or more."""
     return words_at_least(text_col, 4)

@@ -8,6 +8,7 @@ from evidex.functions import query as Q
 from evidex.functions.text import has_any, tokens
 from evidex.operators import fusion as X
 from evidex.operators import retrieval as R
+from evidex.operators.lists import opened
 from evidex.plans.registry import query, sql_list
 from evidex.sources import views as V
 from evidex.sources.tables import table
@@ -56,7 +57,8 @@ def dense_topk(spark, sf):
 
 @query("ann_ivf_topk")
 def ann_ivf_topk(spark, sf):
-    return R.ann_topk(*vector_tables(spark, sf)).select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
+    queries, vectors = vector_tables(spark, sf)
+    return opened(spark, table(spark, sf, "embeddings"), lambda: vectors).search(queries, 10).select("qid", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("guideline_mask", f"WITH {BM25} {ranked_sql('SELECT b.* FROM v_bm b JOIN v_chunks c USING (chunk_id) JOIN v_queries q USING (qid) WHERE c.source = q.guideline', 10, cols='qid, chunk_id, rank, round(score, 6) AS score')}")

@@ -131,8 +131,6 @@ def test_dense_matches_cosine(spark, sf):
     exact = {(r.qid, r.vec_id) for r in retrieval.dense_topk(q, v).collect()}
     plain = retrieval.top_k(q.withColumnRenamed("vec", "qv").crossJoin(v).select("qid", F.col("id").alias("vec_id"), retrieval.cosine(F.col("qv"), F.col("vec")).alias("score")), 10, tie="vec_id")
     assert exact == {(r.qid, r.vec_id) for r in plain.collect()}
-    near = {(r.qid, r.vec_id) for r in retrieval.ann_topk(q, v).collect()}
-    assert len(near & exact) / len(exact) >= 0.9
 
 
 def test_source_rules(spark):
