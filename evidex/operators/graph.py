@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidex.functions.text import has_any, words_at_least
 from evidex.operators.fusion import tier_of_text, tier_score
+from evidex.operators.postings import stored
+from evidex.operators.retrieval import top_k
 
 #: Edge types that a graph may hold; fixed values.
 EDGE_TYPES = ("RECOMMENDS", "TREATS", "HAS_RISK_FACTOR", "HAS_SYMPTOM", "REQUIRES", "STOP_IF", "MONITOR_WITH", "CONTRAINDICATED_IN", "HAS_DOSE", "SUPPORTED_BY", "ACTIVE_AGAINST", "PRESCRIBES")
@@ -117,11 +122,50 @@ def unreachable_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.where("relationship = 'RECOMMENDS'").select(F.col("from_id").alias("id")), "id", "left_anti")
 
 
-def two_steps(edges: DataFrame, start: DataFrame, first: str, second: str) -> DataFrame:
-    """(id, entity): what `start` ids reach over `first`, and what that reaches over `second`."""
-    one = start.join(edges.where(F.col("relationship") == first).select(F.col("from_id").alias("id"), F.col("to_id").alias("entity")), "id")
-    two = one.join(edges.where(F.col("relationship") == second).select(F.col("from_id").alias("entity"), F.col("to_id").alias("next")), "entity").select("id", F.col("next").alias("entity"))
-    return one.select("id", "entity").union(two).distinct()
+#: Edges of a node above which they are dealt to several tasks.
+HUB_EDGES = 1 << 16
+
+
+@dataclass(frozen=True)
+class Step:
+    """One step of a path: over edges of a relationship (None: any), against their direction if `back`, to nodes of a kind (None: any)."""
+
+    relationship: str | None = None
+    back: bool = False
+    kind: str | None = None
+
+
+def step(reached: DataFrame, edges: DataFrame, nodes: DataFrame, how: Step) -> DataFrame:
+    """(id, entity) after one step from `reached` (id, entity), without repeats; the edges of a hub are dealt to several tasks."""
+    used = edges.where(F.col("relationship") == how.relationship) if how.relationship else edges
+    here, there = ("to_id", "from_id") if how.back else ("from_id", "to_id")
+    used = used.select(F.col(here).alias("entity"), F.col(there).alias("_next")).where("entity is not null and _next is not null").distinct()
+    if how.kind is not None:
+        used = used.join(nodes.where(F.col("kind") == how.kind).select(F.col("node").alias("_next")).distinct(), "_next", "left_semi")
+    hubs = used.groupBy("entity").agg(F.ceil(F.count("*") / HUB_EDGES).cast("int").alias("_parts")).where("_parts > 1")
+    dealt = used.join(hubs, "entity", "left").withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.hash("_next"), F.col("_parts"))).otherwise(0))
+    asking = reached.join(hubs, "entity", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
+    return asking.select("id", "entity", "_part").join(dealt.select("entity", "_part", "_next"), ["entity", "_part"]).select("id", F.col("_next").alias("entity")).distinct()
+
+
+def follow(edges: DataFrame, nodes: DataFrame, start: DataFrame, paths: list[tuple[Step, ...]]) -> DataFrame:
+    """(id, entity): the nodes at which any of `paths` ends, for each start id; no repeats.
+
+    edges (from_id, relationship, to_id), nodes (node, kind), start (id). A
+    beginning that several paths share is walked once and written between steps.
+    """
+    walked: dict[tuple[Step, ...], DataFrame] = {(): start.select("id", F.col("id").alias("entity")).distinct()}
+    shared = {p[:n] for p in paths for n in range(1, len(p))}
+    for path in sorted(set(paths) | shared, key=len):
+        found = step(walked[path[:-1]], edges, nodes, path[-1])
+        walked[path] = stored(found) if path in shared else found
+    return reduce(DataFrame.unionByName, [walked[p] for p in dict.fromkeys(paths)]).distinct()
+
+
+def recommendation_entities(edges: DataFrame, nodes: DataFrame, start: DataFrame, dose: str = "Dose", relationship: str = "HAS_DOSE") -> DataFrame:
+    """(id, entity): what a recommendation leads to; for a dose also the drugs that have it, and what these lead to."""
+    to_dose, drug = Step(kind=dose), Step(relationship, back=True)
+    return follow(edges, nodes, start, [(Step(),), (to_dose, drug), (to_dose, drug, Step())])
 
 
 def named(text: Column, dictionary: dict) -> Column:
@@ -149,35 +193,57 @@ def calibrate(recs: DataFrame, chunks: DataFrame, reach: int = 15, least: int =
     return by.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-#: Queries of a block that is held against all recommendations.
-BLOCK = 1_024
+def heads(recs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The posting tables of recommendations: heads, and words under heads.
 
-
-def candidates(queries: DataFrame, recs: DataFrame, baseline_kinds: tuple[str, ...]) -> DataFrame:
-    """(qid, rec_id, section_type, baseline, score) of the recommendations that match a query or are baseline.
-
-    100 points where both name an entity, 10 where the query points to the
-    section's kind, 5 for a baseline section without either, one for each
-    shared word of four letters, and 20 for the same severity tier (-20 for the
-    other). queries (qid, text) are held in blocks of about `BLOCK` against all
-    recs (rec_id, section_type, text_summary); null texts have no words and no names.
+    A head is what recommendations share but for their words: an entity (or
+    none), the kind of their section and their tier. Heads (head, entity, kind,
+    tier, first) hold the k smallest ids; words (head, w, rec_id) all.
+    """
+    summary = F.coalesce("text_summary", F.lit(""))
+    r = recs.select("rec_id", F.col("section_type").alias("kind"), words_at_least("text_summary", 4, True).alias("rw"), named(summary, SURFACE).alias("re"), tier_of_text(summary).alias("tier"))
+    r = r.withColumn("entity", F.explode(F.concat(F.array(F.lit("")), "re"))).withColumn("head", F.to_json(F.struct("entity", "kind", "tier"))).drop("re")
+    w = Window.partitionBy("head").orderBy("rec_id")
+    first = r.drop("rw").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    first = first.groupBy("head").agg(*(F.first(c).alias(c) for c in ("entity", "kind", "tier")), F.array_sort(F.collect_list("rec_id")).alias("first"))
+    return stored(first), r.select("head", F.explode("rw").alias("w"), "rec_id")
+
+
+def candidates(queries: DataFrame, recs: DataFrame, baseline_kinds: tuple[str, ...], k: int = 10) -> DataFrame:
+    """(qid, rec_id, section_type, baseline, score): the k best recommendations of each query and kind of section.
+
+    Those that match a query or are baseline score 100 points where both name an
+    entity, 10 where the query points to the section's kind, 5 for a baseline
+    section without either, one for each shared word of four letters, and 20 for
+    the same severity tier (-20 for the other); ties by id. queries (qid
+    unique, text), recs (rec_id unique, section_type, text_summary); null texts
+    have no words and no names.
+
+    All but the words is the same for all recommendations under a head, so a
+    query has its points for whole heads, and its k-th best of their first ids
+    bounds its k-th best score from below. Only heads that can reach this with
+    all of the query's words are joined word by word.
     """
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    text, summary = empty("text"), empty("text_summary")
-    q = queries.select("qid", words_at_least("text", 4, True).alias("qw"), named(text, SURFACE).alias("qe"), named(text, SECTION_WORDS).alias("qs"), tier_of_text(text).alias("qt"))
-    r = recs.select("rec_id", "section_type", words_at_least("text_summary", 4, True).alias("rw"), named(summary, SURFACE).alias("re"), tier_of_text(summary).alias("rt"))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    entity, section = F.arrays_overlap("qe", "re"), F.coalesce(F.array_contains("qs", F.col("section_type")), F.lit(False))
-    baseline = F.coalesce(F.col("section_type").isin(*baseline_kinds), F.lit(False))
-    points = 100 * entity.cast("int") + 10 * section.cast("int") + F.when(baseline & ~entity & ~section, 5).otherwise(0)
-    score = points + F.size(F.array_intersect("qw", "rw")) + 20 * tier_score(F.col("qt"), F.col("rt"))
-    out = None
-    for b in range(blocks):
-        part = r.join(F.broadcast(q.where(block == b)), entity | section | baseline)
-        part = part.select("qid", "rec_id", "section_type", baseline.alias("baseline"), score.cast("double").alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    text = F.coalesce("text", F.lit(""))
+    q = stored(queries.select("qid", words_at_least("text", 4, True).alias("qw"), named(text, SURFACE).alias("qe"), named(text, SECTION_WORDS).alias("qs"), tier_of_text(text).alias("qt")))
+    head, words = heads(recs, k)
+    by_entity = q.select("*", F.explode("qe").alias("entity")).join(head.where("entity <> ''"), "entity")
+    wanted = F.array_union("qs", F.array(*(F.lit(x) for x in baseline_kinds)).cast("array<string>"))
+    by_kind = q.select("*", F.explode(wanted).alias("kind")).join(head.where("entity = ''"), "kind")
+    section = F.coalesce(F.array_contains("qs", F.col("kind")), F.lit(False))
+    points = F.when(F.col("entity") != "", 100 + 10 * section.cast("int")).otherwise(F.when(section, 10).otherwise(5)) + 20 * tier_score(F.col("qt"), F.col("tier"))
+    cols = ["qid", "head", "kind", "first", "qw", points.alias("points")]
+    asked = stored(by_entity.select(*cols).unionByName(by_kind.select(*cols)))
+
+    known = asked.select("qid", "kind", "points", F.explode("first").alias("rec_id")).groupBy("qid", "kind", "rec_id").agg(F.max("points").alias("score"))
+    floor = top_k(known, k, by=("qid", "kind"), tie="rec_id").groupBy("qid", "kind").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    able = asked.join(floor.withColumnRenamed("qid", "_q").withColumnRenamed("kind", "_k"), (F.col("qid") == F.col("_q")) & F.col("kind").eqNullSafe(F.col("_k")))
+    able = able.where(F.col("floor").isNull() | (F.col("points") + F.size("qw") >= F.col("floor")))
+    shared = able.select("qid", "kind", "head", "points", F.explode("qw").alias("w")).join(words, ["head", "w"])
+    shared = shared.groupBy("qid", "kind", "rec_id", "head").agg((F.max("points") + F.count("*")).alias("score")).drop("head")
+    scored = known.unionByName(shared).groupBy("qid", "kind", "rec_id").agg(F.max("score").cast("double").alias("score"))
+    best = top_k(scored, k, by=("qid", "kind"), tie="rec_id")
+    return best.select("qid", "rec_id", F.col("kind").alias("section_type"), F.coalesce(F.col("kind").isin(*baseline_kinds), F.lit(False)).alias("baseline"), "score")
 
 
 def page_window(recs: DataFrame, chunks: DataFrame, reach: int = 5) -> DataFrame:

@@ -38,11 +38,11 @@ def edge_repair(spark, sf):
     return fixed.groupBy("relationship", section.alias("section")).agg(F.count("*").alias("n"))
 
 
-@query("derive_edges", "SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'HAS_DOSE' AS relationship, 'part:' || l_partkey AS to_id FROM lineitem WHERE l_linenumber <= 2 AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_linenumber = 1 AND x.l_orderkey = lineitem.l_orderkey AND x.l_partkey = lineitem.l_partkey)")
+@query("derive_edges", "SELECT DISTINCT 'order:' || l_orderkey AS from_id, 'HAS_DOSE' AS relationship, 'part:' || l_partkey AS to_id FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_linenumber = 1 AND x.l_orderkey = lineitem.l_orderkey AND x.l_partkey = lineitem.l_partkey)")
 def derive_edges(spark, sf):
     li = table(spark, sf, "lineitem").select("l_linenumber", F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("drug"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dose"))
     have = li.where("l_linenumber = 1").select(F.col("drug").alias("from_id"), F.lit("HAS_DOSE").alias("relationship"), F.col("dose").alias("to_id"))
-    return G.derived_doses(have, li.where("l_linenumber <= 2"))
+    return G.derived_doses(have, li)
 
 
 @query("build_graph", f"SELECT relationship, split_part(from_id, ':', 1) AS from_kind, split_part(to_id, ':', 1) AS to_kind, count(*) AS n FROM v_edges WHERE list_contains({sql_list(G.EDGE_TYPES)}, relationship) GROUP BY ALL")
@@ -58,10 +58,21 @@ def root_reachability(spark, sf):
     return G.unreachable_roots(nodes, edges)
 
 
-@query("typed_traversal", "WITH v_one AS (SELECT 'customer:' || o_custkey AS id, 'order:' || o_orderkey AS entity FROM orders) SELECT id, entity FROM v_one UNION SELECT id, e.to_id FROM v_one JOIN v_edges e ON e.from_id = v_one.entity AND e.relationship = 'HAS_DOSE'")
+@query(
+    "typed_traversal",
+    """WITH v_one AS (SELECT 'customer:' || o_custkey AS id, 'order:' || o_orderkey AS entity FROM orders),
+      v_sup AS (SELECT from_id AS id, to_id AS entity FROM v_edges WHERE from_id LIKE 'supplier:%'),
+      v_drug AS (SELECT id, e.from_id AS entity FROM v_sup JOIN v_edges e ON e.to_id = v_sup.entity AND e.relationship = 'RECOMMENDS' WHERE v_sup.entity LIKE 'nation:%')
+      SELECT id, entity FROM v_one UNION SELECT id, e.to_id FROM v_one JOIN v_edges e ON e.from_id = v_one.entity AND e.relationship = 'HAS_DOSE'
+      UNION SELECT * FROM v_sup UNION SELECT * FROM v_drug UNION SELECT id, e.to_id FROM v_drug JOIN v_edges e ON e.from_id = v_drug.entity""",
+)
 def typed_traversal(spark, sf):
-    start = table(spark, sf, "customer").select(F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
-    return G.two_steps(V.edges(spark, sf), start, "REQUIRES", "HAS_DOSE")
+    """Customers over orders to parts; suppliers as recommendations, with nations for doses and regions for the drugs that have them."""
+    edges = V.edges(spark, sf)
+    ids = lambda t, a, c: table(spark, sf, t).select(F.concat(F.lit(a), F.col(c).cast("string")).alias("id"))
+    nations = ids("nation", "nation:", "n_nationkey").select(F.col("id").alias("node"), F.lit("nation").alias("kind"))
+    bought = G.follow(edges, nations, ids("customer", "customer:", "c_custkey"), [(G.Step("REQUIRES"),), (G.Step("REQUIRES"), G.Step("HAS_DOSE"))])
+    return bought.unionByName(G.recommendation_entities(edges, nations, ids("supplier", "supplier:", "s_suppkey"), "nation", "RECOMMENDS"))
 
 
 def _named_sql(dictionary) -> str:
@@ -108,11 +119,11 @@ CAND = f"""v_gq AS (SELECT qid, {_WORDS.format('text')} AS qw, {_named_sql(G.SUR
 
 
 def candidates(spark, sf):
-    """Recommendations of the query's guideline that match it or are baseline."""
+    """The ten best recommendations of the query's guideline of each kind, of those that match it or are baseline."""
     return G.candidates(V.queries(spark, sf), V.recommendations(spark, sf).where("guideline_id = 'EN'"), BASELINE_KINDS)
 
 
-@query("graph_candidates", f"WITH {CAND} SELECT qid, rec_id, baseline, score FROM v_gc")
+@query("graph_candidates", f"WITH {CAND} SELECT qid, rec_id, baseline, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, section_type ORDER BY score DESC, rec_id) AS n FROM v_gc) WHERE n <= 10")
 def graph_candidates(spark, sf):
     return candidates(spark, sf).select("qid", "rec_id", "baseline", "score")
 

@@ -52,12 +52,11 @@ def test_graph_candidates_of_all_documents(spark, late):
     assert len(got) == len(want) and set(got) == want
 
 
-@pytest.mark.parametrize("block", [1, 3, 1024])
-def test_graph_points_of_every_kind_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(G, "BLOCK", block)
+@pytest.mark.parametrize("k", [5, 1000])
+def test_graph_points_of_every_kind(spark, k):
     texts = ["gentamicin dose", "monitor trough levels", "critical illness and gbs", "possible serious bacterial infection", "nothing", "", None, "Monitor GBS"]
     recs = [("R1", "Monitoring", "monitor gentamicin trough levels"), ("R2", "RiskFactors", "maternal gbs in critical illness"), ("R3", "Duration", "psbi for seven days"), ("R4", "RiskFactors", None), ("R5", None, "gentamicin")]
-    got = G.candidates(spark.createDataFrame(list(enumerate(texts)), "qid int, text string"), spark.createDataFrame(recs, "rec_id string, section_type string, text_summary string"), BASELINE_KINDS).collect()
+    got = G.candidates(spark.createDataFrame(list(enumerate(texts)), "qid int, text string"), spark.createDataFrame(recs, "rec_id string, section_type string, text_summary string"), BASELINE_KINDS, k).collect()
     want = {(q, rec, float(p)) for q, t in enumerate(texts) for rec, kind, s in recs for m, p in [graph_points(t or "", kind, s or "")] if m}
     assert len(got) == len(want) and {(r.qid, r.rec_id, r.score) for r in got} == want
     assert {p for _, _, p in want} > {5.0, 101.0} and any(p < 0 for _, _, p in want)
