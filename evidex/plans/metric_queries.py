@@ -214,7 +214,7 @@ def holm_adjust(spark, sf):
 def bootstrap_ci(spark, sf):
     m = case_metrics(spark, sf).where(~F.isnan("mrr"))
     wide = m.groupBy("qid").pivot("arm", ["bm25", "hybrid"]).agg(F.max("mrr"))
-    return M.bootstrap_ci(wide.select((F.col("hybrid") - F.col("bm25")).alias("d")), "d")
+    return M.bootstrap_ci(wide.select("qid", (F.col("hybrid") - F.col("bm25")).alias("d")), "d", "qid")
 
 
 @query("rate_by_arm", "SELECT event_type AS arm, round(avg((value > 100)::INT), 6) AS verified, round(avg(event_id % 4), 6) AS mean_steps, round(avg((value < 5)::INT), 6) AS incomplete FROM events GROUP BY event_type")

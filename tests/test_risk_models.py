@@ -57,7 +57,7 @@ def test_champion_has_the_best_mean(spark):
 
 def test_bootstrap_interval_is_that_of_resampling(spark):
     x = np.random.default_rng(2).normal(0.3, 1, 60)
-    got = metrics.bootstrap_ci(spark.createDataFrame([(float(v),) for v in x], "d double"), "d").first()
+    got = metrics.bootstrap_ci(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id int, d double"), "d", "id").first()
     means = np.random.default_rng(4).choice(x, (4000, 60)).mean(axis=1)
     lo, hi = np.percentile(means, [2.5, 97.5])
     assert got.lo == pytest.approx(lo, abs=0.08) and got.hi == pytest.approx(hi, abs=0.08) and got["mean"] == pytest.approx(x.mean(), abs=0.03)
