@@ -14,13 +14,12 @@ from evidex.sources.tables import checkpoint_folder
 from evidex.streaming import jobs
 
 
-def stream_of(spark, sf):
-    """The events table as a stream, in the shape of a scored assessment."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    single = spark.read.parquet(f"{sf}/events.parquet").inputFiles()
-    folder = single[0].rsplit("/", 1)[0]
-    pattern = "events.parquet" if folder.rstrip("/").endswith(sf.rstrip("/").rsplit("/", 1)[-1]) else "*.parquet"
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+def stream_of(spark, sf, name="events"):
+    """A table as a stream of its files."""
+    given = spark.read.parquet(f"{sf}/{name}.parquet")
+    folder = given.inputFiles()[0].rsplit("/", 1)[0]
+    pattern = f"{name}.parquet" if folder.rstrip("/").endswith(sf.rstrip("/").rsplit("/", 1)[-1]) else "*.parquet"
+    return spark.readStream.schema(given.schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
 def scratch(spark) -> str:
@@ -41,13 +40,15 @@ def stream_alerts(spark, sf):
     return jobs.drain(jobs.alerts(assessed(spark, sf)), spark, scratch(spark))
 
 
-@query("stream_ingest_dedup", "SELECT DISTINCT md5(user_id || ':' || event_type) AS content_id FROM events")
+@query("stream_ingest_dedup", "SELECT DISTINCT md5(chunk_text) AS content_id FROM v_chunks")
 def stream_ingest_dedup(spark, sf):
-    s = stream_of(spark, sf).select(F.md5(F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").cast("binary")).alias("content_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return jobs.drain(jobs.first_arrivals(s, "content_id", "ts", "60 days"), spark, scratch(spark)).select("content_id")
+    """Content ids of the chunks that came in: equal chunks of all documents once."""
+    docs = stream_of(spark, sf, "documents").select("doc_id", F.col("lang").alias("source"), F.col("source").alias("subsection"), "text")
+    chunks = V.chunk_rows(docs).select(F.md5(F.col("chunk_text").cast("binary")).alias("content_id"), "chunk_id", "chunk_text")
+    return jobs.ingest(chunks, "content_id", scratch(spark)).select("content_id")
 
 
-@query("stream_trends", f"WITH {RISK} SELECT encounter, event_id, (total - lag(total) OVER (PARTITION BY encounter ORDER BY ts, event_id))::BIGINT AS score_delta FROM v_risk")
+@query("stream_trends", f"WITH {RISK}, v_lag AS (SELECT *, total - lag(total) OVER w AS score_delta, CASE WHEN crp > lag(crp) OVER w THEN 1 ELSE 0 END AS up FROM v_risk WINDOW w AS (PARTITION BY encounter ORDER BY ts, event_id)), v_is AS (SELECT *, sum(1 - up) OVER (PARTITION BY encounter ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM v_lag) SELECT encounter, event_id, score_delta::BIGINT AS score_delta, sum(up) OVER (PARTITION BY encounter, island ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS crp_streak FROM v_is")
 def stream_trends(spark, sf):
-    rows = assessed(spark, sf).select("encounter", "event_id", "ts", F.col("total").cast("long").alias("total"))
-    return jobs.drain(jobs.trends(rows), spark, scratch(spark))
+    rows = assessed(spark, sf).select("encounter", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("total").cast("long").alias("total"), "crp")
+    return jobs.settled(jobs.drain(jobs.trends(rows), spark, scratch(spark)))
