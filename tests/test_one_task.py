@@ -87,3 +87,23 @@ def test_bootstrap_shuffles_a_row_a_replicate_and_skips_odd_rows(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Window" not in plan and "partial_sum" in plan
     assert tuple(metrics.bootstrap_ci(rows.limit(0), "d", "id").first()) == (None, None, None)
+
+
+def test_paired_statistics_of_three_arms(spark):
+    rng = np.random.default_rng(3)
+    v = np.round(rng.random((60, 3)), 1)  # many ties and zero differences
+    rows = [(i, arm, float(v[i, j])) for i in range(60) for j, arm in enumerate("abc")] + [(90, "a", None), (91, "b", float("nan")), (92, "c", 1.0)]
+    got = {(r.arm_a, r.arm_b): r for r in metrics.paired(spark.createDataFrame(rows, "q int, arm string, v double"), "q", "arm", "v").collect()}
+    assert set(got) == {("a", "b"), ("a", "c"), ("b", "c")}
+    for (x, y), r in got.items():
+        d = np.round(v[:, "abc".index(x)] - v[:, "abc".index(y)], 9)
+        mag = np.abs(d[d != 0])
+        rank = np.array([(mag < m).sum() + ((mag == m).sum() + 1) / 2 for m in mag])
+        up, down = rank[d[d != 0] > 0].sum(), rank[d[d != 0] < 0].sum()
+        m = len(mag)
+        assert r.n == 60 and r.w == pytest.approx(min(up, down)) and r.r_rb == pytest.approx((up - down) / (up + down))
+        assert r.z == pytest.approx((min(up, down) - m * (m + 1) / 4) / np.sqrt(m * (m + 1) * (2 * m + 1) / 24))
+        assert r.t == pytest.approx(d.mean() / (d.std(ddof=1) / np.sqrt(60))) and r.d_z == pytest.approx(d.mean() / d.std(ddof=1))
+    same = spark.createDataFrame([(i, a, 1.0) for i in range(3) for a in "ab"], "q int, arm string, v double")
+    r = metrics.paired(same, "q", "arm", "v").first()
+    assert (r.n, r.t, r.w, r.r_rb) == (3, None, None, None)
