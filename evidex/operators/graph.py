@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from evidex.functions.text import has_any, words_at_least
 from evidex.operators.fusion import tier_of_text, tier_score
-from evidex.operators.postings import stored
 from evidex.operators.retrieval import top_k
+from evidex.sources.tables import stored
 
 #: Edge types that a graph may hold; fixed values.
 EDGE_TYPES = ("RECOMMENDS", "TREATS", "HAS_RISK_FACTOR", "HAS_SYMPTOM", "REQUIRES", "STOP_IF", "MONITOR_WITH", "CONTRAINDICATED_IN", "HAS_DOSE", "SUPPORTED_BY", "ACTIVE_AGAINST", "PRESCRIBES")

@@ -18,8 +18,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidex.operators.postings import InvertedIndex, stored
+from evidex.operators.postings import InvertedIndex
 from evidex.operators.retrieval import dense_topk
+from evidex.sources.tables import stored
 
 Embedder = Callable[[list[str]], np.ndarray]
 Reranker = Callable[[list[tuple[str, str]]], np.ndarray]
@@ -84,13 +85,9 @@ def reranked(pairs: DataFrame, query_col: str, text_col: str, model: Reranker, o
 
 
 def vectors(index: InvertedIndex, model: Embedder) -> DataFrame:
-    """(ord, source, vec) of the index's chunks, beside them on disk; written at the first use of a model."""
-    path = f"{index.folder}/vectors-{model.name}"
-    schema = "ord bigint, source string, vec array<double>"
-    if path not in index.beside:
-        embedded(index.chunks().select("ord", "source", "chunk_text"), "chunk_text", model).select("ord", "source", "vec").write.mode("overwrite").parquet(path)
-        index.beside.add(path)
-    return index.spark.read.schema(schema).parquet(path)
+    """(chunk_id, source, vec) of the index's chunks, beside them on disk; written at the first use of a model."""
+    made = lambda: embedded(index.chunks().select("chunk_id", "source", "chunk_text"), "chunk_text", model).select("chunk_id", "source", "vec")
+    return index.spark.read.schema("chunk_id string, source string, vec array<double>").parquet(index.once(f"vectors-{model.name}", made))
 
 
 def dense_search(index: InvertedIndex, queries: DataFrame, k: int, model: Embedder, own_guideline: bool = False) -> DataFrame:
@@ -101,7 +98,7 @@ def dense_search(index: InvertedIndex, queries: DataFrame, k: int, model: Embedd
     among its own chunks; sources are few.
     """
     asked, rows = stored(embedded(queries.select("qid", "text", "guideline"), "text", model)), vectors(index, model)
-    named = rows.select(F.col("vec").alias("vec"), F.col("ord").alias("id"), "source")
+    named = rows.select("vec", F.col("chunk_id").alias("id"), "source")
     groups = []
     if own_guideline:
         groups = [r[0] for r in asked.select("guideline").distinct().join(rows.select(F.col("source").alias("guideline")).distinct(), "guideline", "left_semi").collect()]
@@ -110,5 +107,4 @@ def dense_search(index: InvertedIndex, queries: DataFrame, k: int, model: Embedd
     found = dense_topk(rest.select("qid", "vec"), named, k)
     for p in parts:
         found = found.unionByName(p)
-    found = stored(found)
-    return found.withColumnRenamed("vec_id", "ord").join(index.chunks().select("ord", "chunk_id"), "ord").select("qid", "chunk_id", "score", "rank")
+    return stored(found).select("qid", F.col("vec_id").alias("chunk_id"), "score", "rank")

@@ -21,9 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidex.operators.postings import stored
 from evidex.operators.retrieval import BLOCK_QUERIES, SMALL_MATRIX, Index, ann_index, cosine, dense_topk, in_blocks, top_k, vector_blocks
-from evidex.sources.tables import checkpoint_folder
+from evidex.sources.tables import checkpoint_folder, stored
 
 #: Vectors of one file of a list.
 FILE_ROWS = 1 << 20

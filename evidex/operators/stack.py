@@ -11,8 +11,9 @@ from evidex.functions import query as Q
 from evidex.functions.text import has_any
 from evidex.operators import fusion as X
 from evidex.operators.hooks import Embedder, HashedWords, Reranker, dense_search, reranked
-from evidex.operators.postings import InvertedIndex, stored
-from evidex.operators.retrieval import term_share, top_k
+from evidex.operators.postings import InvertedIndex
+from evidex.operators.retrieval import named, term_share, top_k
+from evidex.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,11 @@ class Stack:
     reranker: Reranker | None = None
 
     def chunks(self) -> DataFrame:
-        return self.index.chunks().drop("dl", "ord")
+        return self.index.chunks().drop("dl")
+
+    def groups(self) -> DataFrame:
+        """(chunk_id, group_key) of all chunks, written beside the index once."""
+        return self.index.spark.read.schema("chunk_id string, group_key string").parquet(self.index.once("groups", lambda: X.retrieval_groups(self.chunks())))
 
     @staticmethod
     def understood(queries: DataFrame) -> DataFrame:
@@ -74,7 +79,8 @@ class Stack:
         if self.reranker is None:
             told = term_share(pairs.select("qid", "chunk_id"), queries, self.chunks(), self.index.terms())
             return pairs.join(told.select("qid", "chunk_id", "rel"), ["qid", "chunk_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0.0)))
-        texts = pairs.join(queries.select("qid", F.col("text").alias("_q")), "qid").join(self.chunks().select("chunk_id", F.col("chunk_text").alias("_t")), "chunk_id")
+        pairs = stored(pairs)
+        texts = pairs.join(queries.select("qid", F.col("text").alias("_q")), "qid").join(named(self.chunks(), pairs).select("chunk_id", F.col("chunk_text").alias("_t")), "chunk_id")
         return reranked(texts, "_q", "_t", self.reranker).drop("_q", "_t")
 
     def forced(self, queries: DataFrame, most: int) -> DataFrame:
@@ -87,7 +93,8 @@ class Stack:
     def scored(self, candidates: DataFrame, queries: DataFrame) -> DataFrame:
         """Candidates (qid, chunk_id) with their metadata score and what it was made of."""
         q = self.understood(queries).select("qid", F.col("text").alias("_text"), F.col("intent").alias("_intent"), "guideline")
-        p = self.relevance(candidates, queries).join(self.chunks(), "chunk_id").join(q, "qid")
+        told = stored(self.relevance(candidates, queries))
+        p = told.join(named(self.chunks(), told), "chunk_id").join(q, "qid")
         own, base = F.coalesce(F.col("source") == F.col("guideline"), F.lit(False)), has_any(F.col("chunk_text"), self.baseline)
         age = X.age_band_match(F.col("_text"), F.col("chunk_text"))
         tier = X.tier_score(X.tier_of_text(F.col("_text")), X.tier_of_chunk(F.col("page"), F.col("chunk_text")))
@@ -104,7 +111,7 @@ class Stack:
         fused = X.rrf(self.legs(queries, s)).select("qid", "chunk_id")
         if s.forced and self.baseline:
             fused = fused.unionByName(self.forced(queries, s.forced)).distinct()
-        groups = X.retrieval_groups(self.chunks())
+        groups = self.groups()
         pool = X.group_best(X.top_up(self.scored(fused, queries), s.k), groups, X.pool_size(s.k)).drop("rank", "group_key")
         pool = stored(pool)
         if s.diverse:
