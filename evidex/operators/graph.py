@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evidex.functions.text import has_any, words_at_least
 from evidex.operators.fusion import tier_of_text, tier_score
 from evidex.operators.retrieval import top_k
-from evidex.sources.tables import stored
+from evidex.sources.tables import spread, stored
 
 #: Edge types that a graph may hold; fixed values.
 EDGE_TYPES = ("RECOMMENDS", "TREATS", "HAS_RISK_FACTOR", "HAS_SYMPTOM", "REQUIRES", "STOP_IF", "MONITOR_WITH", "CONTRAINDICATED_IN", "HAS_DOSE", "SUPPORTED_BY", "ACTIVE_AGAINST", "PRESCRIBES")
@@ -209,6 +209,32 @@ def heads(recs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     return stored(first), r.select("head", F.explode("rw").alias("w"), "rec_id")
 
 
+#: Queries of a block that is held against all recommendations.
+BLOCK = 1_024
+
+
+def all_candidates(queries: DataFrame, recs: DataFrame, baseline_kinds: tuple[str, ...]) -> DataFrame:
+    """(qid, rec_id, section_type, baseline, score): every recommendation that matches a query or is baseline, scored as in `candidates`.
+
+    Queries are held in blocks of about `BLOCK` against the recommendations
+    where these lie; no pair is shuffled.
+    """
+    text, summary = F.coalesce("text", F.lit("")), F.coalesce("text_summary", F.lit(""))
+    q = stored(queries.select("qid", words_at_least("text", 4, True).alias("qw"), named(text, SURFACE).alias("qe"), named(text, SECTION_WORDS).alias("qs"), tier_of_text(text).alias("qt")))
+    r = stored(recs.select("rec_id", "section_type", words_at_least("text_summary", 4, True).alias("rw"), named(summary, SURFACE).alias("re"), tier_of_text(summary).alias("rt")))
+    r = spread(r, "rec_id")
+    blocks = max(1, -(-q.count() // BLOCK))
+    entity, section = F.arrays_overlap("qe", "re"), F.coalesce(F.array_contains("qs", F.col("section_type")), F.lit(False))
+    baseline = F.coalesce(F.col("section_type").isin(*baseline_kinds), F.lit(False))
+    points = 100 * entity.cast("int") + 10 * section.cast("int") + F.when(baseline & ~entity & ~section, 5).otherwise(0)
+    score = points + F.size(F.array_intersect("qw", "rw")) + 20 * tier_score(F.col("qt"), F.col("rt"))
+    parts = []
+    for b in range(blocks):
+        met = r.join(F.broadcast(q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)), entity | section | baseline)
+        parts.append(met.select("qid", "rec_id", "section_type", baseline.alias("baseline"), score.cast("double").alias("score")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def candidates(queries: DataFrame, recs: DataFrame, baseline_kinds: tuple[str, ...], k: int = 10) -> DataFrame:
     """(qid, rec_id, section_type, baseline, score): the k best recommendations of each query and kind of section.
 

@@ -123,9 +123,10 @@ def candidates(spark, sf):
     return G.candidates(V.queries(spark, sf), V.recommendations(spark, sf).where("guideline_id = 'EN'"), BASELINE_KINDS)
 
 
-@query("graph_candidates", f"WITH {CAND} SELECT qid, rec_id, baseline, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, section_type ORDER BY score DESC, rec_id) AS n FROM v_gc) WHERE n <= 10")
+@query("graph_candidates", f"WITH {CAND} SELECT qid, rec_id, baseline, score FROM v_gc")
 def graph_candidates(spark, sf):
-    return candidates(spark, sf).select("qid", "rec_id", "baseline", "score")
+    found = G.all_candidates(V.queries(spark, sf), V.recommendations(spark, sf).where("guideline_id = 'EN'"), BASELINE_KINDS)
+    return found.select("qid", "rec_id", "baseline", "score")
 
 
 WINDOW = f"""{CAND}, v_gt AS (SELECT qid, rec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rec_id) AS n FROM v_gc) WHERE n <= 10),
