@@ -17,12 +17,12 @@ def stack(spark, sf):
     return S.Stack(V.index(spark, sf), RQ.BASELINE)
 
 
-#: Vectors of hashed words, and the dense list of each query.
+#: Vectors of hashed words, and the dense list of each query; zero norms count as 1e-10, as in `cosines`.
 DENSE = """v_tok AS (SELECT 'c' AS kind, chunk_id AS id, unnest(regexp_extract_all(lower(chunk_text), '[a-z0-9]+')) AS term FROM v_chunks UNION ALL SELECT 'q', qid::VARCHAR, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM v_queries),
   v_vec AS (SELECT kind, id, ('0x' || md5(term)[1:4])::INT % 64 AS dim, sum(1 - 2 * (('0x' || md5(term)[5:5])::INT % 2))::DOUBLE AS v FROM v_tok GROUP BY kind, id, dim),
   v_len AS (SELECT kind, id, sqrt(sum(v * v)) AS len FROM v_vec GROUP BY kind, id),
   v_dot AS (SELECT q.id AS qid, c.id AS chunk_id, sum(q.v * c.v) AS dot FROM v_vec q JOIN v_vec c ON q.kind = 'q' AND c.kind = 'c' AND q.dim = c.dim GROUP BY q.id, c.id),
-  v_den AS (SELECT qid::BIGINT AS qid, chunk_id, dot / (q.len * c.len) AS score FROM v_dot JOIN v_len q ON q.kind = 'q' AND q.id = qid JOIN v_len c ON c.kind = 'c' AND c.id = chunk_id)"""
+  v_den AS (SELECT qid::BIGINT AS qid, chunk_id, dot / greatest(1e-10, q.len * c.len) AS score FROM v_dot JOIN v_len q ON q.kind = 'q' AND q.id = qid JOIN v_len c ON c.kind = 'c' AND c.id = chunk_id)"""
 FUSED = f"""{RQ.BM25}, {DENSE}, v_l1 AS ({RQ.ranked_sql('SELECT * FROM v_bm', 10)}), v_l2 AS ({RQ.ranked_sql('SELECT * FROM v_den', 10)}),
   v_lists AS (SELECT qid, chunk_id, rank FROM v_l1 UNION ALL SELECT qid, chunk_id, rank FROM v_l2),
   v_rrf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM (SELECT qid, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM v_lists GROUP BY qid, chunk_id)),
