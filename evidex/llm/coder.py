@@ -14,6 +14,7 @@ the mix is refined by an adaptive table.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -34,9 +35,9 @@ DEPTHS, CELLS = 16, 33
 LIMIT = 10.0
 #: Contexts of the decision to repeat: how long repeats have lasted, and whether the two words before agree.
 REPEATS = 8
-#: Of how many texts one teaches the mixer, before its words are counted.
-TEACHES = 64
 STEP = 0.1
+#: Decisions that teach the mixer at a time, and decisions added to the counts at a time.
+LESSON, ADDED = 60_000, 4_000_000
 EMPTY = np.zeros(0, dtype=np.int64)
 
 
@@ -181,6 +182,33 @@ def coded(s: Stream) -> np.ndarray:
     return np.flatnonzero(~s.repeats)
 
 
+def decided(s: Stream, tree: Tree, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(path index, bit, slots) of the stream's decisions, about `budget` at a time."""
+    pick = coded(s)
+    for part in np.array_split(pick, max(1, len(pick) * 12 // budget)):
+        _, index, bit, slots = decisions(s, tree, part)
+        if len(bit):
+            yield index, bit, slots
+
+
+def settled(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits and confidence of every slot (HASHED, SLOTS) by its counts of both bits (HASHED, SLOTS, 2)."""
+    zeros, ones = n[..., 0], n[..., 1]
+    logits = np.clip(np.log((ones + np.float32(0.3)) / (zeros + np.float32(0.3))), -LIMIT, LIMIT).astype(np.float32)
+    total = zeros + ones
+    return logits, sum((total >= least).view(np.uint8) for least in SURE)
+
+
+def mixed(tree: Tree, index: np.ndarray, slots: list[np.ndarray], logits: np.ndarray, sure: np.ndarray, weights: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(inputs but the constant one, gate, mix) of each decision; weights are (INPUTS, GATES)."""
+    x = [tree.base.take(index), *(c.take(at) for c, at in zip(logits, slots))]
+    gate = sure[0].take(slots[0]) * np.uint8(LEVELS_SURE) + sure[1].take(slots[1])
+    z = np.float32(0.3) * weights[-1].take(gate)
+    for each, w in zip(x, weights):
+        z += each * w.take(gate)
+    return x, gate, z
+
+
 class Counts:
     """What is learnt from texts: counts of both bits in every slot, of repeats, the gated weights and the refinement table."""
 
@@ -196,44 +224,60 @@ class Counts:
         self.refine = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, CELLS))), (DEPTHS, 1))
         self.refined = np.zeros((DEPTHS, CELLS))
 
-    def teach(self, s: Stream, tree: Tree, budget: int = 30_000) -> None:
+    def teach(self, s: Stream, tree: Tree) -> None:
         """One online pass over the stream: predict from what was counted so far, then move weights and refinement."""
-        pick = coded(s)
-        for part in np.array_split(pick, max(1, len(pick) * 12 // budget)):
-            _, index, bit, slots = decisions(s, tree, part)
-            if not len(bit):
-                continue
-            x, gate = np.empty((INPUTS, len(bit))), np.zeros(len(bit), dtype=np.int64)
-            x[0], x[-1] = tree.base[index], 0.3
-            for c, slot in enumerate(slots):
-                zeros, ones = self.slots[c][2 * slot], self.slots[c][2 * slot + 1]
-                x[1 + c] = np.clip(np.log((ones + 0.3) / (zeros + 0.3)), -LIMIT, LIMIT)
-                gate = gate * LEVELS_SURE + np.digitize(zeros + ones, SURE)
-            z = np.einsum("in,ni->n", x, self.weights[gate])
-            p = 1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT)))
-            err, mass = bit - p, np.maximum(np.bincount(gate, minlength=GATES), 1e-9)
-            for i in range(INPUTS):
-                slope = np.bincount(gate, weights=err * x[i], minlength=GATES) / mass
-                self.steep[:, i] += slope**2
-                self.weights[:, i] += STEP * slope / np.sqrt(self.steep[:, i])
-            self.taught += np.bincount(gate, minlength=GATES)
-            low, share = cells(z)
-            for shift, w in ((0, 1 - share), (1, share)):
-                at = tree.cells[index] + low + shift
-                mass = np.bincount(at, weights=w, minlength=DEPTHS * CELLS).reshape(DEPTHS, CELLS)
-                hit = np.bincount(at, weights=w * bit, minlength=DEPTHS * CELLS).reshape(DEPTHS, CELLS)
-                rate = np.where(mass > 0, np.maximum(0.02, 1 / (self.refined + 32)), 0) * np.minimum(mass, 1.0)
-                self.refine += rate * (np.where(mass > 0, hit / np.maximum(mass, 1e-9), self.refine) - self.refine)
-                self.refined += mass
-
-    def count(self, s: Stream, tree: Tree, budget: int = 4_000_000) -> None:
+        known = settled(self.slots.reshape(HASHED, SLOTS, 2))
+        for index, bit, slots in decided(s, tree, LESSON):
+            self._lesson(known, tree, index, bit, slots)
+
+    def count(self, s: Stream, tree: Tree) -> None:
         """Add the stream's decisions."""
+        self._repeats(s)
+        for _, bit, slots in decided(s, tree, ADDED):
+            self._add([(bit, slots)])
+
+    def read(self, s: Stream, tree: Tree) -> None:
+        """Teach, then count: the decisions are laid out once, and all are told from what was counted before the stream."""
+        self._repeats(s)
+        known, held, n = settled(self.slots.reshape(HASHED, SLOTS, 2)), [], 0
+        for index, bit, slots in decided(s, tree, LESSON):
+            self._lesson(known, tree, index, bit, slots)
+            held.append((bit, slots))
+            n += len(bit)
+            if n >= ADDED:
+                self._add(held)
+                held, n = [], 0
+        self._add(held)
+
+    def _repeats(self, s: Stream) -> None:
         self.repeat += np.stack([np.bincount(s.context[s.candidate & (s.repeats == hit)], minlength=REPEATS) for hit in (False, True)])
-        pick = coded(s)
-        for part in np.array_split(pick, max(1, len(pick) * 12 // budget)):
-            _, _, bit, slots = decisions(s, tree, part)
-            for c, slot in enumerate(slots):
-                self.slots[c] += np.bincount(2 * slot + bit, minlength=2 * SLOTS)
+
+    def _add(self, held: list[tuple[np.ndarray, list[np.ndarray]]]) -> None:
+        for c in range(HASHED if held else 0):
+            self.slots[c] += np.bincount(np.concatenate([2 * slots[c] + bit for bit, slots in held]), minlength=2 * SLOTS)
+
+    def _lesson(self, known: tuple[np.ndarray, np.ndarray], tree: Tree, index: np.ndarray, bit: np.ndarray, slots: list[np.ndarray]) -> None:
+        x, gate, z = mixed(tree, index, slots, *known, np.ascontiguousarray(self.weights.T, dtype=np.float32))
+        gate = gate.astype(np.int64)
+        err = bit - 1 / (1 + np.exp(-np.clip(z, -LIMIT, LIMIT)))
+        n = np.bincount(gate, minlength=GATES)
+        mass = np.maximum(n, 1e-9)
+        for i in range(INPUTS):
+            slope = np.bincount(gate, weights=err * x[i] if i < len(x) else 0.3 * err, minlength=GATES) / mass
+            self.steep[:, i] += slope**2
+            self.weights[:, i] += STEP * slope / np.sqrt(self.steep[:, i])
+        self.taught += n
+        low, share = cells(z)
+        low += tree.cells.take(index)
+        at, size = 2 * low + bit, 2 * DEPTHS * CELLS
+        above = np.bincount(at, weights=share, minlength=size)
+        below = np.bincount(at, minlength=size) - above
+        below[2:] += above[:-2]  # the cell above is the next one; the last cell of a level is never `low`
+        zeros, hit = below.reshape(DEPTHS, CELLS, 2).transpose(2, 0, 1)
+        mass = zeros + hit
+        rate = np.where(mass > 0, np.maximum(0.02, 1 / (self.refined + 32)), 0) * np.minimum(mass, 1.0)
+        self.refine += rate * (np.where(mass > 0, hit / np.maximum(mass, 1e-9), self.refine) - self.refine)
+        self.refined += mass
 
     def parts(self) -> tuple[np.ndarray, np.ndarray]:
         """(sums over parts, averages over parts weighted by `taught`) as flat arrays that add up between tasks."""
@@ -269,11 +313,9 @@ class Model:
         sizes = [2 * REPEATS, GATES * INPUTS, GATES, DEPTHS * CELLS, DEPTHS * CELLS]
         repeat, weights, trust, refine, seen = np.split(rest, np.cumsum(sizes)[:-1])
         n = slots.reshape(HASHED, SLOTS, 2)
-        logits = np.clip(np.log((n[..., 1] + 0.3) / (n[..., 0] + 0.3)), -LIMIT, LIMIT).astype(np.float32)
         repeat = repeat.reshape(2, REPEATS)
         return cls(
-            logits,
-            np.digitize(n.sum(axis=2), SURE).astype(np.uint8),
+            *settled(n),
             np.ascontiguousarray((weights.reshape(GATES, INPUTS) / trust[:, None]).T.astype(np.float32)),
             np.clip(refine / seen, 1e-6, 1 - 1e-6).reshape(DEPTHS, CELLS).astype(np.float32),
             (repeat[1] + 0.4) / (repeat.sum(axis=0) + 0.8),
@@ -281,12 +323,7 @@ class Model:
 
     def bit_probability(self, tree: Tree, index: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
         """Chance of a one at each decision."""
-        logits = [c.take(x) for c, x in zip(self.logits, slots)]
-        gate = self.sure[0].take(slots[0]) * np.uint8(LEVELS_SURE) + self.sure[1].take(slots[1])
-        z = tree.base.take(index) * self.weights[0].take(gate)
-        for i, x in enumerate(logits, 1):
-            z += x * self.weights[i].take(gate)
-        z += np.float32(0.3) * self.weights[-1].take(gate)
+        _, _, z = mixed(tree, index, slots, self.logits, self.sure, self.weights)
         low, share = cells(z)
         low += tree.cells.take(index)
         flat = self.refine.ravel()

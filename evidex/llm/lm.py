@@ -16,7 +16,6 @@ the blocks that hold them, the commonest words, a fixed number, to all tasks.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,8 +32,8 @@ from evidex.llm._shared import remainder, slices, written
 BLOCK_BYTES, COUNT_BYTES = 8_000_000, 64_000_000
 #: Words in the code tree, and words sent to all tasks as the commonest; none longer than LONGEST bytes.
 CODED_WORDS, COMMON_WORDS, LONGEST = (1 << 15) - 1, 100_000, 64
-#: Words counted and scored at a time; of how many words one teaches the byte model before it is counted; words of a lesson.
-COUNT_WORDS, BATCH_WORDS, TEACHES, LESSON = 50_000, 4_000, 32, 64
+#: Words that the byte model counts at a time, at first (doubled up to the most) and at most; words scored at a time; words of a lesson.
+FIRST_WORDS, COUNT_WORDS, BATCH_WORDS, LESSON = 3_125, 50_000, 4_000, 256
 #: Characters of text laid out at a time.
 SPAN = 1_500_000
 PARTS = "chunk bigint, content binary"
@@ -80,37 +79,32 @@ def fit_running(texts: DataFrame, tree: Broadcast, n_bytes: int) -> coder.Model:
         for pdf in batches:
             rows = pdf["text"].tolist()
             for lo, hi in slices(rows, SPAN):
-                words = [words_of(t) for t in rows[lo:hi]]
-                lesson = [w for w, k in zip(words, pdf["key"].iloc[lo:hi]) if k % coder.TEACHES == 0]
-                if lesson:
-                    learnt.teach(coder.stream_of(lesson, tree_here), tree_here)
-                learnt.count(coder.stream_of(words, tree_here), tree_here)
+                learnt.read(coder.stream_of([words_of(t) for t in rows[lo:hi]], tree_here), tree_here)
         yield pd.DataFrame(list(mixer.chunks(np.concatenate(learnt.parts()))), columns=["chunk", "content"])
 
-    keyed = texts.select("text", F.pmod(F.xxhash64("text"), F.lit(1 << 20)).alias("key"))
-    parts = keyed.coalesce(max(1, -(-n_bytes // COUNT_BYTES))).mapInPandas(count, PARTS)
+    parts = texts.select("text").coalesce(max(1, -(-n_bytes // COUNT_BYTES))).mapInPandas(count, PARTS)
     sums, means = (len(x) for x in coder.Counts().parts())
     flat = merged(parts, sums + means)
     return coder.Model.of(flat[:sums], flat[sums:].astype(np.float64))
 
 
 def fit_spelling(vocab: DataFrame, tree: Broadcast) -> mixer.Mixer:
-    """The byte model over all training words outside the tree: each task teaches its mixer on some words before it counts them."""
+    """The byte model over all training words outside the tree: each task teaches its mixer on words before it counts them."""
     shapes = (mixer.GATES, mixer.INPUTS), (257, mixer.LEVELS)
     rest = [int(np.prod(x)) for x in shapes]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, taught = mixer.Mixer.fresh(np.zeros((2, mixer.SLOTS), dtype=np.float32)), 1e-3
+        model, taught, most = mixer.Mixer.fresh(np.zeros((2, mixer.SLOTS), dtype=np.float32)), 1e-3, FIRST_WORDS
         for pdf in batches:
             both = [(w, c) for w, c in zip(map(bytes, pdf["word"]), pdf["c"].tolist()) if w not in tree.value.places]
-            for lo in range(0, len(both), COUNT_WORDS):
-                words, n = [w for w, _ in both[lo : lo + COUNT_WORDS]], np.array([c for _, c in both[lo : lo + COUNT_WORDS]], dtype=np.float64)
-                some = [i for i, w in enumerate(words) if zlib.crc32(w) % TEACHES == 0]
-                for at in range(0, len(some), LESSON):
-                    lesson = some[at : at + LESSON]
-                    model.learn([words[i] for i in lesson], n[lesson])
-                    taught += len(lesson)
+            lo = 0
+            while lo < len(both):
+                words, n = [w for w, _ in both[lo : lo + most]], np.array([c for _, c in both[lo : lo + most]], dtype=np.float64)
+                for at in range(0, len(words), LESSON):
+                    model.learn(words[at : at + LESSON], n[at : at + LESSON])
+                taught += len(words)
                 mixer.count_into(model.table, words, n)
+                lo, most = lo + most, min(2 * most, COUNT_WORDS)
         means = np.concatenate((model.weights.ravel() * taught, model.refine.ravel() * taught, [taught]))
         yield pd.DataFrame(list(mixer.chunks(np.concatenate((model.table.ravel(), means)))), columns=["chunk", "content"])
 
