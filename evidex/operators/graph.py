@@ -279,13 +279,15 @@ def page_window(recs: DataFrame, chunks: DataFrame, reach: int = 5) -> DataFrame
     recommendation's summary and one for each that it shares with the query.
     recs (qid, rec_id, guideline_id, page, text_summary, text), one row for each
     query and recommendation. Pages fall into buckets as wide as the window, so
-    the range join is an equi-join on three neighbouring buckets.
+    the range join is an equi-join on three neighbouring buckets; chunks of
+    other buckets are left out before their words are taken or shuffled.
     """
     width = 2 * reach + 1
     bucket = lambda c: F.floor(F.col(c) / width)
     r = recs.select("qid", "rec_id", F.col("guideline_id").alias("source"), F.col("page").alias("rec_page"), words_at_least("text_summary", 4, True).alias("hint"), words_at_least("text", 4, True).alias("asked"))
-    r = r.withColumn("bucket", F.explode(F.sequence(bucket("rec_page") - 1, bucket("rec_page") + 1)))
-    c = chunks.select("chunk_id", "source", "page", words_at_least("chunk_text", 4, True).alias("words")).withColumn("bucket", bucket("page"))
+    r = stored(r.withColumn("bucket", F.explode(F.sequence(bucket("rec_page") - 1, bucket("rec_page") + 1))))
+    c = chunks.withColumn("bucket", bucket("page")).join(r.select("source", "bucket").distinct(), ["source", "bucket"], "left_semi")
+    c = c.select("chunk_id", "source", "page", "bucket", words_at_least("chunk_text", 4, True).alias("words"))
     near = r.join(c, ["source", "bucket"]).where(F.abs(F.col("page") - F.col("rec_page")) <= reach)
     scored = near.withColumn("score", 3 * F.size(F.array_intersect("hint", "words")) + F.size(F.array_intersect("asked", "words")))
     w = Window.partitionBy("qid", "rec_id").orderBy(F.col("score").desc(), "chunk_id")

@@ -106,7 +106,7 @@ def offset_calibrate(spark, sf):
 
 def shifted(spark, sf):
     shift = F.when(F.col("guideline_id") == "EN", 8).when(F.col("guideline_id") == "FR", 13).otherwise(1)
-    return V.recommendations(spark, sf).withColumn("page", F.col("page") - shift)
+    return V.stored_recommendations(spark, sf).withColumn("page", F.col("page") - shift)
 
 
 BASELINE_KINDS = ("FirstLineAntibiotics", "Monitoring", "StoppingCriteria", "Duration")
@@ -120,7 +120,7 @@ CAND = f"""v_gq AS (SELECT qid, {_WORDS.format('text')} AS qw, {_named_sql(G.SUR
 
 def candidates(spark, sf):
     """The ten best recommendations of the query's guideline of each kind, of those that match it or are baseline."""
-    return G.candidates(V.queries(spark, sf), V.recommendations(spark, sf).where("guideline_id = 'EN'"), BASELINE_KINDS)
+    return G.candidates(V.queries(spark, sf), V.stored_recommendations(spark, sf).where("guideline_id = 'EN'"), BASELINE_KINDS)
 
 
 @query("graph_candidates", f"WITH {CAND} SELECT qid, rec_id, baseline, score FROM v_gc")
@@ -139,7 +139,7 @@ WINDOW = f"""{CAND}, v_gt AS (SELECT qid, rec_id FROM (SELECT *, row_number() OV
 def windows(spark, sf, pairs):
     """Ranked chunks near the recommendation of each (qid, rec_id)."""
     recs = shifted(spark, sf).where("guideline_id = 'EN'")
-    return G.page_window(pairs.join(recs, "rec_id").join(V.queries(spark, sf).select("qid", "text"), "qid"), V.chunks(spark, sf))
+    return G.page_window(pairs.join(recs, "rec_id").join(V.queries(spark, sf).select("qid", "text"), "qid"), V.stored_chunks(spark, sf))
 
 
 @query("page_window", f"WITH {WINDOW} SELECT qid, rec_id, chunk_id, score, rank FROM v_wr WHERE rank <= 4")
