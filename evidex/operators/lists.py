@@ -28,6 +28,8 @@ from evidex.sources.tables import checkpoint_folder, stored
 FILE_ROWS = 1 << 20
 #: Scores are compared after rounding to nine decimals.
 SLACK = 1e-8
+#: Pairs of query and vector laid out at a time, about.
+PAIRS = 1 << 17
 #: Lists are worn once the table has grown this much since their centres were fitted.
 WORN = 4
 ROWS = "id bigint, vec array<double>, code binary, scale double, slack double, digest string, list int"
@@ -52,6 +54,47 @@ def prune(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return rows[rows.groupby(["q", "digest"]).cumcount() < k]
 
 
+def near(batches: Iterator[pd.DataFrame], ids: list, unit: np.ndarray, probed: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """FOUND rows of a task's coded vectors that may be among the k best of a query; about PAIRS pairs are laid out at a time."""
+    held, floor = None, np.full(len(ids), -np.inf)
+    step = max(1, SMALL_MATRIX // len(ids))
+
+    def pruned(found: list[pd.DataFrame]) -> pd.DataFrame:
+        kept = prune(pd.concat([*found, *([] if held is None else [held])], ignore_index=True), k)
+        kth = kept.sort_values(["q", "low"], ascending=[True, False], kind="stable")
+        kth = kth[kth.groupby("q").cumcount() == k - 1]
+        floor[kth["q"]] = np.maximum(floor[kth["q"]], kth["low"])
+        return kept
+
+    for whole in batches:
+        whole = whole[whole["scale"].notna()].sort_values(["digest", "id"], kind="stable")
+        whole = whole[whole.groupby("digest").cumcount() < k].sort_index()  # of equal vectors the k smallest ids can be among the best
+        for lo in range(0, len(whole), step):
+            pdf, found, n = whole.iloc[lo : lo + step], [], 0
+            at, name, digest = pdf["list"].to_numpy(), pdf["id"].to_numpy(), pdf["digest"].to_numpy()
+            code = np.frombuffer(b"".join(pdf["code"]), dtype=np.int8).reshape(len(pdf), -1)
+            scale, slack = pdf["scale"].to_numpy(), pdf["slack"].to_numpy() + SLACK
+            for c in np.unique(at):
+                probing, rows = np.flatnonzero(probed[:, c]), np.flatnonzero(at == c)
+                vectors, width = code[rows].astype(np.float64), max(1, PAIRS // len(rows))
+                for a in range(0, len(probing), width):
+                    asks = probing[a : a + width]
+                    s = (vectors @ unit[asks].T) * scale[rows, None]
+                    if len(rows) >= k:  # k rows reach their k-th best lower bound, so pairs below it are not laid out
+                        nth = np.partition(s - slack[rows, None], len(rows) - k, axis=0)[len(rows) - k]
+                        floor[asks] = np.maximum(floor[asks], nth)
+                    i, j = np.nonzero(s + slack[rows, None] >= floor[asks])
+                    r = rows[i]
+                    found.append(pd.DataFrame({"q": asks[j], "list": c, "id": name[r], "digest": digest[r], "low": s[i, j] - slack[r], "high": s[i, j] + slack[r]}))
+                    n += len(i)
+                    if n > PAIRS:
+                        held, found, n = pruned(found), [], 0
+            if n:
+                held = pruned(found)
+    if held is not None:
+        yield held.assign(qid=[ids[q] for q in held["q"]])[["qid", "list", "id", "digest", "low", "high"]]
+
+
 @dataclass
 class VectorLists:
     """Lists in a folder: centres and probes, the batches that are visible, and how many vectors the first had."""
@@ -111,7 +154,7 @@ class VectorLists:
             if not len(x):
                 return pd.DataFrame({"list": np.zeros(0, np.int32), "code": [], "scale": [], "slack": []})
             code, step, slack = encode(x)
-            return pd.DataFrame({"list": sent.value.distances(x).argmin(axis=1).astype(np.int32), "code": [c.tobytes() for c in code], "scale": step, "slack": slack})
+            return pd.DataFrame({"list": sent.value.nearest(x), "code": [c.tobytes() for c in code], "scale": step, "slack": slack})
 
         sizes = new.select(Index.nearest_list(sent)("vec").alias("list")).groupBy("list").agg(F.count("*").alias("n"))
         sizes = [(r["list"], r["n"], -(-r["n"] // FILE_ROWS)) for r in sizes.collect()]  # a row a list
@@ -145,31 +188,8 @@ class VectorLists:
         unit = mat / np.maximum(np.sqrt((mat * mat).sum(axis=1, keepdims=True)), 1e-10)
         sent = self.spark.sparkContext.broadcast((ids, unit, probed))  # a block of queries
 
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, unit, probed = sent.value
-            held, floor = None, np.full(len(ids), -np.inf)
-            step = max(1, SMALL_MATRIX // len(ids))
-            for whole in batches:
-                for lo in range(0, len(whole), step):
-                    pdf, found = whole.iloc[lo : lo + step], []
-                    at, name, digest = pdf["list"].to_numpy(), pdf["id"].to_numpy(), pdf["digest"].to_numpy()
-                    code = np.frombuffer(b"".join(pdf["code"]), dtype=np.int8).reshape(len(pdf), -1)
-                    scale, slack = pdf["scale"].to_numpy(), pdf["slack"].to_numpy() + SLACK
-                    for c in np.unique(at):
-                        asks, rows = np.flatnonzero(probed[:, c]), np.flatnonzero(at == c)
-                        s = (code[rows].astype(np.float64) @ unit[asks].T) * scale[rows, None]
-                        i, j = np.nonzero(s + slack[rows, None] >= floor[asks])
-                        r = rows[i]
-                        found.append(pd.DataFrame({"q": asks[j], "list": c, "id": name[r], "digest": digest[r], "low": s[i, j] - slack[r], "high": s[i, j] + slack[r]}))
-                    held = prune(pd.concat([*found, *([] if held is None else [held])], ignore_index=True), k)
-                    kth = held.sort_values(["q", "low"], ascending=[True, False], kind="stable")
-                    kth = kth[kth.groupby("q").cumcount() == k - 1]
-                    floor[kth["q"]] = kth["low"]
-            if held is not None:
-                yield held.assign(qid=[ids[q] for q in held["q"]])[["qid", "list", "id", "digest", "low", "high"]]
-
         slim = self.probed_rows(probed).select("list", "id", "code", "scale", "slack", "digest")
-        found = stored(slim.mapInPandas(near, FOUND))
+        found = stored(slim.mapInPandas(lambda batches: near(batches, *sent.value, k), FOUND))
         floors = top_k(found, k, score="low", tie="id").groupBy("qid").agg(F.min("low").alias("_low"), F.count("*").alias("_n"))
         floors = floors.select("qid", F.when(F.col("_n") == k, F.col("_low") - SLACK).otherwise(F.lit(float("-inf"))).alias("_floor"))
         return found.join(floors, "qid").where("high >= _floor").select("qid", "list", "id"), sent

@@ -1,6 +1,7 @@
 """Vector lists at rest against exact search, what a search reads, and batches filed later."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from evidex.operators import lists as L
@@ -118,3 +119,23 @@ def test_codes_bound_the_error():
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-10)
     q = unit[1:50]
     assert (np.abs(unit @ q.T - (code * step[:, None]) @ q.T) <= slack[:, None] + 1e-12).all()
+
+
+@pytest.mark.parametrize("pairs", [L.PAIRS, 2_000])
+def test_few_pairs_are_laid_out_at_a_time(monkeypatch, pairs):
+    """Before, the first rows that a task read were laid out with every query, copies too."""
+    rng, k = np.random.default_rng(5), 5
+    x = np.concatenate((rng.normal(size=(3_000, 8)), np.tile(rng.normal(size=(1, 8)), (3_000, 1))))
+    asked = x[:200] / np.linalg.norm(x[:200], axis=1)[:, None]
+    code, scale, slack = L.encode(x)
+    rows = pd.DataFrame({"list": 0, "id": np.arange(len(x)), "code": [c.tobytes() for c in code], "scale": scale, "slack": slack, "digest": [v.tobytes().hex() for v in x]})
+    sizes, real = [], L.prune
+    monkeypatch.setattr(L, "PAIRS", pairs)
+    monkeypatch.setattr(L, "prune", lambda found, k: sizes.append(len(found)) or real(found, k))
+    found = pd.concat(L.near(iter([rows]), list(range(200)), asked, np.ones((200, 1), dtype=bool), k))
+    assert max(sizes) < 30_000  # of 1,200,000 pairs
+    cos = np.round(asked @ (x / np.linalg.norm(x, axis=1)[:, None]).T, 9)
+    for q, mine in found.groupby("qid"):
+        best = np.lexsort((np.arange(len(x)), -cos[q]))[:k]
+        assert set(best) <= set(mine["id"])
+    assert found["qid"].nunique() == 200
