@@ -100,10 +100,8 @@ def fit_spelling(vocab: DataFrame, tree: Broadcast) -> mixer.Mixer:
             lo = 0
             while lo < len(both):
                 words, n = [w for w, _ in both[lo : lo + most]], np.array([c for _, c in both[lo : lo + most]], dtype=np.float64)
-                for at in range(0, len(words), LESSON):
-                    model.learn(words[at : at + LESSON], n[at : at + LESSON])
+                model.read(words, n, LESSON)
                 taught += len(words)
-                mixer.count_into(model.table, words, n)
                 lo, most = lo + most, min(2 * most, COUNT_WORDS)
         means = np.concatenate((model.weights.ravel() * taught, model.refine.ravel() * taught, [taught]))
         yield pd.DataFrame(list(mixer.chunks(np.concatenate((model.table.ravel(), means)))), columns=["chunk", "content"])

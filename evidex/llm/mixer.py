@@ -31,6 +31,8 @@ LEVELS = 33
 LIMIT = 12.0
 TERMINATOR = 32
 STEP_SIZE = 0.1
+#: Bytes of words whose decisions are counted at a time, about; more than that are learnt from bit by bit.
+LAID = 1 << 19
 #: Counts that part the confidence levels of a prefix.
 SURE = (0.5, 1.5, 4.5, 32.5)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -77,20 +79,39 @@ def slots(context: np.ndarray, node: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_into(table: np.ndarray, words: list[bytes], weight: np.ndarray) -> None:
-    """Add the words' decisions, `weight` times each, to a (2, SLOTS) table of zeros and ones."""
-    flat, context, _, owner = decisions(words)
-    w = weight[owner]
+def laid_out(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bits (8, n), slots (CONTEXTS, 8, n), byte before, word) of the words' decisions, the eight of a byte apart."""
+    flat, context, prev, owner = decisions(words)
+    bits, at = np.empty((8, len(flat)), dtype=np.uint8), np.empty((CONTEXTS, 8, len(flat)), dtype=np.int32)
     node = np.ones(len(flat), dtype=np.int64)
     for k in range(8):
-        bit = (flat >> (7 - k)) & 1
-        at = slots(context, node)
-        for c in range(CONTEXTS):
-            lo, hi = STARTS[c], STARTS[c + 1]
-            for v in (0, 1):
-                pick = bit == v
-                table[v, lo:hi] += np.bincount(at[c][pick] - lo, weights=w[pick], minlength=hi - lo)
-        node = node * 2 + bit
+        at[:, k] = slots(context, node)
+        bits[k] = (flat >> (7 - k)) & 1
+        node = node * 2 + bits[k]
+    return bits, at, prev, owner
+
+
+def count_laid(table: np.ndarray, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Add decisions (bits, slots, weight of each byte) to a (2, SLOTS) table of zeros and ones; about LAID bytes at a time."""
+    parts, n = [], 0
+    for i, (bits, at, w) in enumerate(held):
+        for k in [slice(0, 8)] if len(w) <= LAID else [slice(k, k + 1) for k in range(8)]:
+            parts.append((bits[k], at[:, k], w))
+            n += bits[k].size
+            if n < 8 * LAID and (i + 1 < len(held) or k.stop < 8):
+                continue
+            weight = np.concatenate([np.tile(w, len(b)) for b, _, w in parts])
+            for c in range(CONTEXTS):
+                lo, hi = STARTS[c], STARTS[c + 1]
+                cell = np.concatenate([((x[c].astype(np.int64) - lo) * 2 + b).ravel() for b, x, _ in parts])
+                table[:, lo:hi] += np.bincount(cell, weights=weight, minlength=2 * (hi - lo)).reshape(-1, 2).T
+            parts, n = [], 0
+
+
+def count_into(table: np.ndarray, words: list[bytes], weight: np.ndarray) -> None:
+    """Add the words' decisions, `weight` times each, to a (2, SLOTS) table of zeros and ones."""
+    bits, at, _, owner = laid_out(words)
+    count_laid(table, [(bits, at, weight[owner])])
 
 
 def chunks(flat: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -161,34 +182,52 @@ class Mixer:
 
         Returns bits per byte before the step.
         """
-        flat, context, prev, owner = decisions(words)
-        w = (weight / weight.sum())[owner]
-        node = np.ones(len(flat), dtype=np.int64)
-        bits = 0.0
-        for k in range(8):
-            bit = ((flat >> (7 - k)) & 1).astype(np.float64)
-            x, sure = inputs(self.table, slots(context, node))
-            gate = k * CONFIDENCE + sure
-            z = np.einsum("ni,ni->n", x, self.weights[gate])
-            p = squash(z)
-            q, low, part = self._refined(z, prev)
-            mixed = np.clip((p + q) / 2, 1e-6, 1 - 1e-6)
-            bits -= float((w * np.log2(np.where(bit == 1, mixed, 1 - mixed))).sum())
-            err = (bit - p) * w
-            mass = np.maximum(np.bincount(gate, weights=w, minlength=GATES), 1e-9)
-            for i in range(INPUTS):
-                slope = np.bincount(gate, weights=err * x[:, i], minlength=GATES) / mass
-                self.steepness[:, i] += slope**2
-                self.weights[:, i] += step * slope / np.sqrt(self.steepness[:, i])
-            key = prev * LEVELS + low
-            for shift, share in ((0, 1 - part), (1, part)):
-                mass = np.bincount(key + shift, weights=share * w, minlength=self.refine.size)
-                hit = np.bincount(key + shift, weights=share * w * bit, minlength=self.refine.size)
-                flatr = self.refine.reshape(-1)
-                rate = 0.02 * np.minimum(1.0, mass * len(words))
-                flatr += rate * (np.where(mass > 0, hit / np.maximum(mass, 1e-12), flatr) - flatr)
-            node = node * 2 + bit.astype(np.int64)
-        return bits / max(1e-9, float((w * 1.0).sum()))
+        bits, at, prev, owner = laid_out(words)
+        return self._learn(bits, at, prev, (weight / weight.sum())[owner], len(words), step)
+
+    def read(self, words: list[bytes], weight: np.ndarray, lesson: int, step: float = STEP_SIZE) -> None:
+        """Learn from `lesson` words at a time, then count all: decisions are laid out once."""
+        held = []
+        for lo in range(0, len(words), lesson):
+            part, n = words[lo : lo + lesson], weight[lo : lo + lesson]
+            bits, at, prev, owner = laid_out(part)
+            self._learn(bits, at, prev, (n / n.sum())[owner], len(part), step)
+            held.append((bits, at, n[owner]))
+        count_laid(self.table, held)
+
+    def _learn(self, bits: np.ndarray, at: np.ndarray, prev: np.ndarray, w: np.ndarray, n_words: int, step: float) -> float:
+        """The step for decisions laid out. Gates of different bits are apart, so all bits go at once, or where there are many one by one."""
+        levels = [slice(0, 8)] if len(w) <= LAID else [slice(k, k + 1) for k in range(8)]
+        return sum(self._step(k.start, bits[k], at[:, k], prev, w, n_words, step) for k in levels) / max(1e-9, float(w.sum()))
+
+    def _step(self, first: int, bits: np.ndarray, at: np.ndarray, prev: np.ndarray, w: np.ndarray, n_words: int, step: float) -> float:
+        n = len(bits)
+        x, sure = inputs(self.table, at.reshape(CONTEXTS, -1))
+        bit, each = bits.ravel().astype(np.float64), np.tile(w, n)
+        gate = np.repeat(np.arange(first, first + n) * CONFIDENCE, bits.shape[1]) + sure
+        z = np.einsum("ni,ni->n", x, self.weights[gate])
+        p = squash(z)
+        q, low, part = self._refined(z, np.tile(prev, n))
+        mixed = np.clip((p + q) / 2, 1e-6, 1 - 1e-6)
+        told = -float((each * np.log2(np.where(bit == 1, mixed, 1 - mixed))).sum())
+        err = (bit - p) * each
+        mass = np.maximum(np.bincount(gate, weights=each, minlength=GATES), 1e-9)
+        for i in range(INPUTS):
+            slope = np.bincount(gate, weights=err * x[:, i], minlength=GATES) / mass
+            self.steepness[:, i] += slope**2
+            self.weights[:, i] += step * slope / np.sqrt(self.steepness[:, i])
+        key, size = np.tile(prev * LEVELS, n) + low, self.refine.size
+        key += np.repeat(np.arange(n) * size, bits.shape[1])
+        shares = [(s * each, key + shift) for shift, s in ((0, 1 - part), (1, part))]
+        masses = [np.bincount(k, weights=s, minlength=n * size + 1)[: n * size].reshape(n, size) for s, k in shares]
+        hits = [np.bincount(k, weights=s * bit, minlength=n * size + 1)[: n * size].reshape(n, size) for s, k in shares]
+        flat = self.refine.reshape(-1)
+        for k in range(n):
+            for mass, hit in zip(masses, hits):
+                met = np.flatnonzero(mass[k])
+                m = mass[k][met]
+                flat[met] += 0.02 * np.minimum(1.0, m * n_words) * (hit[k][met] / np.maximum(m, 1e-12) - flat[met])
+        return told
 
     def settled(self) -> Mixer:
         """For scoring alone: a table of logits, and how sure the prefix's slots are."""
